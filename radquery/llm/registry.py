@@ -7,12 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from radquery.llm.op4_packing import op4_packing
+from radquery.llm.op5_quality import op5_quality
+from radquery.llm.op6_chat import OP6_SQL, op6_chat
 from radquery.llm.op7_arrow_files import op7_arrow_files
+from radquery.llm.op9_warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op7_arrow_files)}
+    return {f.__name__: f for f in (op4_packing, op5_quality, op6_chat, op7_arrow_files, op9_warc)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": OP6_SQL}

@@ -1,8 +1,8 @@
 """Token-ID output: Arrow files of equal-length sequences and masks, for zero-copy random access.
 
 A folder holds, for each shard, ``NNNNN.arrow`` and ``NNNNN.index.arrow``. The first is an Arrow IPC file whose record
-batches have two fixed-size lists, ``input_ids`` (uint32) and ``mask`` (uint8, 0 for padding): the shard's ids one after
-another, cut into sequences of ``length``, the last one padded. Being of fixed size and not compressed, sequence k is a
+batches have two fixed-size lists, ``input_ids`` (uint16 where the vocabulary has room in it, else uint32) and ``mask``
+(bits, 0 for padding): the shard's ids one after another, cut into sequences of ``length``, the last one padded. Being of fixed size and not compressed, sequence k is a
 slice of the mapped file. The index has doc_id, start (the shard's ids before the document) and n_tokens. Shards are ranges
 of doc_id in ascending order, and a document lies in one shard.
 
@@ -30,17 +30,17 @@ ROWS_PER_BATCH = 64
 
 
 def _sequences(ids: np.ndarray, valid: int, length: int, schema: pa.Schema) -> pa.RecordBatch:
-    mask = np.zeros(len(ids), dtype=np.uint8)
-    mask[:valid] = 1
-    return pa.record_batch([pa.FixedSizeListArray.from_arrays(pa.array(x), length) for x in (ids, mask)], schema=schema)
+    values = pa.array(ids.astype(schema.field(0).type.value_type.to_pandas_dtype())), pa.array(np.arange(len(ids)) < valid)
+    return pa.record_batch([pa.FixedSizeListArray.from_arrays(x, length) for x in values], schema=schema)
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, length: int = 2048, shards: int | None = None) -> DataFrame:
     """Writes the files and returns a manifest row for each shard; an action on it does the work, once."""
     spark = docs.sparkSession
     shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    fields = [pa.field(n, pa.list_(pa.field("item", t, False), length), False) for n, t in (("input_ids", pa.uint32()), ("mask", pa.uint8()))]
-    schema = pa.schema(fields)
+    narrow = max(encoder(tokenizer).largest_id, end_id) < 1 << 16
+    types = {"input_ids": pa.uint16() if narrow else pa.uint32(), "mask": pa.bool_()}
+    schema = pa.schema([pa.field(n, pa.list_(pa.field("item", t, False), length), False) for n, t in types.items()])
 
     def write(batches):
         shard, block = TaskContext.get().partitionId(), ROWS_PER_BATCH * length
@@ -98,7 +98,7 @@ def read_shards(spark: SparkSession, manifest: list) -> DataFrame:
                         if start + n > end:
                             more = [held[start - at :]]
                             while end < start + n:
-                                flat = sequences.get_batch(block).column(0).flatten().to_numpy()
+                                flat = sequences.get_batch(block).column(0).flatten().to_numpy().astype(np.uint32)
                                 more.append(flat)
                                 block, end = block + 1, end + len(flat)
                             held, at = np.concatenate(more), start

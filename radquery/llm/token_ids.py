@@ -53,6 +53,7 @@ class Encoder:
 
         check_separable(path)
         self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as bytes of uint32."""

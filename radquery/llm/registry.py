@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from radquery.llm.op10_language import op10_language
 from radquery.llm.op4_packing import op4_packing
 from radquery.llm.op5_quality import op5_quality
 from radquery.llm.op6_chat import OP6_SQL, op6_chat
@@ -14,7 +15,7 @@ from radquery.llm.op9_warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_quality, op6_chat, op7_arrow_files, op9_warc)}
+    return {f.__name__: f for f in (op4_packing, op5_quality, op6_chat, op7_arrow_files, op9_warc, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

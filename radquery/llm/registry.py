@@ -11,11 +11,12 @@ from radquery.llm.op4_packing import op4_packing
 from radquery.llm.op5_quality import op5_quality
 from radquery.llm.op6_chat import OP6_SQL, op6_chat
 from radquery.llm.op7_arrow_files import op7_arrow_files
+from radquery.llm.op8_toxicity import op8_toxicity
 from radquery.llm.op9_warc import op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_packing, op5_quality, op6_chat, op7_arrow_files, op9_warc, op10_language)}
+    return {f.__name__: f for f in (op4_packing, op5_quality, op6_chat, op7_arrow_files, op8_toxicity, op9_warc, op10_language)}
 
 
 def oracle_sql() -> dict[str, str]:

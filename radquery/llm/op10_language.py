@@ -45,6 +45,8 @@ SCRIPTS = {
 OTHER, NONE = len(SCRIPTS), len(SCRIPTS) + 1  # another script's letter; no letter at all
 #: Training documents at most; beyond that, those with the smallest hashes of their ids.
 MOST_TRAINING_DOCS = 20_000
+#: Distinct words whose n-grams are in memory at once.
+WORDS_AT_ONCE = 1 << 15
 
 
 class Model(NamedTuple):
@@ -108,7 +110,7 @@ def train(docs: DataFrame, most_docs: int = MOST_TRAINING_DOCS, smoothing: float
     def count(batches):
         grams, letters = np.zeros((len(languages), size), np.int64), np.zeros((len(languages), scripts), np.int64)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", 2 << 20):
                 codes, offsets, distinct = split_words(texts_of(part.column(2)))
                 which = np.array([index[x] for x in part.column(1).to_pylist()], dtype=np.int64)
                 script, (bucket, owner) = word_scripts(distinct.to_pylist()), word_buckets(distinct)
@@ -162,15 +164,19 @@ def viterbi(emissions: np.ndarray, codes: np.ndarray, offsets: np.ndarray, penal
 
 def _emissions(model: Model, distinct: pa.Array, script: np.ndarray, weight: float) -> np.ndarray:
     """Scores of distinct words, relative to the best language."""
-    bucket, owner = word_buckets(distinct)
-    order = np.argsort(owner, kind="stable")
-    counts = np.bincount(owner, minlength=len(distinct))
-    sums = np.concatenate((np.zeros((1, len(model.languages))), np.cumsum(model.weights[bucket[order]], axis=0, dtype=np.float64)))
-    ends = np.cumsum(counts)
-    scores = weight * (sums[ends] - sums[ends - counts]) / np.maximum(1, counts)[:, None]
-    scores[script == NONE] = 0
-    scores[~model.allowed[script]] = -1e4
-    return (scores - scores.max(1, keepdims=True)).astype(np.float32)
+    out = np.empty((len(distinct), len(model.languages)), dtype=np.float32)
+    for at in range(0, len(distinct), WORDS_AT_ONCE):
+        part, own = distinct.slice(at, WORDS_AT_ONCE), script[at : at + WORDS_AT_ONCE]
+        bucket, owner = word_buckets(part)
+        bucket = bucket[np.argsort(owner, kind="stable")]
+        counts = np.bincount(owner, minlength=len(part))
+        sums = np.concatenate((np.zeros((1, len(model.languages))), np.cumsum(model.weights[bucket], axis=0, dtype=np.float64)))
+        ends = np.cumsum(counts)
+        scores = weight * (sums[ends] - sums[ends - counts]) / np.maximum(1, counts)[:, None]
+        scores[own == NONE] = 0
+        scores[~model.allowed[own]] = -1e4
+        out[at : at + WORDS_AT_ONCE] = scores - scores.max(1, keepdims=True)
+    return out
 
 
 def identify(docs: DataFrame, model: Model, weight: float = 4.0, penalty: float = 6.0, with_spans: bool = True) -> DataFrame:

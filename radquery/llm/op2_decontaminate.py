@@ -80,7 +80,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, simi
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
     leaks = write_table(find_leaks(docs, benchmark).select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(F.col("_doc")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_doc"]) & (F.xxhash64(docs["text"]) == leaks["_hash"]), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

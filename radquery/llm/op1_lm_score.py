@@ -58,7 +58,7 @@ def pack(values: np.ndarray) -> bytes:
     """Compressed bytes; of sorted 64-bit values, the differences. Like bytes of all values stand together."""
     if values.dtype == np.uint64:
         values = np.diff(values, prepend=_U(0))
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(len(values), -1).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
 
 
 def unpack(data: bytes, kind) -> np.ndarray:
@@ -163,7 +163,7 @@ def _grams(levels: list[Level], order: int, codes: np.ndarray, offsets: np.ndarr
 def _blocks(shard: np.ndarray, columns: list[np.ndarray], kind: str = "") -> pa.RecordBatch:
     """A row of packed columns for each shard; rows are sorted by shard."""
     first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.empty(0, np.int64)
-    ends = np.append(first[1:], len(shard))
+    ends = np.append(first, len(shard))[1:]
     data = [pa.array([pack(c[a:b]) if len(c) else None for a, b in zip(first, ends, strict=True)], pa.binary()) for c in columns]
     return pa.record_batch([pa.array(shard[first].astype(np.int32)), pa.array([kind] * len(first), pa.string()), *data], names=["shard", "kind", *(f"c{i}" for i in range(len(columns)))])
 

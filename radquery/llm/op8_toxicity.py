@@ -157,8 +157,9 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     place = F.pmod(F.xxhash64("_id"), F.lit(1_000_000))
     limit = {k: int(1e6 * min(1.0, most / max(1, n.get(k, 0)))) for k in (0, 1)}
     chosen = known.where(place < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0]))
+    # about 2 * most rows of two numbers: a bounded size to broadcast, and then a bounded number of texts to collect
     texts = docs.where(F.length("text") <= LONGEST).select("doc_id", "text")
-    rows = texts.join(chosen, F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "toxic", "text"])
+    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "toxic", "text"])
     return fit(rows["text"].tolist(), rows["toxic"].to_numpy(dtype=np.int64))
 
 

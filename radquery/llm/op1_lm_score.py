@@ -38,6 +38,8 @@ from radquery.llm.words import slices, split_words, texts_of
 END = xxhash.xxh64_intdigest(b" ")
 #: Text for each shard, about; there are 64 shards at least.
 SHARD_BYTES = 64 << 20
+#: Text that a task counts, and scores, at once.
+COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
 TYPES = {"keys": np.uint64, "counts": np.uint32, "suffix": np.uint64, "adjusted": np.uint32, "total": np.uint64, "n1": np.uint32, "n2": np.uint32, "n3": np.uint32}
 _U = np.uint64
 
@@ -222,7 +224,7 @@ def _count_level(docs: DataFrame, k: int, order: int, levels: list[Level], folde
     shift = _U(64 - (shards.bit_length() - 1))
 
     def count(batches):
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, most=COUNT_BYTES)):
             codes, offsets, hashes = _tokens(part.column(0))
             if k == 1:
                 keys, n, _ = counted(hashes, np.bincount(codes, minlength=len(hashes)))
@@ -369,7 +371,7 @@ def score(docs: DataFrame, trained: Trained | None) -> DataFrame:
 
     def run(batches):
         trained = shared.value
-        for part in (p for b in batches for p in slices(b)):
+        for part in (p for b in batches for p in slices(b, most=SCORE_BYTES)):
             codes, offsets, hashes = _tokens(part.column(1))
             if trained:
                 tokens, known = trained.model.tokens, int(trained.model.levels[0].starts[-1])

@@ -2,8 +2,9 @@
 
 Words are runs of letters, marks and digits in lower case. A mask keeps five of eight successive words and ignores the others;
 the hash of the kept ones is a seed. Seeds of documents and of benchmark items are joined, and each hit fixes how both texts
-lie against each other. There the words are compared one by one: an item is found in a document if, somewhere, 13 successive
-words agree but for a fifth (all words of an item that has fewer). Each of both masks alone has a place in any 13 words of
+lie against each other. There the words around the hit are compared one by one: an item is found in a document if, somewhere,
+13 successive words agree but for a fifth (all words of an item that has fewer). Of places in an item with the same seed and
+the same words around one is enough, so items that repeat themselves don't multiply hits. Each of both masks alone has a place in any 13 words of
 which up to two are substituted.
 
 Seeds of the benchmark are broadcast if their count is below a limit; else the join deals out both sides.
@@ -22,6 +23,8 @@ from radquery.llm.shared import write_table
 #: Fixed masks: the places, among eight words, that are kept.
 MASKS = ((0, 1, 4, 6, 7), (0, 1, 3, 6, 7))
 SPAN, WINDOW, SIMILARITY = 8, 13, 0.8
+#: Words of an item whose hits on one diagonal are verified together.
+BLOCK = 64
 #: Seeds of the benchmark that may be broadcast: 32 MB.
 BROADCAST_SEEDS = 1_000_000
 
@@ -45,27 +48,33 @@ def with_seeds(df: DataFrame) -> DataFrame:
 
 def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
     """doc_id, text_hash, item_id, start_word (the document's word that the item's first lies against; negative if it begins
-    before the document), overlap_words, matched_words, and window_matches: the most in any window."""
+    before the document), and of the place with most matches: overlap_words, matched_words, and window_matches, the most in
+    any window."""
     items = write_table(benchmark.select("item_id", F.xxhash64("text").alias("item"), word_hashes(F.col("text")).alias("item_words")), "items")
     texts = items.dropDuplicates(["item"])
-    seeds = write_table(with_seeds(texts.select("item", F.col("item_words").alias("words"))).withColumnRenamed("place", "item_place"), "seeds")
+    near = window - 1  # a window with the hit reaches so far at most
+    seeds = with_seeds(texts.select("item", "item_words", F.col("item_words").alias("words"))).withColumnRenamed("place", "item_place")
+    before = F.least(F.col("item_place"), F.lit(near))
+    around = F.xxhash64(F.slice("item_words", F.col("item_place") - before + 1, before + SPAN + near))
+    seeds = seeds.withColumns({"_before": before, "_around": around}).dropDuplicates(["item", "seed", "_before", "_around"])
+    seeds = write_table(seeds.select("item", "seed", "item_place"), "seeds")
     bounded = seeds.count() <= BROADCAST_SEEDS
     small = F.broadcast if bounded else lambda df: df
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     places = with_seeds(keyed.select("doc_id", "text_hash", word_hashes(F.col("text")).alias("words")))
-    hits = places.join(small(seeds), "seed").select("doc_id", "text_hash", "item", (F.col("place") - F.col("item_place")).alias("start_word")).distinct()
+    block = F.floor(F.col("item_place") / BLOCK).cast("int").alias("block")
+    hits = places.join(small(seeds), "seed").select("doc_id", "text_hash", "item", (F.col("place") - F.col("item_place")).alias("start_word"), block).distinct()
     hits = write_table(hits, "hits")
 
+    # Compared at once: a block of the item with what a window can reach on both sides.
+    first = F.greatest(F.lit(0), -F.col("start_word"), F.col("block") * BLOCK - near)
+    last = F.least(F.size("item_words"), F.size("words") - F.col("start_word"), (F.col("block") + 1) * BLOCK + SPAN + near)
     there = hits.withColumnRenamed("doc_id", "_doc").join(keyed, F.col("_doc").eqNullSafe(F.col("doc_id")) & (hits["text_hash"] == keyed["text_hash"]))
-    there = there.select("doc_id", keyed["text_hash"], "item", "start_word", word_hashes(F.col("text")).alias("words"))
+    there = there.select("doc_id", keyed["text_hash"], "item", "start_word", "block", word_hashes(F.col("text")).alias("words"))
     there = there.join(small(texts.select("item", "item_words")), "item")
-    begin = F.greatest(F.lit(0), -F.col("start_word"))
-    overlap = F.least(F.size("item_words") - begin, F.size("words") - F.col("start_word") - begin)
-    pair = F.zip_with(
-        F.slice("item_words", begin + 1, overlap), F.slice("words", F.col("start_word") + begin + 1, overlap), lambda a, b: (a == b).cast("int")
-    )
-    there = there.withColumn("same", pair).withColumn("_w", F.least(F.lit(window), F.size("item_words")))
+    pair = F.zip_with(F.slice("item_words", first + 1, last - first), F.slice("words", F.col("start_word") + first + 1, last - first), lambda a, b: (a == b).cast("int"))
+    there = there.select("doc_id", "text_hash", "item", "start_word", pair.alias("same"), F.least(F.lit(window), F.size("item_words")).alias("_w"))
     sums = F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("same") - F.col("_w") + 1)),
         lambda i: F.aggregate(F.slice("same", i, F.col("_w")), F.lit(0), lambda s, x: s + x),

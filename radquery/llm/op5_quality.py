@@ -108,4 +108,22 @@ def judge(docs: DataFrame, host_limit: float = 0.5) -> DataFrame:
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     result = judge(spark.read.parquet(f"{sf_dir}/documents.parquet"))
-    return result.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rate", "host_rejected")
+    return result.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "host_rejected")
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT doc_id, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, i, array_to_string(w[i:i + 7], ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 6)) AS i FROM d)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM rep, range(0, 8) t(k) GROUP BY doc_id),
+l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS lines FROM d),
+m AS (SELECT doc_id, source, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars, CAST(len(regexp_extract_all(text, '[#*$%&|<>]')) AS BIGINT) AS n_symbols,
+  CAST(len(lines) - len(list_distinct(lines)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n, 0) AS BIGINT) AS n_repeat_words, len(lines) AS n_lines FROM d JOIN l USING (doc_id) LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed, 4 * n_symbols > word_chars OR (n_lines >= 4 AND 2 * n_dup_lines > n_lines) AS other FROM m),
+h AS (SELECT source, count(*) AS docs, count(*) FILTER (base_failed OR other) AS failed FROM b GROUP BY source),
+s AS (SELECT avg(failed / docs) AS mean, var_pop(failed / docs) - avg(failed / docs) * (1 - avg(failed / docs)) * avg(1 / docs) AS between_hosts FROM h),
+k AS (SELECT mean, CASE WHEN mean > 0 AND mean < 1 AND between_hosts > 0 THEN least(1e6, greatest(1, mean * (1 - mean) / between_hosts - 1)) ELSE 1e6 END AS strength FROM s),
+v AS (SELECT source, (failed + mean * strength) / (docs + strength) > 0.5 AS host_rejected FROM h, k)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT (base_failed OR other OR host_rejected) AS kept, host_rejected
+FROM b JOIN v ON b.source IS NOT DISTINCT FROM v.source
+"""

@@ -204,3 +204,13 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     archives = write_archives(chunks, find_revisits(chunks), new_dir(spark, "archives"))
     read = read_archives(spark, [r["path"] for r in archives.collect()], with_data=False)
     return read.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+OP9_SQL = """
+WITH p AS (SELECT CAST(page_id AS BIGINT) AS page_id, coalesce(html, '') AS html FROM pages),
+f AS (SELECT *, sha1(html) AS h, min(page_id) OVER (PARTITION BY html) AS original FROM p)
+SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes,
+  array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(1 + ((CAST('0x' || substr(h, CAST(1 + 5 * (i // 4) AS BIGINT), 5) AS BIGINT) >> CAST(15 - 5 * (i % 4) AS BIGINT)) & 31) AS BIGINT), 1)), '') AS payload_digest,
+  CASE WHEN page_id = original THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> original THEN original END AS refers_to
+FROM f
+"""

@@ -11,11 +11,11 @@ from radquery.llm.op1_lm_score import op1_lm_score
 from radquery.llm.op2_decontaminate import op2_decontaminate
 from radquery.llm.op3_simhash import op3_simhash
 from radquery.llm.op4_packing import op4_packing
-from radquery.llm.op5_quality import op5_quality
+from radquery.llm.op5_quality import OP5_SQL, op5_quality
 from radquery.llm.op6_chat import OP6_SQL, op6_chat
 from radquery.llm.op7_arrow_files import op7_arrow_files
 from radquery.llm.op8_toxicity import op8_toxicity
-from radquery.llm.op9_warc import op9_warc
+from radquery.llm.op9_warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,4 +23,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": OP6_SQL}
+    return {"op5_quality": OP5_SQL, "op6_chat": OP6_SQL, "op9_warc": OP9_SQL}

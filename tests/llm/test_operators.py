@@ -397,8 +397,9 @@ def test_measures(spark, documents):
         assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"]) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text[r["doc_id"]])), len(lines) - len(set(lines)))
 
 
-def test_chat_same_as_sql(spark, duck):
-    same_rows(registry.queries()["op6_chat"](spark, DATA), duck.sql(registry.oracle_sql()["op6_chat"]))
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_same_as_sql(spark, duck, name):
+    same_rows(registry.queries()[name](spark, DATA), duck.sql(registry.oracle_sql()[name]))
 
 
 def test_chat_round_trip(spark):

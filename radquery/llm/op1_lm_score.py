@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radquery.llm.shared import AtomicFile, filesystem, is_local, local_path, new_dir, write_table
-from radquery.llm.words import slices, split_words, texts_of
+from radquery.llm.words import give_back, slices, split_words, texts_of
 
 #: No word is a blank, so its hash stands for the end.
 END = xxhash.xxh64_intdigest(b" ")
@@ -191,6 +191,7 @@ def _by_shard(batches):
             if now is not None and row["shard"] != now:
                 yield now, rows
                 rows = []
+                give_back()
             now = row["shard"]
             rows.append(row)
     if rows:

@@ -32,7 +32,7 @@ MOST, LONGEST = 4000, 100_000
 DICTIONARY_BYTES = 1 << 15
 #: Lengths above these count as these.
 MOST_BYTES, MOST_LENGTH = 24, 48
-KEPT_WORDS = 300_000
+KEPT_WORDS = 150_000
 
 
 class Model(NamedTuple):

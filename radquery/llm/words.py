@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -10,7 +11,17 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are split into words at once; a longer text is a slice of its own.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
+
+
+_trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
+def give_back() -> None:
+    """Returns freed memory to the system; a worker is used again, and its executor's memory has room for few large ones."""
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
 
 
 class Words(NamedTuple):
@@ -33,6 +44,7 @@ def slices(batch: pa.RecordBatch, text: str = "text", most: int = SLICE_BYTES) -
         done = int(ends[at - 1]) if at else 0
         to = max(at + 1, int(np.searchsorted(ends, done + most, "right")))
         yield batch.slice(at, to - at)
+        give_back()
         at = to
 
 

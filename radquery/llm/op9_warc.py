@@ -65,13 +65,13 @@ def _table(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def find_revisits(chunks: DataFrame, least: int = 0) -> DataFrame:
-    """A row for each record: record, page_id, url, payload_bytes, payload_digest, refers_to."""
+    """A row for each record: record, page_id, url, payload_bytes, payload_digest, refers_to and refers_record."""
     records = chunks.where("last").select("record", "page_id", "url", "payload_bytes", "payload_digest")
-    originals = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min("page_id").alias("original"))
+    originals = records.where(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "record"))).alias("original"))
     originals = write_table(originals, "originals")  # as a table, Spark knows its size, and can split a digest's rows in the join
     joined = records.join(originals, "payload_digest", "left")
-    other = (F.col("page_id") != F.col("original")) & (F.col("payload_bytes") >= least)
-    return joined.select(*records.columns, F.when(other, F.col("original")).alias("refers_to"))
+    other = (F.col("page_id") != F.col("original.page_id")) & (F.col("payload_bytes") >= least)
+    return joined.select(*records.columns, *(F.when(other, F.col(f"original.{k}")).alias(n) for k, n in (("page_id", "refers_to"), ("record", "refers_record"))))
 
 
 def _uri(page: int | None, record: int) -> str:
@@ -85,8 +85,8 @@ def _header(kind: str, lines: list[str], http: bytes, payload: int) -> bytes:
 def write_archives(chunks: DataFrame, records: DataFrame, folder: str, files: int | None = None) -> DataFrame:
     """Writes gzip archives, a member for each record, and returns a row (path, records) for each; an action does the work."""
     files = files or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    heads = records.select("record", F.lit(-1).alias("chunk"), "page_id", "url", "payload_bytes", "payload_digest", "refers_to", F.lit(None).cast("binary").alias("data"))
-    bodies = chunks.select("record", "chunk", *(F.lit(None).cast(t).alias(n) for n, t in (("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("refers_to", "long"))), "data")
+    heads = records.select("record", F.lit(-1).alias("chunk"), "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "refers_record", F.lit(None).cast("binary").alias("data"))
+    bodies = chunks.select("record", "chunk", *(F.lit(None).cast(t).alias(n) for n, t in (("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("refers_to", "long"), ("refers_record", "long"))), "data")
     rows = heads.union(bodies).repartition(files, "record").sortWithinPartitions("record", "chunk")
 
     def write(batches):
@@ -102,7 +102,7 @@ def write_archives(chunks: DataFrame, records: DataFrame, folder: str, files: in
                         n, target = r["payload_bytes"], re.sub(r"[\r\n]", "", r["url"])
                         lines = [f"WARC-Record-ID: {_uri(r['page_id'], r['record'])}", f"WARC-Target-URI: {target}", f"WARC-Payload-Digest: sha1:{r['payload_digest']}", "Content-Type: application/http; msgtype=response"]
                         if skip:
-                            lines += [f"WARC-Refers-To: {_uri(r['refers_to'], 0)}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
+                            lines += [f"WARC-Refers-To: {_uri(r['refers_to'], r['refers_record'])}", "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"]
                         http = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {n}\r\n\r\n".encode()
                         out.write(gz.compress(_header("revisit" if skip else "response", lines, http, 0 if skip else n)))
                     elif not skip:

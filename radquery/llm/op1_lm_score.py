@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radquery.llm.shared import AtomicFile, filesystem, is_local, local_path, new_dir, write_table
-from radquery.llm.words import give_back, slices, split_words, texts_of
+from radquery.llm.words import give_back, mix, slices, split_words, texts_of
 
 #: No word is a blank, so its hash stands for the end.
 END = xxhash.xxh64_intdigest(b" ")
@@ -44,12 +44,6 @@ TYPES = {"keys": np.uint64, "counts": np.uint32, "suffix": np.uint64, "adjusted"
 _U = np.uint64
 
 
-def mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(30))) * _U(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> _U(27))) * _U(0x94D049BB133111EB)
-    return x ^ (x >> _U(31))
-
-
 def unmix(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> _U(31)) ^ (x >> _U(62))) * _U(0x319642B2D24D8EC3)
     x = (x ^ (x >> _U(27)) ^ (x >> _U(54))) * _U(0x96DE1B173F119089)

@@ -11,6 +11,8 @@ Equal fingerprints are one before all that. At an anchor only links between diff
 on a tree for each set of them that hangs together, not all pairs. An anchor with very many copies is split into pairs of
 parts, which changes where rows are compared, not which.
 
+``near_duplicates`` is this, on shingles of three words; ``near_copies`` finds texts of a similarity of 0.8 or more.
+
 Null, empty and wordless texts have fingerprint zero, and are linked like any other. Repeated rows all stay. Rows without id
 count where a component has no other. Of further columns nothing is read. No document: no rows.
 """
@@ -29,13 +31,15 @@ from pyspark.sql import functions as F
 
 from radquery.llm.components import components
 from radquery.llm.shared import write_table
-from radquery.llm.words import gather, slices, split_flat, texts_of
+from radquery.llm.words import gather, mix, slices, split_flat, split_words, texts_of
 
 #: Generator polynomial of the Golay code of length 23.
 GOLAY, LENGTH, CHECK_BITS, RADIUS = 0xC75, 23, 11, 3
 #: Rows at an anchor beyond which they are split.
 HOT_ROWS = 50_000
 PAIRS_AT_ONCE = 1 << 21
+#: Of ``near_copies``: fingerprints of words, bits that compare shingles, and how many of them may differ.
+WORD_FINGERPRINTS, SKETCH_BITS, SKETCH_DIFFERENCE = 16, 192, 26
 
 
 def hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -154,43 +158,63 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes[other], nodes[root[other]]
 
 
-def _compare(batches, distance: int):
-    """Trees of the links at each anchor, from rows (anchor, part, fp) sorted by all three."""
+def _compare(batches, at_home, near):
+    """Trees of the links at each anchor, from rows (anchor, part, node, ...) sorted by anchor and part; ``at_home`` and
+    ``near`` see lists of columns from the node on."""
     held: list[np.ndarray] = []
     edges: list[tuple[np.ndarray, np.ndarray]] = []
 
-    def link(key: np.ndarray, fp: np.ndarray, anchor: np.ndarray) -> None:
+    def link(key: np.ndarray, anchor: np.ndarray, columns: list[np.ndarray]) -> None:
         ends = np.searchsorted(key, key, "right") if len(key) else key
-        at_home = np.flatnonzero(home(fp) == anchor)
-        others = ends[at_home] - at_home - 1  # the greater ones at the anchor; for the smaller ones, their homes see to it
-        at_home, others = at_home[others > 0], others[others > 0]
+        homes = np.flatnonzero(at_home(anchor, columns))
+        others = ends[homes] - homes - 1  # the later ones at the anchor
+        homes, others = homes[others > 0], others[others > 0]
         sums = np.cumsum(others)
         at = 0
-        while at < len(at_home):
+        while at < len(homes):
             to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
-            x = np.repeat(at_home[at:to], others[at:to])
-            y = gather(np.arange(len(fp)), at_home[at:to] + 1, others[at:to])
-            near = np.bitwise_count(fp[x] ^ fp[y]) <= distance
-            edges.append((fp[x[near]].view(np.int64), fp[y[near]].view(np.int64)))
+            x = np.repeat(homes[at:to], others[at:to])
+            y = gather(np.arange(len(key)), homes[at:to] + 1, others[at:to])
+            linked = near([c[x] for c in columns], [c[y] for c in columns])
+            edges.append((columns[0][x[linked]], columns[0][y[linked]]))
             if sum(len(e[0]) for e in edges) > PAIRS_AT_ONCE:
                 edges[:] = [local_roots(*map(np.concatenate, zip(*edges, strict=True)))]
             at = to
 
     for batch in batches:
-        anchor, part, fp = (batch.column(k).to_numpy() for k in range(3))
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
         if held:
-            anchor, part, fp = (np.concatenate([x, y]) for x, y in zip(held, (anchor, part, fp), strict=True))
-        key = (anchor.astype(np.int64) << 32) | part
+            columns = [np.concatenate([x, y]) for x, y in zip(held, columns, strict=True)]
+        key = (columns[0].astype(np.int64) << 32) | columns[1]
         cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        link(key[:cut], fp[:cut].view(np.uint64), anchor[:cut])
-        held = [anchor[cut:], part[cut:], fp[cut:]]
+        link(key[:cut], columns[0][:cut], [c[:cut] for c in columns[2:]])
+        held = [c[cut:] for c in columns]
     if held:
-        link((held[0].astype(np.int64) << 32) | held[1], held[2].view(np.uint64), held[0])
+        link((held[0].astype(np.int64) << 32) | held[1], held[0], held[2:])
     if edges:
         node, root = local_roots(*map(np.concatenate, zip(*edges, strict=True)))
         yield pa.record_batch([node, root], names=["a", "b"])
 
 
+def _links_at_anchors(table: DataFrame, spread, schema: str, order: list, at_home, near, hot_rows: int) -> DataFrame:
+    """Edges (a, b) between nodes. ``spread`` makes rows (anchor, node, ...) from batches of the table."""
+    copied = table.mapInArrow(spread, schema)
+    node, *more = copied.columns[1:]
+    # Sizes from a sixteenth of the rows; they only decide which anchors are split.
+    sampled = table.where(F.pmod(F.xxhash64(table.columns[0]), F.lit(16)) == 0).mapInArrow(spread, schema)
+    hot = sampled.groupBy("anchor").agg((16 * F.count("*")).alias("n")).where(F.col("n") > hot_rows)
+    hot = write_table(hot.select("anchor", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")), "hot-anchors")
+    rows = copied.select("anchor", F.lit(0).alias("part"), node, *more)
+    if not hot.isEmpty():
+        rows = copied.join(hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        own = F.pmod(F.xxhash64(node), F.col("parts")).cast("int")
+        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, own) * F.col("parts") + F.greatest(k, own))
+        rows = rows.select("anchor", F.explode(pair).alias("part"), node, *more)
+    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part", *order)
+    return dealt.mapInArrow(lambda batches: _compare(batches, at_home, near), "a long, b long")
+
+
 def links(distinct: DataFrame, distance: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Edges (a, b) between fingerprints of a table with the column fp, without repeats; all linked ones hang together."""
 
@@ -201,20 +225,14 @@ def links(distinct: DataFrame, distance: int = 2, hot_rows: int = HOT_ROWS) -> D
                 row, anchor = anchors(fp.view(np.uint64), distance)
                 yield pa.record_batch([anchor.astype(np.int32), fp[row]], names=["anchor", "fp"])
 
-    copied = distinct.select("fp").mapInArrow(spread, "anchor int, fp long")
-    # Sizes from a sixteenth of the fingerprints; they only decide which anchors are split.
-    sampled = distinct.where(F.pmod(F.xxhash64("fp"), F.lit(16)) == 0).select("fp").mapInArrow(spread, "anchor int, fp long")
-    hot = sampled.groupBy("anchor").agg((16 * F.count("*")).alias("n")).where(F.col("n") > hot_rows)
-    hot = write_table(hot.select("anchor", F.ceil(F.col("n") / hot_rows).cast("int").alias("parts")), "hot-anchors")
-    rows = copied.select("anchor", F.lit(0).alias("part"), "fp")
-    if not hot.isEmpty():
-        rows = copied.join(hot, "anchor", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
-        own = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, own) * F.col("parts") + F.greatest(k, own))
-        rows = rows.select("anchor", F.explode(pair).alias("part"), "fp")
-    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part", F.expr("fp < 0"), "fp")  # as unsigned
-    return dealt.mapInArrow(lambda batches: _compare(batches, distance), "a long, b long")
+    def at_home(anchor, columns):
+        return home(columns[0].view(np.uint64)) == anchor
+
+    def near(x, y):
+        return np.bitwise_count((x[0] ^ y[0]).view(np.uint64)) <= distance
+
+    # Each home has the greater ones at its anchor to compare with; for the smaller ones, their homes see to it.
+    return _links_at_anchors(distinct.select("fp"), spread, "anchor int, fp long", ["fp"], at_home, near, hot_rows)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -228,6 +246,77 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, hot_ro
     return table.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
+def word_fingerprints(texts: pa.Array, number: int = WORD_FINGERPRINTS) -> np.ndarray:
+    """For each text, fingerprints of its distinct lower-case words under so many hash functions."""
+    codes, offsets, distinct = split_words(pc.ascii_lower(texts_of(texts)))
+    size, n = max(1, len(distinct)), len(offsets) - 1
+    pairs = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * size + codes)
+    digest = xxhash.xxh64_intdigest
+    values = np.fromiter((digest(w, 42) for w in distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))[pairs % size]
+    ends = np.searchsorted(pairs, np.arange(n + 1) * size)
+    return np.stack([fingerprint(mix(values + np.uint64(k)), ends) for k in range(number)], axis=1)
+
+
+def shingle_bits(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """SKETCH_BITS bits for each text, each a bit of its shingles' smallest hash under one of as many hash functions: of two
+    texts of similarity s, a share of (1 - s) / 2 differs."""
+    full = np.diff(offsets) > 0
+    out = np.zeros((len(full), SKETCH_BITS), dtype=bool)
+    if len(values):
+        for k, factor in enumerate(np.random.default_rng(42).integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64)):
+            out[full, k] = (np.minimum.reduceat(values * (2 * factor + np.uint64(1)), offsets[:-1][full]) >> np.uint64(32)) & np.uint64(1)
+    return np.packbits(out, axis=1)
+
+
+def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """doc_id and component_id of documents that hang together by a similarity (Jaccard, of sets of ``shingle`` words) of 0.8
+    or more.
+
+    An edit changes all shingles around it, so a fingerprint of shingles differs in far more than a few bits at that
+    similarity. Here fingerprints of single words choose who is compared: 16 of two Golay blocks each, copied to the anchors
+    that exceed the radius by one bit at most (9.6 on average). Texts that meet at an anchor of any of them are compared by 192
+    further bits that estimate the similarity of their shingles; up to 26 bits of difference link them. The limit is therefore
+    soft: of texts of similarity 0.8 that meet 95 in 100 link, of those of 0.7 three in ten, of those of 0.6 one in a hundred.
+
+    Documents with equal bits are one before all that. Ids are handled as by ``near_duplicates``; where a component has no id,
+    its component_id is a hash.
+    """
+
+    def sketch(batches):
+        for part in (p for b in batches for p in slices(b, most=4 << 20)):
+            texts = part.column(1)
+            raw = np.concatenate([word_fingerprints(texts).view(np.uint8), shingle_bits(*hashes(texts, shingle))], axis=1)
+            ends = np.arange(len(raw) + 1, dtype=np.int32) * raw.shape[1]
+            bits = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
+            yield pa.record_batch([part.column(0), bits], names=["doc_id", "bits"])
+
+    checks = [f"c{i}" for i in range(SKETCH_BITS // 64)]
+
+    def spread(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(at, 1 << 12)
+                words = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.int64).reshape(part.num_rows, -1)
+                node = part.column(0).to_numpy()
+                for k in range(WORD_FINGERPRINTS):
+                    row, anchor = anchors(words[:, k].copy().view(np.uint64), 1)
+                    home_first = np.arange(len(row)) >= len(node)  # the first of each are at home
+                    yield pa.record_batch([((k << 24) | anchor).astype(np.int32), node[row], home_first, *words[row, WORD_FINGERPRINTS:].T.copy()], names=["anchor", "node", "away", *checks])
+
+    def at_home(anchor, columns):
+        return ~columns[1].astype(bool)
+
+    def near(x, y):
+        return sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in zip(x[2:], y[2:], strict=True)) <= SKETCH_DIFFERENCE
+
+    table = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, bits binary"), "sketches")
+    distinct = write_table(table.groupBy("bits").agg(F.coalesce(F.min("doc_id"), F.xxhash64("bits")).alias("node")), "distinct-sketches")
+    schema = "anchor int, node long, away boolean, " + ", ".join(f"{c} long" for c in checks)
+    roots = components(_links_at_anchors(distinct.select("node", "bits"), spread, schema, ["away"], at_home, near, hot_rows))
+    named = distinct.join(roots, "node", "left").select("bits", F.coalesce("root", "node").alias("component_id"))
+    return table.join(write_table(named, "components"), "bits").select("doc_id", "component_id")
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radquery.llm.shared import write_table
-from radquery.llm.words import slices, split_words, texts_of
+from radquery.llm.words import mix, slices, split_words, texts_of
 
 #: Words of the windows whose repetition within a text counts.
 WINDOW = 8
@@ -32,23 +32,17 @@ RULES = {
 }
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 def repeated_words(codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     """For each text, its words that lie in a window of WINDOW words which the text has twice or more."""
     counts, texts = np.diff(offsets), len(offsets) - 1
     if len(codes) < WINDOW:
         return np.zeros(texts, dtype=np.int64)
     text = np.repeat(np.arange(texts), counts)
-    word, key = _mix(codes.astype(np.uint64) + np.uint64(1)), np.zeros(len(codes) - WINDOW + 1, dtype=np.uint64)
+    word, key = mix(codes.astype(np.uint64) + np.uint64(1)), np.zeros(len(codes) - WINDOW + 1, dtype=np.uint64)
     for k in range(WINDOW):
         key = key * np.uint64(0x9E3779B97F4A7C15) + word[k : k + len(key)]
     starts = np.flatnonzero(text[: len(key)] == text[WINDOW - 1 :])
-    key = key[starts] ^ _mix(text[starts].astype(np.uint64) + np.uint64(1 << 40))
+    key = key[starts] ^ mix(text[starts].astype(np.uint64) + np.uint64(1 << 40))
     order = np.argsort(key)
     pair = np.flatnonzero(key[order][1:] == key[order][:-1])
     a, b = starts[order[pair]], starts[order[pair + 1]]

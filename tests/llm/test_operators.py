@@ -276,6 +276,27 @@ def test_near_duplicates_of_documents(spark, documents, odd):
     assert sim.near_duplicates(odd.limit(0)).count() == 0
 
 
+def test_near_copies(spark, odd):
+    rng = random.Random(5)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(3000)]
+    texts = []
+    for _ in range(60):
+        base = rng.choices(vocabulary, k=rng.randint(60, 300))
+        other = rng.choices(vocabulary, k=len(base) // 2) + base[: len(base) // 2]  # of similarity 1/3
+        texts += [base, base, base[:30] + ["changed"] + base[31:], base + ["more"], other]
+    sets = [{tuple(t[i : i + 5]) for i in range(len(t) - 4)} for t in texts]
+    want = list(range(len(texts)))
+    for a, b in itertools.combinations(range(len(texts)), 2):
+        if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]):
+            want[b] = min(want[b], want[a])
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    for hot_rows in (50_000, 8):
+        assert [r["component_id"] for r in sorted(sim.near_copies(df, hot_rows=hot_rows).collect())] == want
+    odds = sim.near_copies(odd).collect()
+    assert len(odds) == len(ODD) and {r["component_id"] for r in odds if r["doc_id"] in (1, 2, 3)} == {1} and {r["component_id"] for r in odds if r["doc_id"] in (4, 5)} == {4}
+    assert sim.near_copies(odd.limit(0)).count() == 0
+
+
 # ---- 4 and 7 --------------------------------------------------------------------------------------------------------
 
 

@@ -1,12 +1,12 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries are trained, one on ordinary and one on toxic text, and each window of a text is compressed with
+Two zstandard dictionaries (raw content, the most frequent windows) are made from training text, one from ordinary and one from toxic text, and each window of a text is compressed with
 both. The less the toxic dictionary leaves of a window, and the more the ordinary one, the more of it is known from toxic
 text only. Thresholds are calibrated: a pair of lengths counts by how much oftener toxic documents of the calibration half
 have a window with it than ordinary ones do, and a logistic function of a document's windows gives its score.
 
 A window is one word, without marks around it, three times: a dictionary that has the word then leaves a single match, where
-a whole passage would hide it among ordinary words. Each distinct word is compressed once. The toxic dictionary is trained on
+a whole passage would hide it among ordinary words. Each distinct word is compressed once. The toxic dictionary holds
 the windows that toxic documents have far oftener than ordinary ones, as toxic documents consist of ordinary words mostly.
 
 Only the fit sees labels. It takes ``most`` documents of either class at the most, by the hash of the id. Null and empty
@@ -143,11 +143,8 @@ def fit(texts: list[str], of: np.ndarray) -> Model:
 
 
 def _train(windows: list[bytes]) -> bytes:
-    """A dictionary of the windows, the frequent ones last; where they are too many, of what zstandard's training picks."""
-    whole = b"".join(windows)
-    if len(whole) <= DICTIONARY_BYTES or len(windows) < 100:
-        return whole[-DICTIONARY_BYTES:] or b" "
-    return zstandard.train_dictionary(DICTIONARY_BYTES, windows).as_bytes()
+    """A dictionary of the windows, the frequent ones last; where they are too many, of the most frequent ones."""
+    return b"".join(windows)[-DICTIONARY_BYTES:] or b" "
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:

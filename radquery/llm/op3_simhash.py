@@ -269,8 +269,9 @@ def shingle_bits(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """doc_id and component_id of documents that hang together by a similarity (Jaccard, of sets of ``shingle`` words) of 0.8
-    or more.
+    """doc_id, text_hash, component_id and component_hash of documents that hang together by a similarity (Jaccard, of sets of
+    ``shingle`` words) of 0.8 or more. A component is named by its smallest (doc_id, text_hash), so different texts under one
+    doc_id are told apart.
 
     An edit changes all shingles around it, so a fingerprint of shingles differs in far more than a few bits at that
     similarity. Here fingerprints of single words choose who is compared: 16 of two Golay blocks each, copied to the anchors
@@ -288,7 +289,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
             raw = np.concatenate([word_fingerprints(texts).view(np.uint8), shingle_bits(*hashes(texts, shingle))], axis=1)
             ends = np.arange(len(raw) + 1, dtype=np.int32) * raw.shape[1]
             bits = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
-            yield pa.record_batch([part.column(0), bits], names=["doc_id", "bits"])
+            yield pa.record_batch([part.column(0), part.column(2), bits], names=["doc_id", "text_hash", "bits"])
 
     checks = [f"c{i}" for i in range(SKETCH_BITS // 64)]
 
@@ -309,12 +310,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
     def near(x, y):
         return sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in zip(x[2:], y[2:], strict=True)) <= SKETCH_DIFFERENCE
 
-    table = write_table(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(sketch, "doc_id long, bits binary"), "sketches")
-    distinct = write_table(table.groupBy("bits").agg(F.coalesce(F.min("doc_id"), F.xxhash64("bits")).alias("node")), "distinct-sketches")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    table = write_table(hashed.mapInArrow(sketch, "doc_id long, text_hash long, bits binary"), "sketches")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash"))
+    distinct = write_table(table.groupBy("bits").agg(first.alias("first")).withColumn("node", F.xxhash64("bits")), "distinct-sketches")
     schema = "anchor int, node long, away boolean, " + ", ".join(f"{c} long" for c in checks)
     roots = components(_links_at_anchors(distinct.select("node", "bits"), spread, schema, ["away"], at_home, near, hot_rows))
-    named = distinct.join(roots, "node", "left").select("bits", F.coalesce("root", "node").alias("component_id"))
-    return table.join(write_table(named, "components"), "bits").select("doc_id", "component_id")
+    rooted = write_table(distinct.join(roots, "node", "left").select("bits", "first", F.coalesce("root", "node").alias("root")), "rooted-sketches")
+    smallest = write_table(rooted.groupBy("root").agg(F.min("first").alias("smallest")), "smallest-sketches")
+    component = [F.coalesce("smallest.doc_id", "root").alias("component_id"), F.col("smallest.text_hash").alias("component_hash")]
+    named = write_table(rooted.join(smallest, "root").select("bits", *component), "components")
+    return table.join(named, "bits").select("doc_id", "text_hash", "component_id", "component_hash")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -43,8 +43,6 @@ SCRIPTS = {
     "han": ((0x3400, 0x4DBF), (0x4E00, 0x9FFF)),
 }
 OTHER, NONE = len(SCRIPTS), len(SCRIPTS) + 1  # another script's letter; no letter at all
-#: Training documents at most; beyond that, those with the smallest hashes of their ids.
-MOST_TRAINING_DOCS = 20_000
 #: Distinct words whose n-grams are in memory at once.
 WORDS_AT_ONCE = 1 << 15
 
@@ -97,13 +95,10 @@ def word_buckets(distinct: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(buckets), np.concatenate(owners)) if buckets else (np.empty(0, np.int64),) * 2
 
 
-def train(docs: DataFrame, most_docs: int = MOST_TRAINING_DOCS, smoothing: float = 0.5) -> Model:
-    """From columns doc_id, text and lang. What is collected has a row per bucket, script and language at most."""
-    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    languages = sorted(sizes)
-    share = min(1.0, most_docs / max(1, sum(sizes.values())))
-    chosen = known if share == 1 else known.where(F.abs(F.xxhash64("doc_id") % 1_000_000) < int(1_000_000 * share))
+def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
+    """From columns text and lang, all rows. What is collected has a row per bucket, script and language at most."""
+    known = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")
+    languages = sorted(r["lang"] for r in known.select("lang").distinct().collect())
     index = {x: k for k, x in enumerate(languages)}
     size, scripts = 1 << BUCKET_BITS, len(SCRIPTS) + 2
 
@@ -111,8 +106,8 @@ def train(docs: DataFrame, most_docs: int = MOST_TRAINING_DOCS, smoothing: float
         grams, letters = np.zeros((len(languages), size), np.int64), np.zeros((len(languages), scripts), np.int64)
         for batch in batches:
             for part in slices(batch, "text", 2 << 20):
-                codes, offsets, distinct = split_words(texts_of(part.column(2)))
-                which = np.array([index[x] for x in part.column(1).to_pylist()], dtype=np.int64)
+                codes, offsets, distinct = split_words(texts_of(part.column(1)))
+                which = np.array([index[x] for x in part.column(0).to_pylist()], dtype=np.int64)
                 script, (bucket, owner) = word_scripts(distinct.to_pylist()), word_buckets(distinct)
                 of_token = np.repeat(which, np.diff(offsets))
                 for k in np.unique(which):
@@ -125,7 +120,7 @@ def train(docs: DataFrame, most_docs: int = MOST_TRAINING_DOCS, smoothing: float
         if len(lang):
             yield pa.record_batch([lang.astype(np.int32), at.astype(np.int32), both[lang, at]], names=["lang", "bucket", "n"])
 
-    rows = chosen.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
+    rows = known.mapInArrow(count, "lang int, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toPandas()
     both = np.zeros((len(languages), size + scripts))
     both[rows["lang"].to_numpy(dtype=np.int64), rows["bucket"].to_numpy(dtype=np.int64)] = rows["n"].to_numpy(dtype=np.float64)
     grams, letters = both[:, :size] + smoothing, both[:, size:]

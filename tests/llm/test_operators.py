@@ -488,6 +488,16 @@ def test_language_spans_and_accuracy(spark):
     assert got[4]["score"] == got[5]["score"] == 0 and got[0]["score"] == 1
 
 
+def test_language_learns_rare_ones_among_many_documents(spark):
+    common = spark.range(60_000).selectExpr("id as doc_id", "'common words here' as text", "'aa' as lang")
+    rare = spark.createDataFrame([(100_000 + i, "quaint zebra jolts", "bb") for i in range(3)], "doc_id long, text string, lang string")
+    model = language.train(common.unionByName(rare))
+    rows = spark.createDataFrame([(0, "common words"), (1, "zebra jolts")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(rows, model).collect()} == {0: "aa", 1: "bb"}
+    sampled = [i for i in range(3) if spark.sql(f"select abs(xxhash64({100_000 + i}L) % 1000000) n").first()["n"] < 1_000_000 * 20_000 // 60_003]
+    assert not sampled  # a sample of 20,000 by hashes has no document of the rare language
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     for _ in range(20):

@@ -19,6 +19,7 @@ count where a component has no other. Of further columns nothing is read. No doc
 
 from __future__ import annotations
 
+import itertools
 from functools import lru_cache
 from itertools import combinations
 
@@ -26,20 +27,24 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radquery.llm.components import components
-from radquery.llm.shared import write_table
-from radquery.llm.words import gather, mix, slices, split_flat, split_words, texts_of
+from radquery.llm.shared import AtomicFile, new_dir, open_mapped, write_table
+from radquery.llm.words import gather, mix, slices, split_flat, texts_of
 
 #: Generator polynomial of the Golay code of length 23.
 GOLAY, LENGTH, CHECK_BITS, RADIUS = 0xC75, 23, 11, 3
 #: Rows at an anchor beyond which they are split.
 HOT_ROWS = 50_000
 PAIRS_AT_ONCE = 1 << 21
-#: Of ``near_copies``: fingerprints of words, bits that compare shingles, and how many of them may differ.
-WORD_FINGERPRINTS, SKETCH_BITS, SKETCH_DIFFERENCE = 16, 192, 26
+#: Of ``near_copies``: bands of smallest hashes and hashes in each, bits that compare shingles, and how many of them may differ
+#: in pairs that are compared exactly.
+BANDS, BAND_HASHES, SKETCH_BITS, SKETCH_DIFFERENCE = 24, 3, 192, 40
+#: Nodes whose links a task remembers, to compare none exactly that hang together already.
+KNOWN_NODES = 1 << 20
 
 
 def hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,26 +251,60 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, hot_ro
     return table.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
-def word_fingerprints(texts: pa.Array, number: int = WORD_FINGERPRINTS) -> np.ndarray:
-    """For each text, fingerprints of its distinct lower-case words under so many hash functions."""
-    codes, offsets, distinct = split_words(pc.ascii_lower(texts_of(texts)))
-    size, n = max(1, len(distinct)), len(offsets) - 1
-    pairs = np.unique(np.repeat(np.arange(n), np.diff(offsets)) * size + codes)
-    digest = xxhash.xxh64_intdigest
-    values = np.fromiter((digest(w, 42) for w in distinct.cast(pa.binary()).to_pylist()), np.uint64, len(distinct))[pairs % size]
-    ends = np.searchsorted(pairs, np.arange(n + 1) * size)
-    return np.stack([fingerprint(mix(values + np.uint64(k)), ends) for k in range(number)], axis=1)
-
-
-def shingle_bits(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """SKETCH_BITS bits for each text, each a bit of its shingles' smallest hash under one of as many hash functions: of two
-    texts of similarity s, a share of (1 - s) / 2 differs."""
+def shingle_sketch(values: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text, a hash for each band, and SKETCH_BITS bits (as 64-bit numbers). They are made from its shingles' smallest
+    hashes under SKETCH_BITS functions: of two texts of similarity s, a share of (1 - s) / 2 of the bits differs, and a band is
+    the same with probability s ** BAND_HASHES."""
     full = np.diff(offsets) > 0
-    out = np.zeros((len(full), SKETCH_BITS), dtype=bool)
+    bits, bands = np.zeros((len(full), SKETCH_BITS), dtype=bool), np.zeros((len(full), BANDS), dtype=np.uint64)
     if len(values):
         for k, factor in enumerate(np.random.default_rng(42).integers(0, 1 << 63, SKETCH_BITS, dtype=np.uint64)):
-            out[full, k] = (np.minimum.reduceat(values * (2 * factor + np.uint64(1)), offsets[:-1][full]) >> np.uint64(32)) & np.uint64(1)
-    return np.packbits(out, axis=1)
+            least = np.minimum.reduceat(values * (2 * factor + np.uint64(1)), offsets[:-1][full])
+            bits[full, k] = (least >> np.uint64(32)) & np.uint64(1)
+            if k < BANDS * BAND_HASHES:
+                bands[full, k // BAND_HASHES] = mix(bands[full, k // BAND_HASHES] + least)
+    return bands, np.packbits(bits, axis=1).view(np.int64)
+
+
+@lru_cache(256)
+def _opened(path: str) -> pa.NativeFile:
+    return open_mapped(path)
+
+
+class _Exact:
+    """Whether pairs of nodes are alike by their sets of shingles, or hang together already by pairs that were."""
+
+    def __init__(self, folder: str):
+        self.folder, self.root, self.task = folder, {}, None
+
+    def find(self, node: int) -> int:
+        root = self.root
+        while (up := root.get(node, node)) != node:
+            root[node] = root.get(up, up)
+            node = up
+        return node
+
+    def shingles(self, file: int, at: int, n: int) -> np.ndarray:
+        return np.frombuffer(_opened(f"{self.folder}/{file}").read_at(8 * n, 8 * at), dtype=np.uint64)
+
+    def linked(self, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        """``x`` and ``y`` have columns node, file, at and n. Of pairs that hang together already, false."""
+        task = TaskContext.get().taskAttemptId()
+        if task != self.task or len(self.root) > KNOWN_NODES:  # another task's links aren't in this one's result
+            self.root, self.task = {}, task
+        out, last, mine = np.zeros(len(x[0]), dtype=bool), None, None
+        for i, (a, b) in enumerate(zip(zip(*(c.tolist() for c in x), strict=True), zip(*(c.tolist() for c in y), strict=True), strict=True)):
+            first, second = self.find(a[0]), self.find(b[0])
+            if first == second:
+                continue
+            if last != a[0]:
+                last, mine = a[0], self.shingles(*a[1:])
+            other = self.shingles(*b[1:])
+            both = int((other[np.minimum(np.searchsorted(other, mine), len(other) - 1)] == mine).sum())
+            if 5 * both >= 4 * (len(mine) + len(other) - both):
+                self.root[max(first, second)] = min(first, second)
+                out[i] = True
+        return out
 
 
 def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -274,53 +313,66 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
     doc_id are told apart.
 
     An edit changes all shingles around it, so a fingerprint of shingles differs in far more than a few bits at that
-    similarity. Here fingerprints of single words choose who is compared: 16 of two Golay blocks each, copied to the anchors
-    that exceed the radius by one bit at most (9.6 on average). Texts that meet at an anchor of any of them are compared by 192
-    further bits that estimate the similarity of their shingles; up to 26 bits of difference link them. The limit is therefore
-    soft: of texts of similarity 0.8 that meet 95 in 100 link, of those of 0.7 three in ten, of those of 0.6 one in a hundred.
+    similarity. Here texts meet that share one of 24 bands of three smallest hashes of their shingles; wherever the edits are,
+    of pairs of similarity 0.8 one in 30 million shares none. Those that differ in 40 of 192 further bits at most (at 0.8 all
+    but two or three in a million) are compared exactly, by their sets of shingles in files that workers map; only these are linked.
 
-    Documents with equal bits are one before all that. Ids are handled as by ``near_duplicates``; where a component has no id,
+    Documents with equal sets are one before all that. Ids are handled as by ``near_duplicates``; where a component has no id,
     its component_id is a hash.
     """
+    folder = new_dir(docs.sparkSession, "shingles")
 
     def sketch(batches):
-        for part in (p for b in batches for p in slices(b, most=4 << 20)):
-            texts = part.column(1)
-            raw = np.concatenate([word_fingerprints(texts).view(np.uint8), shingle_bits(*hashes(texts, shingle))], axis=1)
-            ends = np.arange(len(raw) + 1, dtype=np.int32) * raw.shape[1]
-            bits = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
-            yield pa.record_batch([part.column(0), part.column(2), bits], names=["doc_id", "text_hash", "bits"])
+        file, at = TaskContext.get().taskAttemptId(), 0  # another one for each attempt, so none changes another's rows
+        with AtomicFile(f"{folder}/{file}") as f:
+            for part in (p for b in batches for p in slices(b, most=4 << 20)):
+                values, offsets = hashes(part.column(1), shingle)
+                bands, bits = shingle_sketch(values, offsets)
+                sets = [np.unique(values[a:b]) for a, b in itertools.pairwise(offsets.tolist())]
+                n = np.array([len(x) for x in sets], dtype=np.int64)
+                node = np.array([xxhash.xxh3_64_intdigest(x.tobytes()) for x in sets], dtype=np.uint64).view(np.int64)
+                f.write(np.concatenate([*sets, values[:0]]).tobytes())
+                raw = np.concatenate([bands.view(np.int64), bits], axis=1).astype(np.int64)
+                ends = np.arange(len(raw) + 1, dtype=np.int32) * 8 * raw.shape[1]
+                packed = pa.Array.from_buffers(pa.binary(), len(raw), [None, pa.py_buffer(ends), pa.py_buffer(np.ascontiguousarray(raw))])
+                yield pa.record_batch([part.column(0), part.column(2), node, np.full(len(n), file), at + np.cumsum(n) - n, n, packed], names=["doc_id", "text_hash", "node", "file", "at", "n", "bits"])
+                at += int(n.sum())
 
     checks = [f"c{i}" for i in range(SKETCH_BITS // 64)]
 
     def spread(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1 << 12):
-                part = batch.slice(at, 1 << 12)
-                words = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.int64).reshape(part.num_rows, -1)
-                node = part.column(0).to_numpy()
-                for k in range(WORD_FINGERPRINTS):
-                    row, anchor = anchors(words[:, k].copy().view(np.uint64), 1)
-                    home_first = np.arange(len(row)) >= len(node)  # the first of each are at home
-                    yield pa.record_batch([((k << 24) | anchor).astype(np.int32), node[row], home_first, *words[row, WORD_FINGERPRINTS:].T.copy()], names=["anchor", "node", "away", *checks])
-
-    def at_home(anchor, columns):
-        return ~columns[1].astype(bool)
-
-    def near(x, y):
-        return sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in zip(x[2:], y[2:], strict=True)) <= SKETCH_DIFFERENCE
+            for start in range(0, batch.num_rows, 1 << 12):
+                part = batch.slice(start, 1 << 12)
+                words = np.frombuffer(b"".join(part.column(4).to_pylist()), dtype=np.int64).reshape(part.num_rows, -1)
+                place = [part.column(i).to_numpy() for i in range(4)]
+                for k in range(BANDS):
+                    anchor = (k << 26) | (words[:, k].view(np.uint64) >> np.uint64(38)).astype(np.int64)
+                    yield pa.record_batch([anchor.astype(np.int32), *place, *words[:, BANDS:].T.copy()], names=["anchor", "node", "file", "at", "n", *checks])
+
+    def near(exact):
+        def run(x, y):
+            out = sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in zip(x[4:], y[4:], strict=True)) <= SKETCH_DIFFERENCE
+            out &= 5 * np.minimum(x[3], y[3]) >= 4 * np.maximum(x[3], y[3])
+            some = np.flatnonzero(out & (x[0] != y[0]))
+            out[:] = False
+            out[some] = exact.linked([c[some] for c in x[:4]], [c[some] for c in y[:4]])
+            return out
+
+        return run
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
-    table = write_table(hashed.mapInArrow(sketch, "doc_id long, text_hash long, bits binary"), "sketches")
+    table = write_table(hashed.mapInArrow(sketch, "doc_id long, text_hash long, node long, file long, at long, n long, bits binary"), "sketches")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("late"), "doc_id", "text_hash"))
-    distinct = write_table(table.groupBy("bits").agg(first.alias("first")).withColumn("node", F.xxhash64("bits")), "distinct-sketches")
-    schema = "anchor int, node long, away boolean, " + ", ".join(f"{c} long" for c in checks)
-    roots = components(_links_at_anchors(distinct.select("node", "bits"), spread, schema, ["away"], at_home, near, hot_rows))
-    rooted = write_table(distinct.join(roots, "node", "left").select("bits", "first", F.coalesce("root", "node").alias("root")), "rooted-sketches")
+    distinct = write_table(table.groupBy("node").agg(first.alias("first"), F.min(F.struct("file", "at", "n", "bits")).alias("set")), "distinct-sketches")
+    schema = "anchor int, node long, file long, at long, n long, " + ", ".join(f"{c} long" for c in checks)
+    compared = distinct.where("set.n > 0").select("node", "set.file", "set.at", "set.n", "set.bits")
+    roots = components(_links_at_anchors(compared, spread, schema, ["node"], lambda anchor, columns: np.ones(len(anchor), dtype=bool), near(_Exact(folder)), hot_rows))
+    rooted = write_table(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted-sketches")
     smallest = write_table(rooted.groupBy("root").agg(F.min("first").alias("smallest")), "smallest-sketches")
     component = [F.coalesce("smallest.doc_id", "root").alias("component_id"), F.col("smallest.text_hash").alias("component_hash")]
-    named = write_table(rooted.join(smallest, "root").select("bits", *component), "components")
-    return table.join(named, "bits").select("doc_id", "text_hash", "component_id", "component_hash")
+    named = write_table(rooted.join(smallest, "root").select("node", *component), "components")
+    return table.join(named, "node").select("doc_id", "text_hash", "component_id", "component_hash")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

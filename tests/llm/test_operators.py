@@ -297,6 +297,24 @@ def test_near_copies(spark, odd):
     assert sim.near_copies(odd.limit(0)).count() == 0
 
 
+def test_near_copies_of_block_edits(spark):
+    rng = random.Random(11)
+    vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(20_000)]
+    similar = lambda a, b: len(a & b) / len(a | b)
+    shingles = lambda t: {tuple(t[i : i + 5]) for i in range(len(t) - 4)}
+    texts, alike = [], []
+    for k in range(400):
+        base = rng.sample(vocabulary, 150)
+        size = rng.randint(28, 45) if k % 2 else rng.randint(10, 18)
+        other = base + rng.sample(vocabulary, size) if k % 2 else base[:60] + rng.sample(vocabulary, size) + base[60 + size :]
+        texts += [base, other]
+        alike.append(similar(shingles(base), shingles(other)) >= 0.8)
+    assert 50 < sum(alike) < 350
+    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in sim.near_copies(df).collect()}
+    assert [got[2 * k + 1] == 2 * k for k in range(400)] == alike
+
+
 # ---- 4 and 7 --------------------------------------------------------------------------------------------------------
 
 

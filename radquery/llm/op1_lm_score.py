@@ -34,13 +34,17 @@ from pyspark.sql import functions as F
 from radquery.llm.shared import AtomicFile, filesystem, is_local, local_path, new_dir, write_table
 from radquery.llm.words import give_back, mix, slices, split_words, texts_of
 
+#: Of the registered query.
+ORDER = 3
 #: No word is a blank, so its hash stands for the end.
 END = xxhash.xxh64_intdigest(b" ")
 #: Text for each shard, about; there are 64 shards at least.
 SHARD_BYTES = 64 << 20
 #: Text that a task counts, and scores, at once.
 COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
-TYPES = {"keys": np.uint64, "counts": np.uint32, "suffix": np.uint64, "adjusted": np.uint32, "total": np.uint64, "n1": np.uint32, "n2": np.uint32, "n3": np.uint32}
+#: Counts are bytes; those of OVER and more are in a file beside, as places and values.
+TYPES = {"keys": np.uint64, "suffix": np.uint32, **dict.fromkeys(("counts", "adjusted", "total", "n1", "n2", "n3"), np.uint8), "more": np.uint64}
+OVER = 255
 _U = np.uint64
 
 
@@ -87,6 +91,13 @@ def _save(path: str, values: np.ndarray) -> None:
         f.write(np.ascontiguousarray(values).data if len(values) else b"")
 
 
+def _save_counts(path: str, values: np.ndarray) -> None:
+    over = np.flatnonzero(values >= OVER)
+    if len(over):
+        _save(f"{path}-more", np.concatenate([over, values[over]]).astype(np.uint64))
+    _save(path, np.minimum(values, OVER).astype(np.uint8))
+
+
 class Level(NamedTuple):
     """Shards of one order's n-grams; rank r is in shard s if starts[s] <= r < starts[s + 1]."""
 
@@ -99,6 +110,14 @@ class Level(NamedTuple):
     def array(self, shard: int, kind: str) -> np.ndarray:
         return _mapped(self.path(shard, kind), kind) if self.starts[shard + 1] > self.starts[shard] else np.empty(0, TYPES[kind])
 
+    def counts(self, shard: int, kind: str, at: np.ndarray) -> np.ndarray:
+        out = self.array(shard, kind)[at].astype(np.int64)
+        over = np.flatnonzero(out == OVER)
+        if len(over):
+            where, values = _mapped(f"{self.path(shard, kind)}-more", "more").reshape(2, -1)
+            out[over] = values[np.searchsorted(where, at[over].astype(np.uint64))]
+        return out
+
     def find(self, keys: np.ndarray) -> np.ndarray:
         """Ranks; -1 for keys that aren't there."""
         distinct, back = np.unique(keys, return_inverse=True)
@@ -116,9 +135,9 @@ class Level(NamedTuple):
     def take(self, kind: str, ranks: np.ndarray) -> np.ndarray:
         distinct, back = np.unique(ranks, return_inverse=True)
         bounds = np.searchsorted(distinct, self.starts)
-        out = np.empty(len(distinct), dtype=TYPES[kind])
+        out = np.empty(len(distinct), dtype=np.int64)
         for s in np.flatnonzero(np.diff(bounds)):
-            out[bounds[s] : bounds[s + 1]] = self.array(s, kind)[distinct[bounds[s] : bounds[s + 1]] - self.starts[s]]
+            out[bounds[s] : bounds[s + 1]] = self.counts(s, kind, distinct[bounds[s] : bounds[s + 1]] - self.starts[s])
         return out[back]
 
 
@@ -232,13 +251,14 @@ def _count_level(docs: DataFrame, k: int, order: int, levels: list[Level], folde
 
     def merge(batches):
         for shard, rows in _by_shard(batches):
-            keys, n = (np.concatenate([unpack(r[c], TYPES[t]) for r in rows]) for c, t in (("c0", "keys"), ("c1", "counts")))
+            keys, n = (np.concatenate([unpack(r[c], t) for r in rows]) for c, t in (("c0", np.uint64), ("c1", np.uint32)))
             suffix = np.concatenate([unpack(r["c2"], np.uint32) for r in rows]).astype(np.uint64) if k > 2 else None
             keys, n, where = counted(keys, n)
             suffix = suffix[where] if k > 2 else None
-            for kind, values in (("keys", keys), ("counts", np.minimum(n, 0xFFFFFFFF).astype(np.uint32)), ("suffix", suffix)):
-                if values is not None:
-                    _save(f"{folder}/{k}/{shard:06d}.{kind}", values)
+            _save(f"{folder}/{k}/{shard:06d}.keys", keys)
+            _save_counts(f"{folder}/{k}/{shard:06d}.counts", n)
+            if 2 < k < order:  # of the highest order nothing reads it again
+                _save(f"{folder}/{k}/{shard:06d}.suffix", suffix.astype(np.uint32))
             told = pa.record_batch([pa.array([shard], pa.int32()), pa.array(["shard"])], names=["shard", "kind"])
             yield _padded(told, [len(keys), int(n.sum()), *_counts_of_counts(n)])
             if k == order > 1:
@@ -275,13 +295,13 @@ def _finish_level(blocks: DataFrame, k: int, levels: list[Level]) -> tuple[DataF
                     arrays[t][at] += unpack(r[f"c{i}"], np.uint32)
             adjusted = arrays["adjusted"]
             alone = adjusted == 0
-            adjusted[alone] = level.array(shard, "counts")[alone]
+            adjusted[alone] = level.counts(shard, "counts", np.flatnonzero(alone))
             for t, values in arrays.items():
-                _save(level.path(shard, t), values.astype(TYPES[t]))
+                _save_counts(level.path(shard, t), values)
             told = pa.record_batch([pa.array([shard], pa.int32()), pa.array(["shard"])], names=["shard", "kind"])
             yield _padded(told, [size, int(adjusted.sum()), *_counts_of_counts(adjusted)])
             if k > 1:
-                suffix = np.array(level.array(shard, "suffix")) if k > 2 else None
+                suffix = level.array(shard, "suffix").astype(np.uint64) if k > 2 else None
                 for found in _downward(levels[k - 2], np.array(level.array(shard, "keys")), suffix, adjusted):
                     yield _padded(found)
 
@@ -390,5 +410,5 @@ def held_out(remainder: int = 2, of: int = 7):
 
 def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    scored = score(docs, train(docs.where(~held_out())))
+    scored = score(docs, train(docs.where(~held_out()), ORDER))
     return scored.select("doc_id", held_out().alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

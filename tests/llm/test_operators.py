@@ -108,6 +108,24 @@ def test_lm_scores(spark, documents, order):
         assert r.base_score == pytest.approx(want[3]) and r.score == pytest.approx(want[4])
 
 
+def test_lm_counts_of_any_size(tmp_path):
+    values = np.array([0, 1, 254, 255, 256, 70_000, 1 << 40, 3])
+    lm._save_counts(f"{tmp_path}/000000.total", values)
+    level = lm.Level(str(tmp_path), np.array([0, len(values)]))
+    assert level.take("total", np.array([6, 0, 3, 3, 7, 5])).tolist() == [1 << 40, 0, 255, 255, 3, 70_000]
+    assert level.counts(0, "total", np.arange(8)).tolist() == values.tolist()
+
+
+def test_lm_query_uses_trigrams(spark, tmp_path):
+    rows = [(i, "a b c" if i % 2 else "d b e") for i in range(60)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r["score"] for r in lm.op1_lm_score(spark, str(tmp_path)).collect()}
+    want = {r["doc_id"]: r["score"] for r in lm.score(docs, lm.train(docs.where(~lm.held_out()), 3)).collect()}
+    bigrams = {r["doc_id"]: r["score"] for r in lm.score(docs, lm.train(docs.where(~lm.held_out()), 2)).collect()}
+    assert got == pytest.approx(want) and got != pytest.approx(bigrams)
+
+
 def test_lm_probabilities_sum_to_one(spark):
     train = ["a b c a b", "b c a", "", "c c c c a b"]
     df = spark.createDataFrame([(i, t) for i, t in enumerate(train)], "doc_id long, text string")

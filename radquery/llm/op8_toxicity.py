@@ -1,17 +1,21 @@
 """Toxicity by compression distance.
 
-Two zstandard dictionaries (raw content, the most frequent windows) are made from training text, one from ordinary and one from toxic text, and each window of a text is compressed with
-both. The less the toxic dictionary leaves of a window, and the more the ordinary one, the more of it is known from toxic
-text only. Thresholds are calibrated: a pair of lengths counts by how much oftener toxic documents of the calibration half
-have a window with it than ordinary ones do, and a logistic function of a document's windows gives its score.
-
-A window is one word, without marks around it, three times: a dictionary that has the word then leaves a single match, where
-a whole passage would hide it among ordinary words. Each distinct word is compressed once. The toxic dictionary holds
-the windows that toxic documents have far oftener than ordinary ones, as toxic documents consist of ordinary words mostly.
-
-Only the fit sees labels. It takes ``most`` documents of either class at the most, by the hash of the id. Null and empty
-texts get the score of a text without windows. Rows with equal ids are scored one by one; several labels of a document count
-each. Without labels of both classes every score is the share of toxic ones, or 0.
+Two zstandard dictionaries are trained, one on windows of ordinary and one on windows of toxic text, and each window of a
+text is compressed with both. The less the toxic dictionary leaves of a window, and the more the ordinary one, the more of it
+is known from toxic text only. Thresholds are calibrated: a pair of lengths counts by how much oftener toxic documents of the
+calibration half have a window with it than ordinary ones do, and a logistic function of a document's windows gives its score.
+
+A window is one word, without marks around it, three times: the first copy shows what a dictionary has, and the others, which
+either compressor takes from the first, lift the block over zstandard's fixed costs. The windows that a dictionary is trained
+on are those that several documents of its class have; the toxic one leaves out those that are about as frequent in ordinary
+documents, as toxic documents consist of ordinary words mostly.
+
+Only the fit sees labels. It takes about ``most`` documents of either class, by the hash of the id, with their whole texts;
+what is counted in them is counted by Spark, and the driver gets windows for the dictionaries (as many as fit into them), counts by pair
+of lengths, and counts by rounded features. Null and empty texts get the score of a text without windows. Rows with equal ids
+are scored one by one; a document whose labels differ counts for both. Other labels than 0 and 1, null ones and rows without
+id are not learned from. Without labels of both classes every score is the share of toxic ones, or 0. Of further columns
+nothing is read. No document: no rows.
 """
 
 from __future__ import annotations
@@ -25,14 +29,25 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radquery.llm.shared import write_table
 from radquery.llm.words import slices, split_words, texts_of
 
-#: Labelled documents of each class that the fit takes at most, and the longest text it takes.
-MOST, LONGEST = 4000, 100_000
+#: Labelled documents of each class that the fit takes, about.
+MOST = 20_000
 DICTIONARY_BYTES = 1 << 15
+#: Of zstandard's trainer: the length of the segments that it picks, and of the strings in them that it counts.
+SEGMENT, COUNTED = 64, 6
+#: Windows for a dictionary: in so many documents at least, and for the toxic one with such log-odds at least.
+LEAST_DOCUMENTS, LEAST_ODDS = 2, 2.5
+#: A window is repeated for the trainer as often as documents have it, but no oftener than this.
+MOST_COPIES = 50
 #: Lengths above these count as these.
 MOST_BYTES, MOST_LENGTH = 24, 48
-KEPT_WORDS = 150_000
+CELLS = MOST_BYTES * MOST_LENGTH**2
+#: Features are rounded to this for the logistic fit.
+STEP = 1 / 16
+KEPT_WORDS = 50_000
+SCORE_BYTES = 2 << 20
 
 
 class Model(NamedTuple):
@@ -42,19 +57,19 @@ class Model(NamedTuple):
     weights: np.ndarray  # of the features, and the constant
 
 
-def _window(word: str) -> bytes:
+def window(word: str) -> bytes:
     return (" " + word).encode() * 3 + b" "
 
 
-def _compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
-    data = zstandard.ZstdCompressionDict(dictionary, dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
+    data = zstandard.ZstdCompressionDict(dictionary)  # with the trainer's entropy tables, if it has them
     plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    parameters = zstandard.ZstdCompressionParameters(window_log=16, hash_log=14, chain_log=14, search_log=4, min_match=5, strategy=zstandard.STRATEGY_LAZY2, **plain)
+    parameters = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, hash_log=16, chain_log=16, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, **plain)
     data.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
 
 
-def _bare(words: pa.Array) -> pa.Array:
+def bare(words: pa.Array) -> pa.Array:
     """In lower case, without what isn't a letter or digit at either end."""
     return pc.replace_substring_regex(pc.utf8_lower(words), r"^[^\pL\pN]+|[^\pL\pN]+$", "")
 
@@ -63,101 +78,138 @@ class Compressors:
     """The cell of each word: its bytes and the lengths that both dictionaries leave, as one number."""
 
     def __init__(self, ordinary: bytes, toxic: bytes):
-        self.pair, self.kept = (_compressor(ordinary), _compressor(toxic)), {}
+        self.pair, self.kept = (compressor(ordinary), compressor(toxic)), {}
 
     def cells(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words), dtype=np.int64)
         for i, w in enumerate(words):
             cell = self.kept.get(w)
             if cell is None:
-                window = _window(w)
-                a, b = (min(MOST_LENGTH - 1, len(c.compress(window))) for c in self.pair)
-                cell = (min(MOST_BYTES - 1, len(window) // 3) * MOST_LENGTH + a) * MOST_LENGTH + b
+                text = window(w)
+                a, b = (min(MOST_LENGTH - 1, len(c.compress(text))) for c in self.pair)
+                cell = (min(MOST_BYTES - 1, len(text) // 3) * MOST_LENGTH + a) * MOST_LENGTH + b
                 if len(self.kept) < KEPT_WORDS:
                     self.kept[w] = cell
             out[i] = cell
         return out
 
 
-def _bare_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
+def bare_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, list[str]]:
     codes, offsets, distinct = split_words(texts)
-    bare = _bare(distinct).dictionary_encode()
-    return bare.indices.to_numpy(zero_copy_only=False)[codes], offsets, bare.dictionary.to_pylist()
+    encoded = bare(distinct).dictionary_encode()
+    return encoded.indices.to_numpy(zero_copy_only=False)[codes], offsets, encoded.dictionary.to_pylist()
 
 
-def _document_counts(codes: np.ndarray, offsets: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+def document_counts(codes: np.ndarray, offsets: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
     """For both classes, the documents that have each code."""
     text = np.repeat(np.arange(len(of)), np.diff(offsets))
     pairs = np.unique(text.astype(np.int64) * size + codes)
     return np.stack([np.bincount((pairs % size)[of[pairs // size] == k], minlength=size) for k in (0, 1)])
 
 
-def _odds(counts: np.ndarray, of: np.ndarray) -> np.ndarray:
-    n = np.bincount(of, minlength=2)
+def log_odds(counts: np.ndarray, n: list[int]) -> np.ndarray:
     return np.log((counts[1] + 0.5) / (n[1] + 1)) - np.log((counts[0] + 0.5) / (n[0] + 1))
 
 
+FEATURES = 4
+
+
 def features(odds: np.ndarray, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """Of each text: the highest odds of a window, and the logarithm of the sum of those that speak for toxicity."""
+    """Of each text: the highest odds of a window, how much its windows speak for toxicity in sum and for each window, and
+    how many windows it has (the last three as logarithms)."""
+    n = np.diff(offsets)
+    out, full = np.zeros((len(n), FEATURES)), n > 0
     if not len(codes):
-        return np.zeros((len(offsets) - 1, 2))
-    each, full = odds[codes].astype(np.float64), np.diff(offsets) > 0
-    out = np.zeros((len(full), 2))
+        return out
+    each = odds[codes].astype(np.float64)
+    above = lambda limit: np.diff(np.concatenate(([0], np.cumsum(np.maximum(0, each - limit))))[offsets])
     out[full, 0] = np.maximum.reduceat(each, offsets[:-1][full])
-    sums = np.concatenate(([0], np.cumsum(np.maximum(0, each - 1.5))))
-    out[:, 1] = np.log1p(np.maximum(0, sums[offsets[1:]] - sums[offsets[:-1]]))
+    out[:, 1] = np.log1p(np.maximum(0, above(1.5)))
+    out[:, 2] = np.log1p(np.maximum(0, 100 * above(2.0) / np.maximum(1, n)))
+    out[:, 3] = np.log1p(n)
     return out
 
 
-def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
+def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -> np.ndarray:
+    """``n``: how many rows have these features."""
     x, w = np.column_stack([x, np.ones(len(x))]), np.zeros(x.shape[1] + 1)
     for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        w -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        w -= np.linalg.solve((x * (n * p * (1 - p))[:, None]).T @ x + ridge * np.eye(len(w)), x.T @ (n * (p - y)) + ridge * w)
     return w
 
 
-def fit(texts: list[str], of: np.ndarray) -> Model:
-    """``of``: 1 for a toxic text, 0 for an ordinary one."""
-    nothing = Model(b" ", b" ", np.zeros(MOST_BYTES * MOST_LENGTH**2, np.float32), np.array([0.0, 0.0, np.log((of.mean() + 1e-9) / (1 - of.mean() + 1e-9)) if len(of) else -30.0]))
-    if len(np.unique(of)) < 2:
-        return nothing
-    codes, offsets, words = _bare_words(pa.array(texts, pa.large_string()).cast(pa.string()))
-    half = np.zeros(len(of), dtype=bool)  # True: for calibration
-    for k in (0, 1):
-        half[np.flatnonzero(of == k)[1::2]] = True
-    take = lambda mask: (np.concatenate([codes[offsets[i] : offsets[i + 1]] for i in np.flatnonzero(mask)] or [codes[:0]]), np.concatenate(([0], np.cumsum(np.diff(offsets)[mask]))), of[mask])
-    a, b = take(~half), take(half)
-    counts = _document_counts(*a, len(words))
-    typical = np.flatnonzero((counts[1] >= 2) & (_odds(counts, a[2]) > 2.5))
-    typical = typical[np.argsort(counts[1][typical], kind="stable")][-DICTIONARY_BYTES // 24 :]
-    common = np.flatnonzero(counts[0] >= 2)
-    common = common[np.argsort(counts[0][common], kind="stable")][-DICTIONARY_BYTES // 2 :]
-    dictionaries = [_train([_window(words[i]) for i in chosen if words[i]]) for chosen in (common, typical)]
-    used, at = np.unique(b[0], return_inverse=True)
-    cells = Compressors(*dictionaries).cells([words[i] for i in used])[at]
-    size = MOST_BYTES * MOST_LENGTH**2
-    odds = _odds(_document_counts(cells, b[1], b[2], size), b[2])
-    odds[np.bincount(cells, minlength=size) == 0] = 0
-    return Model(*dictionaries, odds.astype(np.float32), _logistic(features(odds, cells, b[1]), b[2]))
-
-
-def _train(windows: list[bytes]) -> bytes:
-    """A dictionary of the windows, the frequent ones last; where they are too many, of the most frequent ones."""
-    return b"".join(windows)[-DICTIONARY_BYTES:] or b" "
+def train_dictionary(windows: list[tuple[str, int]]) -> bytes:
+    """By zstandard's trainer, from words and how many documents have each; the words as they are where they are too few for it."""
+    samples = [window(w) for w, n in sorted(windows) for _ in range(min(n, MOST_COPIES))]
+    order = np.random.default_rng(42).permutation(len(samples))
+    try:
+        data = zstandard.train_dictionary(DICTIONARY_BYTES, [samples[i] for i in order], k=SEGMENT, d=COUNTED).as_bytes()
+    except zstandard.ZstdError:
+        data = b"".join(window(w) for w, _ in sorted(windows, key=lambda x: x[1]))[-DICTIONARY_BYTES:]
+    return data or b" "
 
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
-    """From labelled documents (doc_id, text) and (doc_id, toxic), a bounded number of either class."""
-    known = labels.where(F.col("toxic").isin(0, 1)).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic"))
+    """From labelled documents (doc_id, text) and (doc_id, toxic). One half makes the dictionaries, the other calibrates."""
+    known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("_id"), F.lit(1_000_000))
-    limit = {k: int(1e6 * min(1.0, most / max(1, n.get(k, 0)))) for k in (0, 1)}
-    chosen = known.where(place < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0]))
-    # about 2 * most rows of two numbers: a bounded size to broadcast, and then a bounded number of texts to collect
-    texts = docs.where(F.length("text") <= LONGEST).select("doc_id", "text")
-    rows = texts.join(F.broadcast(chosen), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "toxic").toPandas().sort_values(["doc_id", "toxic", "text"])
-    return fit(rows["text"].tolist(), rows["toxic"].to_numpy(dtype=np.int64))
+    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 60))
+    limit = {k: int((1 << 60) * min(1.0, most / max(1, n.get(k, 0)))) for k in (0, 1)}
+    chosen = write_table(known.where(place < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])), "chosen-labels")
+    half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int")
+    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("text", "toxic", half.alias("half"))
+    rows = write_table(rows, "labelled")  # bounded by ``most`` and repeats of ids; it is read three times
+
+    def counted(batches):
+        for part in (p for b in batches for p in slices(b, most=SCORE_BYTES)):
+            codes, offsets, words = bare_words(texts_of(part.column(0)))
+            of = part.column(1).to_numpy().astype(np.int64)
+            counts = document_counts(codes, offsets, of, max(1, len(words)))
+            some = np.flatnonzero(counts.sum(0))
+            yield pa.record_batch([pa.array([words[i] for i in some], pa.string()), counts[0][some], counts[1][some]], names=["word", "n0", "n1"])
+
+    sizes = {(r["half"], r["toxic"]): r["n"] for r in rows.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    size = [[sizes.get((h, k), 0) for k in (0, 1)] for h in (0, 1)]
+    if min(map(min, size)) == 0:
+        total = sum(map(sum, size))
+        share = sum(s[1] for s in size) / total if total else 0.0
+        return Model(b" ", b" ", np.zeros(CELLS, np.float32), np.append(np.zeros(FEATURES), np.log((share + 1e-9) / (1 - share + 1e-9))))
+    words = rows.where("half = 0").select("text", "toxic").mapInArrow(counted, "word string, n0 long, n1 long").where("word != ''")
+    words = write_table(words.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "window-counts")
+    odds = F.log((F.col("n1") + 0.5) / (size[0][1] + 1)) - F.log((F.col("n0") + 0.5) / (size[0][0] + 1))
+    # A dictionary has room for so many words only: the most frequent ones, by a bounded top.
+    top = lambda c, where: [(r["word"], r[c]) for r in words.where(where).orderBy(F.desc(c), "word").limit(DICTIONARY_BYTES // 8).collect()]
+    dictionaries = [train_dictionary(top("n0", F.col("n0") >= LEAST_DOCUMENTS)), train_dictionary(top("n1", (F.col("n1") >= LEAST_DOCUMENTS) & (odds > LEAST_ODDS)))]
+
+    def in_cells(batches):
+        compressors = Compressors(*dictionaries)
+        for part in (p for b in batches for p in slices(b, most=SCORE_BYTES)):
+            codes, offsets, words = bare_words(texts_of(part.column(0)))
+            yield compressors.cells(words)[codes] if len(codes) else np.empty(0, np.int64), offsets, part.column(1).to_numpy().astype(np.int64)
+
+    def cells(batches):
+        sums = np.zeros((2, CELLS), dtype=np.int64)
+        for codes, offsets, of in in_cells(batches):
+            sums += document_counts(codes, offsets, of, CELLS)
+        some = np.flatnonzero(sums.sum(0))
+        yield pa.record_batch([some, sums[0][some], sums[1][some]], names=["cell", "n0", "n1"])
+
+    half_b = rows.where("half = 1").select("text", "toxic")
+    found = half_b.mapInArrow(cells, "cell long, n0 long, n1 long").groupBy("cell").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).collect()  # CELLS rows at most
+    counts = np.zeros((2, CELLS), dtype=np.int64)
+    for r in found:
+        counts[:, r["cell"]] = r["n0"], r["n1"]
+    odds = np.where(counts.sum(0) > 0, log_odds(counts, size[1]), 0).astype(np.float32)
+
+    def measured(batches):
+        for codes, offsets, of in in_cells(batches):
+            x = np.rint(features(odds, codes, offsets) / STEP).astype(np.int64)
+            yield pa.record_batch([*x.T.copy(), of], names=names)
+
+    names = [*(f"x{i}" for i in range(FEATURES)), "toxic"]
+    points = half_b.mapInArrow(measured, ", ".join(f"{c} long" for c in names)).groupBy(*names).agg(F.count("*").alias("n")).toPandas().to_numpy(dtype=np.float64)
+    return Model(*dictionaries, odds, _logistic(points[:, :FEATURES] * STEP, points[:, FEATURES], points[:, -1]))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -167,10 +219,10 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches):
         model = shared.value
         compressors = Compressors(model.ordinary, model.toxic)
-        for part in (p for b in batches for p in slices(b, most=4 << 20)):
-            codes, offsets, words = _bare_words(texts_of(part.column(1)))
+        for part in (p for b in batches for p in slices(b, most=SCORE_BYTES)):
+            codes, offsets, words = bare_words(texts_of(part.column(1)))
             odds = model.odds[compressors.cells(words)]
-            x = features(odds, codes, offsets) @ model.weights[:2] + model.weights[2]
+            x = features(odds, codes, offsets) @ model.weights[:-1] + model.weights[-1]
             yield pa.record_batch([part.column(0), 1 / (1 + np.exp(-np.clip(x, -30, 30)))], names=["doc_id", "score"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, score double")

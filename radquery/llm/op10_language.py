@@ -44,7 +44,8 @@ SCRIPTS = {
 }
 OTHER, NONE = len(SCRIPTS), len(SCRIPTS) + 1  # another script's letter; no letter at all
 #: Distinct words whose n-grams are in memory at once.
-WORDS_AT_ONCE = 1 << 15
+WORDS_AT_ONCE = 1 << 13
+SLICE_BYTES = 2 << 20
 
 
 class Model(NamedTuple):
@@ -103,19 +104,21 @@ def train(docs: DataFrame, smoothing: float = 0.5) -> Model:
     size, scripts = 1 << BUCKET_BITS, len(SCRIPTS) + 2
 
     def count(batches):
-        grams, letters = np.zeros((len(languages), size), np.int64), np.zeros((len(languages), scripts), np.int64)
+        both = np.zeros((len(languages), size + scripts), np.int64)
+        grams, letters = both[:, :size], both[:, size:]
         for batch in batches:
-            for part in slices(batch, "text", 2 << 20):
+            for part in slices(batch, most=SLICE_BYTES):
                 codes, offsets, distinct = split_words(texts_of(part.column(1)))
                 which = np.array([index[x] for x in part.column(0).to_pylist()], dtype=np.int64)
-                script, (bucket, owner) = word_scripts(distinct.to_pylist()), word_buckets(distinct)
-                of_token = np.repeat(which, np.diff(offsets))
-                for k in np.unique(which):
-                    times = np.bincount(codes[of_token == k], minlength=len(distinct))
-                    letters[k] += np.bincount(script, weights=times, minlength=scripts).astype(np.int64)
-                    times[script == NONE] = 0
-                    grams[k] += np.bincount(bucket, weights=times[owner], minlength=size).astype(np.int64)
-        both = np.concatenate([grams, letters], 1)
+                script, of_token = word_scripts(distinct.to_pylist()), np.repeat(which, np.diff(offsets))
+                times = {k: np.bincount(codes[of_token == k], minlength=len(distinct)) for k in np.unique(which)}
+                for k, t in times.items():
+                    letters[k] += np.bincount(script, weights=t, minlength=scripts).astype(np.int64)
+                    t[script == NONE] = 0
+                for at in range(0, len(distinct), WORDS_AT_ONCE):
+                    bucket, owner = word_buckets(distinct.slice(at, WORDS_AT_ONCE))
+                    for k, t in times.items():
+                        grams[k] += np.bincount(bucket, weights=t[at + owner], minlength=size).astype(np.int64)
         lang, at = np.nonzero(both)
         if len(lang):
             yield pa.record_batch([lang.astype(np.int32), at.astype(np.int32), both[lang, at]], names=["lang", "bucket", "n"])
@@ -138,7 +141,7 @@ def viterbi(emissions: np.ndarray, codes: np.ndarray, offsets: np.ndarray, penal
     counts, starts = np.diff(offsets)[order], offsets[:-1][order]
     longest = int(counts[0]) if len(counts) else 0
     active = len(counts) - np.searchsorted(counts[::-1], np.arange(longest), "right")  # texts with more than t words
-    stay, source = np.ones((n, langs), dtype=bool), np.zeros(n, dtype=np.int8)
+    stay, source = np.ones((n, langs), dtype=bool), np.zeros(n, dtype=np.int32)
     score = np.zeros((len(counts), langs), dtype=np.float32)
     for t in range(longest):
         at, s = starts[: active[t]] + t, score[: active[t]]
@@ -148,7 +151,7 @@ def viterbi(emissions: np.ndarray, codes: np.ndarray, offsets: np.ndarray, penal
             stay[at], source[at] = s >= switched, best
             np.maximum(s, switched, out=s)
         s += emissions[codes[at]]
-    path, now = np.zeros(n, dtype=np.int8), score.argmax(1)
+    path, now = np.zeros(n, dtype=np.int32), score.argmax(1)
     for t in range(longest - 1, -1, -1):
         at = starts[: active[t]] + t
         path[at] = now[: active[t]]
@@ -183,7 +186,7 @@ def identify(docs: DataFrame, model: Model, weight: float = 4.0, penalty: float
     def run(batches):
         model = shared.value
         langs = len(model.languages)
-        for part in (p for b in batches for p in slices(b, most=4 << 20)):
+        for part in (p for b in batches for p in slices(b, most=SLICE_BYTES)):
             codes, offsets, distinct = split_words(texts_of(part.column(1)))
             text = np.repeat(np.arange(part.num_rows), np.diff(offsets))
             words = distinct.to_pylist()
@@ -193,7 +196,7 @@ def identify(docs: DataFrame, model: Model, weight: float = 4.0, penalty: float
                 path = viterbi(_emissions(model, distinct, script, weight), codes, offsets, penalty)
                 mass = np.bincount(text * langs + path, weights=letters, minlength=part.num_rows * langs).reshape(-1, langs)
             else:
-                path, mass = np.zeros(len(codes), np.int8), np.zeros((part.num_rows, 1))
+                path, mass = np.zeros(len(codes), np.int32), np.zeros((part.num_rows, 1))
             total, best = mass.sum(1), mass.argmax(1)
             names = np.array([*model.languages, "und"], dtype=object)
             columns = [part.column(0), names[np.where(total > 0, best, langs)], mass.max(1) / np.maximum(1, total), total.astype(np.int64)]

@@ -39,7 +39,8 @@ from radquery.llm.words import gather, mix, slices, split_flat, texts_of
 GOLAY, LENGTH, CHECK_BITS, RADIUS = 0xC75, 23, 11, 3
 #: Rows at an anchor beyond which they are split.
 HOT_ROWS = 50_000
-PAIRS_AT_ONCE = 1 << 21
+PAIRS_AT_ONCE = 1 << 20
+SLICE_BYTES = 2 << 20
 #: Of ``near_copies``: bands of smallest hashes and hashes in each, bits that compare shingles, and how many of them may differ
 #: in pairs that are compared exactly.
 BANDS, BAND_HASHES, SKETCH_BITS, SKETCH_DIFFERENCE = 24, 3, 192, 40
@@ -82,7 +83,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
     """doc_id and fp, the fingerprint as a signed long."""
 
     def run(batches):
-        for part in (p for b in batches for p in slices(b, most=4 << 20)):
+        for part in (p for b in batches for p in slices(b, most=SLICE_BYTES)):
             yield pa.record_batch([part.column(0), fingerprint(*hashes(part.column(1), shingle)).view(np.int64)], names=["doc_id", "fp"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
@@ -325,7 +326,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
     def sketch(batches):
         file, at = TaskContext.get().taskAttemptId(), 0  # another one for each attempt, so none changes another's rows
         with AtomicFile(f"{folder}/{file}") as f:
-            for part in (p for b in batches for p in slices(b, most=4 << 20)):
+            for part in (p for b in batches for p in slices(b, most=SLICE_BYTES)):
                 values, offsets = hashes(part.column(1), shingle)
                 bands, bits = shingle_sketch(values, offsets)
                 sets = [np.unique(values[a:b]) for a, b in itertools.pairwise(offsets.tolist())]

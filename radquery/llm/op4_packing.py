@@ -23,31 +23,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from radquery.llm.shared import write_table
-from radquery.llm.token_ids import encoder
+from radquery.llm.token_ids import encoding
 from radquery.llm.words import slices
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, ids array<int>"
+PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
+NAMES = [c.split()[0] for c in PIECES.split(", ")]
+SLICE_BYTES = 4 << 20
 
 
-def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    """A row for each document, or for each ``capacity`` ids of a longer one; the last may be shorter."""
+def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
+    """A row for each document, or for each ``capacity`` ids of a longer one; the last may be shorter. As the table is stored,
+    a piece's ``piece_key`` stays the same however often it is read, also where ids and texts are equal."""
 
     def cut(batches):
-        for batch in batches:
-            for part in slices(batch):
-                ids, offsets = encoder(tokenizer).encode(part.column(1), end_id)
+        with encoding(tokenizer) as encoder:
+            for part in (p for b in batches for p in slices(b, most=SLICE_BYTES)):
+                ids, offsets = encoder.encode(part.column(1), end_id)
                 n = np.diff(offsets)
                 pieces = -(-n // capacity)
                 row = np.repeat(np.arange(len(n)), pieces)
                 number = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
                 lengths = np.minimum(capacity, n[row] - number * capacity)
-                ends = np.cumsum(lengths)
-                bounds = np.concatenate(([0], ends)).tolist()
+                bounds = np.concatenate(([0], np.cumsum(lengths))).tolist()
                 crc = np.fromiter((zlib.crc32(ids[a:b]) for a, b in zip(bounds, bounds[1:], strict=False)), np.int64, len(row))
-                lists = pa.ListArray.from_arrays(pa.array(np.array(bounds, dtype=np.int32)), pa.array(ids.view(np.int32)))
-                yield pa.record_batch([part.column(0).take(pa.array(row)), number.astype(np.int32), number * capacity, lengths, crc, lists], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
+                columns = [part.column(0).take(pa.array(row)), number.astype(np.int32), number * capacity, lengths, crc]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.array(bounds, dtype=np.int32)), pa.array(ids.view(np.int32))))
+                yield pa.record_batch(columns, names=[*NAMES, "ids"][: len(columns)])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES)
+    schema = PIECES + ", ids array<int>" * with_ids
+    made = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, schema)
+    return write_table(made.withColumn("piece_key", F.monotonically_increasing_id()), "pieces")
 
 
 def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int, list[tuple[int, int]]]]:
@@ -111,16 +117,17 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
     slots = spark.sparkContext.broadcast(_slots(plan_packing(counts, capacity), counts))
 
-    # Ranks within a length: within small parts of it, and after all pieces of the parts before.
+    # Ranks within a length: within small parts of it, and after all pieces of the parts before. Parts go by the key, which no
+    # two pieces share, so equal pieces are spread as well.
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bucket = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int")
-    keyed = pieces.select("doc_id", "piece", "start", "length", "ids_crc32", bucket.alias("_bucket"))
+    bucket = F.pmod(F.xxhash64("piece_key"), F.lit(buckets)).cast("int")
+    keyed = pieces.select(*NAMES, "piece_key", bucket.alias("_bucket"))
     sizes = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("n"))
     before = Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     sizes = sizes.select("length", "_bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_before"))
-    within = Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece")
+    within = Window.partitionBy("length", "_bucket").orderBy("piece_key")
     ranked = keyed.withColumn("_rank", F.row_number().over(within) - 1).join(sizes, ["length", "_bucket"])
-    ranked = ranked.select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("_rank") + F.col("_before")).cast("long").alias("_rank"))
+    ranked = ranked.select(*NAMES, (F.col("_rank") + F.col("_before")).cast("long").alias("_rank"), "piece_key")
 
     def place(batches):
         s = slots.value
@@ -129,19 +136,21 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
             at = np.searchsorted(s["rank"], rank, "right") - 1
             sequence, copy = np.divmod(rank - s["rank"][at], s["copies"][at])
             offset = s["offset"][at] + copy * batch.column(3).to_numpy()
-            yield pa.record_batch([*batch.columns[:5], s["first"][at] + sequence, offset], names=[*batch.schema.names[:5], "sequence_id", "offset"])
+            yield pa.record_batch([*batch.columns[:5], s["first"][at] + sequence, offset, batch.column(6)], names=[*NAMES, "sequence_id", "offset", "piece_key"])
 
-    return ranked.mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return ranked.mapInArrow(place, f"{PIECES}, sequence_id long, offset long, piece_key long")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
-    return pack(write_table(cut_pieces(docs, tokenizer, end_id, capacity).drop("ids"), "pieces"), capacity)
+    """A row for each piece, with its place."""
+    return pack(cut_pieces(docs, tokenizer, end_id, capacity), capacity).drop("piece_key")
 
 
-def packed_sequences(placed: DataFrame, docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
+def packed_sequences(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096) -> DataFrame:
     """The sequences themselves: sequence_id, ids, and the document and length of each part in order."""
-    parts = placed.join(cut_pieces(docs, tokenizer, end_id, capacity).select("doc_id", "piece", "ids"), ["doc_id", "piece"])
-    parts = parts.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids"))).alias("p"))
+    pieces = cut_pieces(docs, tokenizer, end_id, capacity, with_ids=True)
+    placed = write_table(pack(pieces, capacity).select("piece_key", "sequence_id", "offset"), "placed")
+    parts = pieces.join(placed, "piece_key").groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "doc_id", "length", "ids"))).alias("p"))
     return parts.select("sequence_id", F.flatten("p.ids").alias("ids"), F.col("p.doc_id").alias("doc_ids"), F.col("p.length").alias("lengths"))
 
 

@@ -2,8 +2,8 @@
 
 A folder holds, for each shard, ``NNNNN.arrow`` and ``NNNNN.index.arrow``. The first is an Arrow IPC file whose record
 batches have two fixed-size lists, ``input_ids`` (uint16 where the vocabulary has room in it, else uint32) and ``mask``
-(bits, 0 for padding): the shard's ids one after another, cut into sequences of ``length``, the last one padded. Being of fixed size and not compressed, sequence k is a
-slice of the mapped file. The index has doc_id, start (the shard's ids before the document) and n_tokens. Shards are ranges
+(bits, 0 for padding): the shard's ids one after another, cut into sequences of ``length``, the last one padded. Being of
+fixed size and not compressed, sequence k is a slice of the mapped file, which ``Shard`` gives without a copy. The index has doc_id, start (the shard's ids before the document) and n_tokens. Shards are ranges
 of doc_id in ascending order, and a document lies in one shard.
 
 Null texts are empty, so a document has its end id at least. Rows with equal ids all stay, in no set order among themselves;
@@ -12,7 +12,9 @@ null ids come first. Of further columns nothing is read. No document: no file.
 
 from __future__ import annotations
 
+import itertools
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -22,11 +24,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radquery.llm.shared import AtomicFile, new_dir, open_mapped
-from radquery.llm.token_ids import encoder
+from radquery.llm.token_ids import encoding
 from radquery.llm.words import slices
 
 MANIFEST = "shard long, documents long, tokens long, path string"
+INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 ROWS_PER_BATCH = 64
+#: Text for each shard, about.
+SHARD_BYTES = 16 << 20
 
 
 def _sequences(ids: np.ndarray, valid: int, length: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -35,44 +40,71 @@ def _sequences(ids: np.ndarray, valid: int, length: int, schema: pa.Schema) -> p
 
 
 def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1, length: int = 2048, shards: int | None = None) -> DataFrame:
-    """Writes the files and returns a manifest row for each shard; an action on it does the work, once."""
-    spark = docs.sparkSession
-    shards = shards or max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    narrow = max(encoder(tokenizer).largest_id, end_id) < 1 << 16
+    """Writes the files and returns a manifest row for each shard; an action on it does the work, once. Without ``shards`` their
+    number follows the bytes of text."""
+    size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0 if shards is None else 0
+    shards = shards or max(1, -(-size // SHARD_BYTES))
+    with encoding(tokenizer) as encoder:
+        narrow = max(encoder.largest_id, end_id) < 1 << 16
     types = {"input_ids": pa.uint16() if narrow else pa.uint32(), "mask": pa.bool_()}
     schema = pa.schema([pa.field(n, pa.list_(pa.field("item", t, False), length), False) for n, t in types.items()])
 
     def write(batches):
         shard, block = TaskContext.get().partitionId(), ROWS_PER_BATCH * length
-        path, total, index = f"{folder}/{shard:05d}", 0, []
+        path, documents, total = f"{folder}/{shard:05d}", 0, 0
         carry, buffered = [], 0
         first = next(batches, None)
         if first is None:
             return
-        with AtomicFile(f"{path}.arrow") as out, ipc.new_file(out, schema) as writer:
-            while first is not None:
-                for part in slices(first):
-                    ids, offsets = encoder(tokenizer).encode(part.column(1), end_id)
-                    index.append((part.column(0), total + offsets[:-1], np.diff(offsets)))
-                    total += len(ids)
-                    carry, buffered = [*carry, ids], buffered + len(ids)
-                    if buffered >= block:
-                        ids = np.concatenate(carry)
-                        whole = len(ids) // block * block
-                        for at in range(0, whole, block):
-                            writer.write_batch(_sequences(ids[at : at + block], block, length, schema))
-                        carry, buffered = [ids[whole:].copy()], len(ids) - whole
-                first = next(batches, None)
+        with encoding(tokenizer) as encoder, AtomicFile(f"{path}.index.arrow") as index, ipc.new_file(index, INDEX) as entries, AtomicFile(f"{path}.arrow") as out, ipc.new_file(out, schema) as writer:
+            for part in (p for b in itertools.chain([first], batches) for p in slices(b)):
+                ids, offsets = encoder.encode(part.column(1), end_id)
+                entries.write_batch(pa.record_batch([part.column(0), total + offsets[:-1], np.diff(offsets)], schema=INDEX))
+                documents, total = documents + part.num_rows, total + len(ids)
+                carry, buffered = [*carry, ids], buffered + len(ids)
+                if buffered >= block:
+                    ids = np.concatenate(carry)
+                    whole = len(ids) // block * block
+                    for at in range(0, whole, block):
+                        writer.write_batch(_sequences(ids[at : at + block], block, length, schema))
+                    carry, buffered = [ids[whole:].copy()], len(ids) - whole
             if buffered:
                 ids = np.concatenate(carry)
                 writer.write_batch(_sequences(np.pad(ids, (0, -len(ids) % length)), len(ids), length, schema))
-        table = pa.table({"doc_id": pa.concat_arrays([x[0] for x in index]), **{n: np.concatenate([x[k] for x in index]) for k, n in ((1, "start"), (2, "n_tokens"))}})
-        with AtomicFile(f"{path}.index.arrow") as out, ipc.new_file(out, table.schema) as writer:
-            writer.write_table(table, max_chunksize=65_536)
-        yield pa.record_batch([[shard], [table.num_rows], [total], [path]], names=["shard", "documents", "tokens", "path"])
+        yield pa.record_batch([[shard], [documents], [total], [path]], names=["shard", "documents", "tokens", "path"])
 
-    ranged = docs.select("doc_id", "text").repartitionByRange(shards, "doc_id").sortWithinPartitions("doc_id")
-    return ranged.mapInArrow(write, MANIFEST)
+    # Rows of one id, or without any, are dealt out by a hash of the text as well, so a frequent id makes no large shard.
+    salted = docs.select("doc_id", "text", F.xxhash64("text").alias("_salt"))
+    ranged = salted.repartitionByRange(shards, F.asc_nulls_first("doc_id"), "_salt").sortWithinPartitions(F.asc_nulls_first("doc_id"), "_salt")
+    return ranged.select("doc_id", "text").mapInArrow(write, MANIFEST)
+
+
+class Shard:
+    """A shard's files. On a mounted folder they are mapped, and what ``sequence`` and ``tokens`` return are views of the map."""
+
+    def __init__(self, path: str):
+        self.sequences, self.index = ipc.open_file(open_mapped(f"{path}.arrow")), ipc.open_file(open_mapped(f"{path}.index.arrow"))
+        self.length = self.sequences.schema.field(0).type.list_size
+        self.block, self.batch = None, None
+
+    def _batch(self, block: int) -> pa.RecordBatch:
+        if block != self.block:
+            self.block, self.batch = block, self.sequences.get_batch(block)
+        return self.batch
+
+    def sequence(self, k: int) -> tuple[np.ndarray, pa.BooleanArray]:
+        """The ids and the mask of sequence ``k``; every batch but the last has ROWS_PER_BATCH of them."""
+        batch, at = self._batch(k // ROWS_PER_BATCH), k % ROWS_PER_BATCH
+        return batch.column(0)[at].values.to_numpy(), batch.column(1)[at].values
+
+    def tokens(self, start: int, n: int) -> Iterator[np.ndarray]:
+        """The ids from ``start`` on, in parts that lie in one batch each."""
+        size = ROWS_PER_BATCH * self.length
+        while n > 0:
+            flat = self._batch(start // size).column(0).flatten().to_numpy()
+            part = flat[start % size : start % size + n]
+            yield part
+            start, n = start + len(part), n - len(part)
 
 
 def read_shards(spark: SparkSession, manifest: list) -> DataFrame:
@@ -86,24 +118,16 @@ def read_shards(spark: SparkSession, manifest: list) -> DataFrame:
         base += shard["tokens"]
 
     def read(batches):
-        for batch in batches:
-            for base, path in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                sequences, index = ipc.open_file(open_mapped(f"{path}.arrow")), ipc.open_file(open_mapped(f"{path}.index.arrow"))
-                at, held, block, end = 0, np.empty(0, np.uint32), 0, 0  # held: ids from at to end
-                for k in range(index.num_record_batches):
-                    part = index.get_batch(k)
-                    starts, counts = part.column(1).to_numpy(), part.column(2).to_numpy()
-                    crc = np.empty(len(starts), dtype=np.int64)
-                    for i, (start, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
-                        if start + n > end:
-                            more = [held[start - at :]]
-                            while end < start + n:
-                                flat = sequences.get_batch(block).column(0).flatten().to_numpy().astype(np.uint32)
-                                more.append(flat)
-                                block, end = block + 1, end + len(flat)
-                            held, at = np.concatenate(more), start
-                        crc[i] = zlib.crc32(held[start - at : start - at + n])
-                    yield pa.record_batch([part.column(0), base + starts, counts, crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
+        for base, path in ((b, p) for batch in batches for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            shard = Shard(path)
+            for k in range(shard.index.num_record_batches):
+                part = shard.index.get_batch(k)
+                starts, counts = part.column(1).to_numpy(), part.column(2).to_numpy()
+                crc = np.zeros(len(starts), dtype=np.int64)
+                for i, (start, n) in enumerate(zip(starts.tolist(), counts.tolist(), strict=True)):
+                    for ids in shard.tokens(start, n):
+                        crc[i] = zlib.crc32(ids.astype(np.uint32), crc[i])
+                yield pa.record_batch([part.column(0), base + starts, counts, crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
     files = spark.createDataFrame(rows, "base long, path string").repartition(max(1, len(rows)))
     return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

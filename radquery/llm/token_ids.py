@@ -9,18 +9,24 @@ from __future__ import annotations
 
 import json
 import os
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-from radquery.llm.words import gather, split_words, texts_of
+from radquery.llm.words import gather, give_back, split_words, texts_of
 
-#: Distinct words whose ids a Python worker keeps between slices; others are encoded again when they come again.
-KEPT_WORDS = 300_000
+#: Bytes, about, of words with their ids that an encoder keeps between the slices of a task; others are encoded again.
+KEPT_BYTES, ENTRY_BYTES = 16 << 20, 200
+#: The pattern of runs of letters, digits, and other marks, and nothing of two kinds: fixed value of the vocabulary files.
+RUNS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
-def check_separable(path: str) -> None:
+def check_separable(path: str) -> bool:
+    """Raises an error if white space doesn't separate tokens. True if upper case and final marks may be taken off words, as
+    the file's own steps lower them and cut marks from letters."""
     with open(path, encoding="utf-8") as f:
         spec = json.load(f)
     tokens = [t for t in spec.get("added_tokens", []) if t["lstrip"] or t["rstrip"] or any(c.isspace() for c in t["content"])]
@@ -29,6 +35,9 @@ def check_separable(path: str) -> None:
     splits = [s for s in steps if s["type"] == "Split" and s["behavior"] == "Removed" and s["invert"]]
     if tokens or not splits or r"[^\s\p{L}\p{N}]+" not in splits[0]["pattern"].get("Regex", ""):
         raise ValueError(f"{path}: white space does not separate tokens here")
+    normalizer = spec.get("normalizer") or {}
+    kinds = {n["type"] for n in normalizer.get("normalizers", [normalizer]) if n}
+    return "Lowercase" in kinds and splits[0]["pattern"]["Regex"].endswith(RUNS)
 
 
 def _bare(distinct: pa.Array) -> tuple[pa.Array, np.ndarray]:
@@ -51,8 +60,8 @@ class Encoder:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        check_separable(path)
-        self.tokenizer, self.kept = Tokenizer.from_file(path), {}
+        self.merges = check_separable(path)
+        self.tokenizer, self.kept, self.room = Tokenizer.from_file(path), {}, KEPT_BYTES
         self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
 
     def _ids(self, words: list[str]) -> list[bytes]:
@@ -71,14 +80,19 @@ class Encoder:
             ends = (4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(part) + 1))).tolist()
             for j, i in enumerate(part):
                 found[i] = ids[ends[j] : ends[j + 1]]
-            if len(self.kept) < KEPT_WORDS:
+            if self.room > 0:
                 self.kept.update((words[i], found[i]) for i in part)
+                self.room -= sum(len(words[i]) + len(found[i]) + ENTRY_BYTES for i in part)
         return found
 
+    def forget(self) -> None:
+        """What was kept goes; a worker that waits for its next task holds the vocabulary alone."""
+        self.kept, self.room = {}, KEPT_BYTES
+
     def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids (uint32) of all texts, each followed by ``end_id``, and the offsets by text."""
         codes, offsets, distinct = split_words(texts_of(texts))
-        bare, mark = _bare(distinct)
+        bare, mark = _bare(distinct) if self.merges else (distinct, np.zeros(len(distinct), dtype=np.int64))
         bare = bare.dictionary_encode()
         each = [*self._ids(bare.dictionary.to_pylist()), *self._ids([".", ","]), np.array([end_id], dtype=np.uint32).tobytes()]
         flat = np.frombuffer(b"".join(each), dtype=np.uint32)
@@ -101,8 +115,15 @@ class Encoder:
 _encoders: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """The Python worker's encoder for a file."""
+@contextmanager
+def encoding(path: str) -> Iterator[Encoder]:
+    """The Python worker's encoder for a file, for one task."""
     if path not in _encoders:
+        _encoders.clear()
         _encoders[path] = Encoder(path)
-    return _encoders[path]
+    try:
+        yield _encoders[path]
+    finally:
+        if path in _encoders:
+            _encoders[path].forget()
+        give_back()

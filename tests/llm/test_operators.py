@@ -188,10 +188,29 @@ def test_leaks(spark):
     assert leak.find_leaks(df.limit(0), bench).count() == 0
 
 
+def test_short_items_by_every_substitution_that_the_rule_allows(spark):
+    items, docs = [], []
+    for n in range(leak.LEAST, leak.WINDOW + 1):
+        w = [f"w{n}x{i}" for i in range(n)]
+        items.append((n, " ".join(w)))
+        allowed = n - math.ceil(0.8 * n)
+        for k in range(allowed + 2):
+            for gone in itertools.combinations(range(n), k):
+                new = ["other" if i in gone else x for i, x in enumerate(w)]
+                docs.append((len(docs), f"before {' '.join(new)} after", n, k <= allowed))
+        docs.append((len(docs), " ".join(w[: n - 1]), n, n >= 5))  # the last word is missing at the text's end
+    df = spark.createDataFrame(docs, "doc_id long, text string, n int, want boolean")
+    bench = spark.createDataFrame([*items, (1000, "w4x0 w4x1"), (1001, items[-1][1])], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in leak.find_leaks(df, bench).collect()}
+    assert {f for f in found if f[1] < 1000} == {(i, n) for i, _, n, want in docs if want}
+    assert {f[0] for f in found if f[1] == 1001} == {f[0] for f in found if f[1] == leak.WINDOW}
+    assert {r["doc_id"] for r in leak.decontaminate(df, bench).collect()} == {i for i, _, _, want in docs if not want}
+
+
 def test_leaks_odd_rows(spark, odd):
     bench = odd.select(F.col("doc_id").alias("item_id"), "text")
-    assert {r["doc_id"] for r in leak.find_leaks(odd, bench).collect()} == {6}
-    assert leak.decontaminate(odd, bench).count() == len(ODD) - 1
+    assert {r["doc_id"] for r in leak.find_leaks(odd, bench).collect()} == {6, None}
+    assert leak.decontaminate(odd, bench).count() == len(ODD) - 2
     assert leak.decontaminate(odd, bench).columns == odd.columns
 
 
@@ -404,11 +423,22 @@ def test_plans_are_near_the_best_and_keep_every_piece():
 
 def test_packed_sequences(spark):
     df = spark.createDataFrame([(1, "a b c"), (2, "d"), (3, None)], "doc_id long, text string")
-    placed = packing.pack_documents(df, TOKENIZER, capacity=6)
-    rows = packing.packed_sequences(placed, df, TOKENIZER, capacity=6).collect()
+    rows = packing.packed_sequences(df, TOKENIZER, capacity=6).collect()
     assert sum(len(r["ids"]) for r in rows) == sum(len(token_ids(t)) for t in ("a b c", "d", None))
 
 
+def test_packed_sequences_keep_equal_and_missing_ids(spark):
+    rows = [(1, "t"), (1, "t"), (1, "other words"), (None, "u"), (None, None)] + [(5, "same")] * 40
+    got = packing.packed_sequences(spark.createDataFrame(rows, "doc_id long, text string"), TOKENIZER, capacity=4).collect()
+    want = collections.Counter((i, tuple(token_ids(t)[k : k + 4])) for i, t in rows for k in range(0, len(token_ids(t)), 4))
+    parts = collections.Counter()
+    for r in got:
+        assert sum(r["lengths"]) == len(r["ids"]) <= 4
+        for i, a, n in zip(r["doc_ids"], itertools.accumulate([0, *r["lengths"]]), r["lengths"]):
+            parts[i, tuple(r["ids"][a : a + n])] += 1
+    assert parts == want
+
+
 def test_token_files(spark, odd):
     folder = new_dir(spark, "test")
     manifest = files.write_shards(odd, folder, TOKENIZER, length=64, shards=3).collect()
@@ -428,6 +458,25 @@ def test_token_files(spark, odd):
     assert files.read_shards(spark, files.write_shards(odd.limit(0), new_dir(spark, "test"), TOKENIZER).collect()).count() == 0
 
 
+def test_sequences_are_views_of_the_mapped_file(spark, documents):
+    (row,) = files.write_shards(documents, new_dir(spark, "test"), TOKENIZER, length=32, shards=1).collect()
+    shard, want = files.Shard(row["path"]), np.concatenate([token_ids(r["text"]) for r in documents.orderBy(F.asc_nulls_first("doc_id"), F.xxhash64("text")).collect()])
+    before = pa.total_allocated_bytes()
+    for k in (0, 1, 63, 64, 500, len(want) // 32):
+        ids, mask = shard.sequence(k)
+        part = want[32 * k : 32 * k + 32]
+        assert ids[: len(part)].tolist() == part.tolist() and sum(mask.to_pylist()) == len(part) and len(ids) == 32
+        assert not ids.flags.owndata and not ids.flags.writeable
+    assert pa.total_allocated_bytes() == before  # nothing was copied into Arrow's memory
+    assert np.concatenate([*shard.tokens(100, 9000)]).tolist() == want[100:9100].tolist()
+
+
+def test_a_frequent_id_is_dealt_out(spark):
+    rows = spark.range(300).selectExpr("1L as doc_id", "concat('text ', id) as text")
+    made = files.write_shards(rows, new_dir(spark, "test"), TOKENIZER, shards=4).collect()
+    assert len(made) == 4 and sum(r["documents"] for r in made) == 300
+
+
 # ---- 5 and 6 --------------------------------------------------------------------------------------------------------
 
 
@@ -498,6 +547,27 @@ def test_toxicity_held_out(spark):
     assert len(wrong) <= 4
 
 
+def test_toxicity_scores_are_those_of_compressing_word_by_word(spark, documents):
+    rng = random.Random(3)
+    truth = spark.read.parquet(f"{DATA}/labels.parquet")
+    model = toxicity.learn(documents, truth)
+    pair = [toxicity.compressor(d) for d in (model.ordinary, model.toxic)]
+    assert all(d[:4] == bytes.fromhex("37a430ec") for d in (model.ordinary, model.toxic))  # trained dictionaries
+    rows = rng.sample(documents.collect(), 40)
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(spark.createDataFrame(rows), model).collect()}
+    for r in rows:
+        odds = []
+        for w in re.findall(r"[^\x20\x09-\x0D]+", r["text"] or ""):
+            w = re.sub(r"^[\W_]+|[\W_]+$", "", w.lower())
+            data = f" {w} {w} {w} ".encode()
+            a, b = (min(toxicity.MOST_LENGTH - 1, len(c.compress(data))) for c in pair)
+            odds.append(float(model.odds[(min(toxicity.MOST_BYTES - 1, len(data) // 3) * toxicity.MOST_LENGTH + a) * toxicity.MOST_LENGTH + b]))
+        n = len(odds)
+        x = [max(odds), math.log1p(sum(max(0, o - 1.5) for o in odds)), math.log1p(100 * sum(max(0, o - 2) for o in odds) / n), math.log1p(n)] if n else [0] * 4
+        z = sum(v * w for v, w in zip(x, model.weights)) + model.weights[-1]
+        assert got[r["doc_id"]] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-6)
+
+
 def test_toxicity_odd_rows(spark, odd):
     empty = toxicity.learn(odd, spark.createDataFrame([], "doc_id long, toxic int"))
     assert all(0 <= r["score"] < 0.01 for r in toxicity.score(odd, empty).collect())
@@ -534,6 +604,36 @@ def test_language_learns_rare_ones_among_many_documents(spark):
     assert not sampled  # a sample of 20,000 by hashes has no document of the rare language
 
 
+def test_two_hundred_languages(spark):
+    names = [f"l{i:03d}" for i in range(200)]
+    own = lambda i: " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}q{chr(97 + k)}{chr(97 + i % 26)}z" for k in range(12))
+    rows = spark.createDataFrame([(i, own(i), n) for i, n in enumerate(names)], "doc_id long, text string, lang string")
+    model = language.train(rows)
+    assert {r["doc_id"]: r["lang_pred"] for r in language.identify(rows, model).collect()} == dict(enumerate(names))
+
+
+def test_word_scores_are_those_of_counting(spark):
+    train = [("aa", "banana, mango kiwi"), ("aa", "mango papaya 42"), ("bb", "Haus Baum Mango")]
+    model = language.train(spark.createDataFrame([(i, t, k) for i, (k, t) in enumerate(train)], "doc_id long, text string, lang string"))
+
+    def grams(w):
+        data = f" {w.lower()} ".encode()
+        for n in (2, 3, 4):
+            for i in range(len(data) - n + 1):
+                key = 0
+                for b in data[i : i + n]:
+                    key = (key * 257 + b) % 2**64
+                yield (key * 0x9E3779B97F4A7C15 % 2**64) >> (64 - language.BUCKET_BITS)
+
+    for k, name in enumerate(model.languages):
+        count = collections.Counter(g for lang, t in train if lang == name for w in t.split() if re.search(r"[^\W\d_]", w) for g in grams(w))
+        total = sum(count.values()) + 0.5 * 2**language.BUCKET_BITS
+        for w in ("mango", "Baum", "other"):
+            want = [math.log((count[g] + 0.5) / total) for g in grams(w)]
+            bucket, _ = language.word_buckets(pa.array([w]))
+            assert sorted(model.weights[bucket, k].tolist()) == pytest.approx(sorted(want), abs=1e-4)
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(0)
     for _ in range(20):

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from radquery.llm.shared import share
 from radquery.llm.words import slices, split_words, texts_of
 
 BUCKET_BITS = 17
@@ -179,7 +180,7 @@ def _emissions(model: Model, distinct: pa.Array, script: np.ndarray, weight: flo
 
 def identify(docs: DataFrame, model: Model, weight: float = 4.0, penalty: float = 6.0, with_spans: bool = True) -> DataFrame:
     """doc_id, lang_pred, score (that language's share of the letters), n_letters, and spans of (first_word, words, lang)."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
     schema = "doc_id long, lang_pred string, score double, n_letters long" + ", spans array<struct<first_word: long, words: long, lang: string>>" * with_spans
     span_type = pa.struct([("first_word", pa.int64()), ("words", pa.int64()), ("lang", pa.string())])
 

@@ -31,7 +31,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radquery.llm.shared import AtomicFile, filesystem, is_local, local_path, new_dir, write_table
+from radquery.llm.shared import AtomicFile, filesystem, is_local, local_path, new_dir, share, write_table
 from radquery.llm.words import give_back, mix, slices, split_words, texts_of
 
 #: Of the registered query.
@@ -382,7 +382,7 @@ def log_probabilities(trained: Trained, codes: np.ndarray, offsets: np.ndarray,
 
 def score(docs: DataFrame, trained: Trained | None) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity."""
-    shared = docs.sparkSession.sparkContext.broadcast(trained)
+    shared = share(docs.sparkSession, trained)
 
     def run(batches):
         trained = shared.value

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from radquery.llm.shared import write_table
+from radquery.llm.shared import share, write_table
 from radquery.llm.token_ids import encoding
 from radquery.llm.words import slices
 
@@ -115,7 +115,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
     """Adds sequence_id and offset to the columns of a stored table of pieces, which is read three times."""
     spark = pieces.sparkSession
     counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most capacity rows
-    slots = spark.sparkContext.broadcast(_slots(plan_packing(counts, capacity), counts))
+    slots = share(spark, _slots(plan_packing(counts, capacity), counts))
 
     # Ranks within a length: within small parts of it, and after all pieces of the parts before. Parts go by the key, which no
     # two pieces share, so equal pieces are spread as well.

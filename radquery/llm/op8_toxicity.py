@@ -29,7 +29,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radquery.llm.shared import write_table
+from radquery.llm.shared import share, write_table
 from radquery.llm.words import slices, split_words, texts_of
 
 #: Labelled documents of each class that the fit takes, about.
@@ -214,7 +214,7 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score, from doc_id and text."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = share(docs.sparkSession, model)
 
     def run(batches):
         model = shared.value

@@ -9,10 +9,13 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 from urllib.parse import urlsplit
 
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -30,12 +33,46 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_dir(spark: SparkSession, name: str) -> str:
     """The URI of a folder that no other call gets; it is made when something is written there."""
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    made = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if _scopes:
+        _scopes[-1].append(made)
+    return made
 
 
-def write_table(df: DataFrame, name: str) -> DataFrame:
+#: What calls within ``temporary`` have made, innermost last: folders, and broadcasts.
+_scopes: list[list[str | Broadcast]] = []
+
+
+@contextmanager
+def temporary() -> Iterator[None]:
+    """Folders and broadcasts that are made within go at the end; what is to stay is written to a folder named before."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for made in _scopes.pop():
+            if isinstance(made, str):
+                delete(made)
+            else:
+                made.destroy()
+
+
+def share(spark: SparkSession, value) -> Broadcast:
+    made = spark.sparkContext.broadcast(value)
+    if _scopes:
+        _scopes[-1].append(made)
+    return made
+
+
+def delete(uri: str) -> None:
+    fs, path = filesystem(uri)
+    if fs.get_file_info(path).type != pafs.FileType.NotFound:
+        fs.delete_dir(path)
+
+
+def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     """The rows of ``df`` as written to Parquet and read again: it cuts the lineage and survives lost executors."""
-    path = new_dir(df.sparkSession, name)
+    path = path or new_dir(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

@@ -46,7 +46,7 @@ MOST_BYTES, MOST_LENGTH = 24, 48
 CELLS = MOST_BYTES * MOST_LENGTH**2
 #: Features are rounded to this for the logistic fit.
 STEP = 1 / 16
-KEPT_WORDS = 50_000
+KEPT_WORDS = 100_000
 SCORE_BYTES = 2 << 20
 
 
@@ -64,7 +64,7 @@ def window(word: str) -> bytes:
 def compressor(dictionary: bytes) -> zstandard.ZstdCompressor:
     data = zstandard.ZstdCompressionDict(dictionary)  # with the trainer's entropy tables, if it has them
     plain = {"write_content_size": False, "write_checksum": False, "write_dict_id": False}
-    parameters = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=18, hash_log=16, chain_log=16, search_log=6, min_match=4, target_length=64, strategy=zstandard.STRATEGY_BTOPT, **plain)
+    parameters = zstandard.ZstdCompressionParameters(format=zstandard.FORMAT_ZSTD1_MAGICLESS, window_log=16, hash_log=15, chain_log=15, search_log=5, min_match=4, target_length=32, strategy=zstandard.STRATEGY_BTLAZY2, **plain)
     data.precompute_compress(compression_params=parameters)
     return zstandard.ZstdCompressor(dict_data=data, compression_params=parameters)
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radquery.functions.ranks import hash_rank
+from radquery.functions.ranks import hashed, nth_by_hash
+from radquery.sources.scratch import stored
 
 #: What an image file's name ends in.
 SUFFIXES = ("jpg", "jpeg", "png", "bmp", "tiff")
@@ -19,21 +20,22 @@ def is_image(path: Column) -> Column:
 
 
 def class_distribution(index: DataFrame, *labels: str) -> DataFrame:
-    """Rows and their share in percent for each class."""
+    """Rows and their share in percent for each class, rows without one among them."""
     counts = index.groupBy(*labels).agg(F.count("*").alias("n"))
     total = index.agg(F.count("*").alias("total"))  # one row
     return counts.join(F.broadcast(total)).select(*labels, "n", (100.0 * F.col("n") / F.col("total")).alias("share"))
 
 
 def first_by(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """Of rows with equal key, that with the smallest ``order``. Keys are pre-aggregated, so a frequent one costs no task more."""
-    firsts = df.groupBy(key.alias("_key")).agg(F.min(order).alias(order))
-    return df.join(firsts.select(order), order, "left_semi")
+    """Of rows with equal key (null is a key too) one with the smallest ``order``, null last. By partial aggregation, so a
+    frequent key costs no task more; of rows that are alike in both, one stays."""
+    row = F.min_by(F.struct(*df.columns), F.struct(F.col(order).isNull(), F.col(order))).alias("_row")
+    return df.groupBy(key.alias("_key")).agg(row).select("_row.*")
 
 
 def cleaning_stats(index: DataFrame, key: Column, size: str) -> DataFrame:
-    """Rows, rows after removal of repeats, and those of them above the minimal size."""
-    groups = index.groupBy(key.alias("_key")).agg(F.count("*").alias("n"), F.first(size).alias("size"))
+    """Rows, rows after removal of repeats, and those of them above the minimal size (of repeats, the greatest counts)."""
+    groups = index.groupBy(key.alias("_key")).agg(F.count("*").alias("n"), F.max(size).alias("size"))
     return groups.agg(F.sum("n").alias("before"), F.count("*").alias("after_dedup"), F.count_if(F.col("size") > MIN_BYTES).alias("after_size"))
 
 
@@ -48,29 +50,45 @@ def quotas(counts: DataFrame, label: str, size: Column) -> DataFrame:
     arrays = counts.agg(F.array_sort(F.collect_list(F.struct(label, "n"))).alias("c"), F.sum("n").alias("total"))
     exact = arrays.withColumn("size", size).withColumn("x", F.transform("c", lambda c: c["n"] / F.col("total") * F.col("size")))
     short = exact.withColumn("short", F.col("size") - F.aggregate("x", F.lit(0).cast("long"), lambda s, x: s + F.floor(x)))
-    rests = short.withColumn("rests", F.array_sort(F.zip_with("x", "c", lambda x, c: F.struct((F.floor(x) - x).alias("rest"), c[label].alias("label")))))
-    each = rests.select(F.posexplode("c").alias("_i", "c"), "x", "short", F.transform("rests", lambda r: r["label"]).alias("ranked"))
-    more = (F.array_position("ranked", F.col(f"c.{label}")) <= F.col("short")).cast("long")
+    rests = short.withColumn("rests", F.array_sort(F.transform("x", lambda x, i: F.struct((F.floor(x) - x).alias("rest"), i.alias("i")))))
+    each = rests.select(F.posexplode("c").alias("_i", "c"), "x", "short", F.transform("rests", lambda r: r["i"]).alias("ranked"))
+    more = (F.array_position("ranked", F.col("_i")) <= F.col("short")).cast("long")
     return each.select(f"c.{label}", "c.n", (F.floor(F.element_at("x", F.col("_i") + 1)) + more).cast("long").alias("quota"))
 
 
+def _bounds(df: DataFrame, key: str, label: str, seed: int, places: DataFrame, names: list[str]) -> DataFrame:
+    """(_label, a bound for each name): a row for each class, stored."""
+    found = nth_by_hash(df, label, key, seed, places)
+    each = found.groupBy(F.col(label).alias("_label")).agg(*(F.max(F.when(F.col("name") == n, F.col("bound"))).alias(f"_{n}") for n in names))
+    return stored(each, "bounds")
+
+
 def stratified_split(df: DataFrame, key: str, label: str, test: float = 0.15, val: float = 0.15, seed: int = 42) -> DataFrame:
-    """Adds ``split``. Test rows are a share of all, validation rows a share of the rest, exact in each class."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
+    """Adds ``split``. Test rows are a share of all, validation rows a share of the rest, exact in each class where keys differ;
+    rows with the same key are in the same part. Rows without label are a class.
+
+    The bounds of the parts are found first; then each row's part is known from its own hash.
+    """
+    counts = stored(df.groupBy(label).agg(F.count("*").alias("n")), "class-sizes")
     first = quotas(counts, label, F.ceil(F.lit(test) * F.col("total")))
     rest = first.select(label, (F.col("n") - F.col("quota")).alias("n"))
-    second = quotas(rest, label, F.ceil(F.lit(val / (1 - test)) * F.col("total")))
-    both = first.select(label, F.col("quota").alias("_test")).join(second.select(label, F.col("quota").alias("_val")), label)
-    ranked = hash_rank(df, [label], key, seed, "_rank").join(F.broadcast(both), label)  # a row per class
-    split = F.when(F.col("_rank") <= F.col("_test"), "test").when(F.col("_rank") <= F.col("_test") + F.col("_val"), "val").otherwise("train")
-    return ranked.withColumn("split", split).drop("_rank", "_test", "_val")
+    second = quotas(rest, label, F.ceil(F.lit(val / (1 - test)) * F.col("total"))).select(F.col(label).alias("_l"), F.col("quota").alias("_v"))
+    both = first.join(second, F.col(label).eqNullSafe(F.col("_l")))
+    nth = F.explode(F.array(F.struct(F.lit("test").alias("name"), F.col("quota").alias("nth")), F.struct(F.lit("val").alias("name"), (F.col("quota") + F.col("_v")).alias("nth"))))
+    places = stored(both.select(label, nth.alias("x")).select(label, "x.*"), "places")
+    bounds = _bounds(df, key, label, seed, places, ["test", "val"])
+    joined = hashed(df, key, seed).join(bounds, F.col(label).eqNullSafe(F.col("_label")), "left")
+    split = F.when(F.col("_order") <= F.col("_test"), "test").when(F.col("_order") <= F.col("_val"), "val").otherwise("train")
+    return joined.withColumn("split", split).drop("_order", "_bucket", "_label", "_test", "_val")
 
 
 def stratified_subsample(df: DataFrame, key: str, label: str, most: int, seed: int = 42) -> DataFrame:
-    """``most`` rows with the classes' shares kept, or all if there are no more."""
-    counts = df.groupBy(label).agg(F.count("*").alias("n"))
-    share = quotas(counts, label, F.least(F.lit(most), F.col("total"))).select(label, F.col("quota").alias("_quota"))
-    return hash_rank(df, [label], key, seed, "_rank").join(F.broadcast(share), label).where("_rank <= _quota").drop("_rank", "_quota")
+    """``most`` rows with the classes' shares kept, or all if there are no more; exact where keys differ."""
+    counts = stored(df.groupBy(label).agg(F.count("*").alias("n")), "class-sizes")
+    places = quotas(counts, label, F.least(F.lit(most), F.col("total"))).select(label, F.lit("last").alias("name"), F.col("quota").alias("nth"))
+    bounds = _bounds(df, key, label, seed, places, ["last"])
+    joined = hashed(df, key, seed).join(bounds, F.col(label).eqNullSafe(F.col("_label")))
+    return joined.where(F.col("_order") <= F.col("_last")).drop("_order", "_bucket", "_label", "_last")
 
 
 def augmented(df: DataFrame, mode: str) -> DataFrame:

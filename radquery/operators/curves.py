@@ -13,6 +13,19 @@ def zipped(curves: DataFrame, first: list[str], others: list[str]) -> DataFrame:
     return curves.select(F.posexplode(F.slice(pairs, 1, longest)).alias("_at", "_p")).select((F.col("_at") + 1).alias("epoch"), *(F.col(f"_p.{c}").alias(c) for c in first + others))
 
 
+def concatenated(first: DataFrame, second: DataFrame, key: str, curves: list[str]) -> DataFrame:
+    """The curves of two phases of training, one after the other, for each key of the first."""
+    later = second.select(F.col(key).alias("_key"), *(F.col(c).alias(f"_{c}") for c in curves))
+    joined = first.join(later, F.col(key).eqNullSafe(F.col("_key")))
+    return joined.select(key, *(F.concat(c, f"_{c}").alias(c) for c in curves))
+
+
+def phases(epochs: Column) -> list[Column]:
+    """Epochs with frozen layers (a third, from 1 to 4), and the others, 1 at least."""
+    first = F.greatest(F.lit(1), F.least(F.lit(4), F.floor(epochs / 3))).cast("int")
+    return [first.alias("frozen"), F.greatest(F.lit(1), epochs - first).cast("int").alias("tuned")]
+
+
 def early_stop(losses: Column, patience: int = 3) -> Column:
     """struct(stopped, best): the epoch, from 1, at which training stops, and that of the least loss until then."""
     start = F.struct(F.lit(0).alias("at"), F.lit(float("inf")).alias("least"), F.lit(0).alias("best"), F.lit(0).alias("stopped"))

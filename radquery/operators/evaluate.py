@@ -8,14 +8,27 @@ from pyspark.sql import functions as F
 from radquery.functions.dims import COMPOSITE
 from radquery.functions.numeric import pyround, ratio
 from radquery.functions.ranks import running_total
+from radquery.sources.scratch import stored
+
+
+def pairs(rows: DataFrame, actual: str, predicted: str, *sums: str) -> DataFrame:
+    """(actual, predicted, n, sums of further columns): a row for each pair of classes that occurs."""
+    return rows.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+
+
+def dense(found: DataFrame) -> DataFrame:
+    """``pairs``, also for classes that don't occur together, with 0 there. Classes are few, so the pairs are one row on the way."""
+    cells = found.agg(F.collect_list(F.struct(*found.columns)).alias("cells"))
+    classes = F.array_sort(F.array_distinct(F.concat(F.transform("cells", lambda c: c["actual"]), F.transform("cells", lambda c: c["predicted"]))))
+    grid = cells.select("cells", classes.alias("c")).select("cells", "c", F.explode("c").alias("actual")).select("cells", "actual", F.explode("c").alias("predicted"))
+    cell = F.filter("cells", lambda c: c["actual"].eqNullSafe(F.col("actual")) & c["predicted"].eqNullSafe(F.col("predicted")))
+    each = grid.select("actual", "predicted", F.try_element_at(cell, F.lit(1)).alias("cell"))
+    return each.select("actual", "predicted", *(F.coalesce(F.col(f"cell.{c}"), F.lit(0)).alias(c) for c in found.columns[2:]))
 
 
 def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:
-    """(actual, predicted, n), also for pairs of classes that don't occur together. Classes are few."""
-    pairs = rows.groupBy(F.col(actual).alias("actual"), F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
-    classes = pairs.agg(F.array_sort(F.array_union(F.collect_set("actual"), F.collect_set("predicted"))).alias("c"))
-    grid = classes.select(F.explode("c").alias("actual"), "c").select("actual", F.explode("c").alias("predicted"))
-    return grid.join(pairs, ["actual", "predicted"], "left").select("actual", "predicted", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+    """(actual, predicted, n), also for pairs of classes that don't occur together."""
+    return dense(pairs(rows, actual, predicted))
 
 
 def per_class(matrix: DataFrame) -> DataFrame:
@@ -40,21 +53,23 @@ def weighted(report: DataFrame) -> DataFrame:
 
 
 def auc(rows: DataFrame, group: list[str], score: Column, positive: Column) -> DataFrame:
-    """(group, auc): the share of pairs of a positive and a negative row in right order, ties as half; 0 without pairs.
+    """(group, auc): the share of pairs of a positive and a negative row in right order, ties as half; null without pairs.
 
-    Rows with equal scores are summed first, and scores from 0 to 1 are cut into ranges, so no task sees a whole class.
+    Rows with equal scores are summed first, and the scores are cut into ranges of about as many, so no task sees a whole class.
     """
     values = rows.groupBy(*group, score.alias("_score")).agg(F.count_if(positive).alias("_pos"), F.count_if(~positive).alias("_neg"))
-    below = running_total(values, group, F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.col("_score"))) * 4096), [F.col("_score")], F.col("_neg"), "_below")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = stored(values.repartitionByRange(tasks, *group, "_score").withColumn("_range", F.spark_partition_id()), "scores")
+    below = running_total(ranged, group, F.col("_range"), [F.col("_score")], F.col("_neg"), "_below")
     wins = F.sum(F.col("_pos") * (F.col("_below") + F.col("_neg") / 2))
-    return below.groupBy(*group).agg(ratio(wins, F.sum("_pos").cast("double") * F.sum("_neg")).alias("auc"))
+    return below.groupBy(*group).agg(F.try_divide(wins.cast("double"), F.sum("_pos").cast("double") * F.sum("_neg")).alias("auc"))
 
 
 def macro_auc(scored: DataFrame, label: str, probs: str = "probs") -> DataFrame:
     """One row: the mean over classes of one class against the rest; 0 if a class has no positive or no negative row."""
-    each = scored.select(F.col(label).alias("_label"), F.explode(probs).alias("x")).select("_label", "x.cls", F.round("x.p", 10).alias("p"))
+    each = scored.select(F.col(label).alias("_label"), F.explode(probs).alias("x")).select("_label", "x.cls", "x.p")
     one = auc(each, ["cls"], F.col("p"), F.col("_label") == F.col("cls"))
-    return one.agg(F.when(F.min("auc") == 0, 0.0).otherwise(F.avg("auc")).alias("auc_roc"))
+    return one.agg(F.when(F.count_if(F.col("auc").isNull()) > 0, 0.0).otherwise(F.avg("auc")).alias("auc_roc"))
 
 
 def rounded(metrics: DataFrame) -> DataFrame:

@@ -45,11 +45,12 @@ class CentroidScorer:
             return F.aggregate(square, F.lit(0.0), lambda s, x: s + x) * -SHARPNESS
 
         scored = df.join(F.broadcast(self.model)).withColumn("_logits", F.transform("_model", logit))
-        scored = scored.withColumn("_exp", F.transform("_logits", lambda x: F.exp(x - F.array_max("_logits"))))
+        scored = scored.withColumn("_most", F.array_max("_logits"))
+        scored = scored.withColumn("_exp", F.transform("_logits", lambda x: F.exp(x - F.col("_most"))))
         total = F.aggregate("_exp", F.lit(0.0), lambda s, x: s + x)
         scored = scored.withColumn("_sum", total)
         probs = F.zip_with("_model", "_exp", lambda m, x: F.struct(m["cls"].alias("cls"), (x / F.col("_sum")).alias("p")))
-        return scored.withColumn("probs", probs).drop("_model", "_logits", "_exp", "_sum")
+        return scored.withColumn("probs", probs).drop("_model", "_logits", "_most", "_exp", "_sum")
 
 
 class LogisticScorer:

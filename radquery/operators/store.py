@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
+from radquery.functions import dims
+
 #: Fixed values.
 EMAIL = r"^[^@\s]+@[^@\s]+\.[^@\s]+$"
 GENDERS = ("Male", "Female", "Other")
 MIME_TYPES = ("image/jpeg", "image/png", "image/bmp", "image/tiff", "image/webp")
 MAX_UPLOAD = 10 * 1024 * 1024
-DEFAULT_PATIENT = "DEFAULT"
+DEFAULT_PATIENT = dims.DEFAULT_PATIENT["patient_id"]
 
 
 def blank_to_null(c: Column) -> Column:
@@ -48,6 +50,27 @@ def with_default(records: DataFrame, key: str, known: DataFrame, known_key: str)
     return joined.withColumn("resolved", F.when(F.col(key).isNull(), DEFAULT_PATIENT).otherwise(F.col("_known").cast("string"))).drop("_known")
 
 
+def missing_default(patients: DataFrame) -> DataFrame:
+    """The record that stands for no patient (patient_id, name, age, gender), to be appended; no row where it is there already."""
+    row = patients.sparkSession.createDataFrame([(*dims.DEFAULT_PATIENT.values(),)], "patient_id string, name string, age int, gender string")
+    return row.join(patients.where(F.col("patient_id") == DEFAULT_PATIENT).select("patient_id").limit(1), "patient_id", "left_anti")
+
+
+def one_or_none(df: DataFrame, key: str, value) -> Row | None:
+    """The row with this key, if there is one. Several are an error; no more than two rows come to the driver."""
+    rows = df.where(F.col(key) == F.lit(value)).limit(2).collect()
+    if len(rows) > 1:
+        raise ValueError(f"several rows have {key} = {value!r}")
+    return rows[0] if rows else None
+
+
+def exactly_one(df: DataFrame, key: str, value) -> Row:
+    found = one_or_none(df, key, value)
+    if found is None:
+        raise LookupError(f"no row has {key} = {value!r}")
+    return found
+
+
 def latest(versions: DataFrame, key: str, order: list[str], fields: list[str]) -> DataFrame:
     """For each key the newest version, by partial aggregation; a field that a version didn't supply keeps its value.
 

@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from radquery.functions.dims import DEFAULT_FINDING, DEMO, dimension
+from radquery.functions.dims import CLASSES, DEFAULT_FINDINGS, DEFAULT_PRECAUTIONS, DEMO, FINDINGS, PRECAUTIONS, told
 from radquery.functions.numeric import pyfmt, pyround
-from radquery.operators import curation, curves, evaluate, store, triage, views
-from radquery.operators.report import report
+from radquery.operators import curation, curves, evaluate, predict, store, triage, views
+from radquery.operators.report import SYSTEM, TEMPLATE, report
 from radquery.operators.scoring import CentroidScorer, LogisticScorer, centroids
+from radquery.sources.scratch import stored
 from radquery.streaming.landing import triaged
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -52,6 +53,11 @@ def dataset_clean_stats(spark, d):
     return curation.cleaning_stats(table(spark, d, "documents"), F.md5("text"), "n_chars")
 
 
+@query("SELECT CAST(count(DISTINCT lang) AS BIGINT) AS classes, CAST(count(DISTINCT source) AS BIGINT) AS sources FROM documents")
+def dataset_classes(spark, d):
+    return table(spark, d, "documents").agg(F.countDistinct("lang").alias("classes"), F.countDistinct("source").alias("sources"))
+
+
 @query("SELECT doc_id, lang, n_chars FROM (SELECT *, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS r FROM documents) WHERE r = 1")
 def dataset_dedup_first(spark, d):
     return curation.first_by(table(spark, d, "documents"), F.md5("text"), "doc_id").select("doc_id", "lang", "n_chars")
@@ -78,9 +84,10 @@ def _split_sql(source: str) -> str:
 EMB_SPLIT = _split_sql("SELECT vec_id AS id, label, embedding FROM embeddings")
 
 
-@query(f"WITH {_split_sql('SELECT doc_id AS id, lang AS label FROM documents')} SELECT split, label AS lang, CAST(count(*) AS BIGINT) AS n FROM sp GROUP BY split, label")
+@query(f"WITH {_split_sql('SELECT doc_id AS id, lang AS label FROM documents')} SELECT split, label AS lang, CAST(count(*) AS BIGINT) AS n, CAST(printf('%.4f', 100.0 * count(*) / sum(count(*)) OVER ()) AS DOUBLE) AS share FROM sp GROUP BY split, label")
 def stratified_split_counts(spark, d):
-    return curation.stratified_split(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang").groupBy("split", "lang").agg(F.count("*").alias("n"))
+    parts = curation.stratified_split(table(spark, d, "documents").select("doc_id", "lang"), "doc_id", "lang")
+    return curation.class_distribution(parts, "split", "lang").withColumn("share", pyround(F.col("share"), 4))
 
 
 @query(f"WITH {EMB_SPLIT} SELECT id AS vec_id, label, split FROM sp")
@@ -134,9 +141,10 @@ _TOP = "(SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY p
 
 
 def scored(spark: SparkSession, d: str, dims: int = 64) -> DataFrame:
-    """Test rows with the probabilities of a scorer that was fitted on training rows."""
+    """Test rows with the probabilities of a scorer that was fitted on training rows, stored, as several aggregations read them."""
     parts = curation.stratified_split(table(spark, d, "embeddings"), "vec_id", "label")
-    return CentroidScorer(dims=dims).fit(parts.where("split = 'train'")).transform(parts.where("split = 'test'"))
+    rows = CentroidScorer(dims=dims).fit(parts.where("split = 'train'")).transform(parts.where("split = 'test'"))
+    return stored(rows.select("vec_id", "label", "probs"), "scored")
 
 
 def predicted(rows: DataFrame) -> DataFrame:
@@ -222,27 +230,81 @@ def best_model_coalesce(spark, d):
     return chosen.select("vec_id", "x.model", "x.condition", pyround(F.col("x.pct"), 2).alias("confidence"))
 
 
-#: Some conditions with what is told about them; the others get a default.
-FINDINGS = {"Pneumonia": ["Opacity", "Consolidation"], "Tuberculosis": ["Cavitation"], "Lung Cancer": ["Nodule", "Mass"]}
-_FINDINGS = "(VALUES ('Pneumonia', 'Opacity; Consolidation'), ('Tuberculosis', 'Cavitation'), ('Lung Cancer', 'Nodule; Mass')) f(condition, findings)"
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
 
 
-@query(f"{PREDICTIONS} SELECT event_id, p.condition, coalesce(f.findings, 'Finding: Indeterminate') AS findings FROM p LEFT JOIN {_FINDINGS} ON p.condition = f.condition")
-def findings_lookup(spark, d):
-    known = F.broadcast(dimension(spark, "findings", FINDINGS))  # constants
-    rows = predictions(spark, d).join(known, "condition", "left")
-    return rows.select("event_id", "condition", F.coalesce(F.array_join("findings", "; "), F.lit(": ".join(DEFAULT_FINDING))).alias("findings"))
+def _told_sql(condition: str, values: dict, otherwise: list, between: str) -> str:
+    """The constants as SQL text, joined."""
+    flat = lambda v: _quoted(between.join(": ".join(x) if isinstance(x, tuple) else x for x in v))
+    return f"CASE {condition} " + " ".join(f"WHEN {_quoted(k)} THEN {flat(v)}" for k, v in values.items()) + f" ELSE {flat(otherwise)} END"
 
 
-PRECAUTIONS = {"Normal": ["Keep up regular check-ups"], "Pneumonia": ["See a doctor", "Rest", "Drink enough"], "Lung Cancer": ["See an oncologist at once"]}
-_PRECAUTIONS = "(VALUES ('Normal', 'Keep up regular check-ups', 1), ('Pneumonia', 'See a doctor | Rest | Drink enough', 3), ('Lung Cancer', 'See an oncologist at once', 1)) f(condition, told, n)"
+#: Events of every kind but views; a view has no known condition.
+_KNOWN = "CASE WHEN event_type <> 'view' THEN condition END"
 
 
-@query(f"{PREDICTIONS} SELECT event_id, coalesce(told, 'Ask a doctor | Keep your records') AS precautions, CAST(coalesce(n, 2) AS INTEGER) AS n FROM p LEFT JOIN {_PRECAUTIONS} ON p.condition = f.condition")
+@query(f"{PREDICTIONS} SELECT event_id, {_told_sql(_KNOWN, FINDINGS, DEFAULT_FINDINGS, '; ')} AS findings FROM p")
+def findings_lookup(spark, d):
+    rows = predictions(spark, d).withColumn("known", F.when(F.col("event_type") != "view", F.col("condition")))
+    each = F.transform(told(F.col("known"), FINDINGS, DEFAULT_FINDINGS), lambda x: F.concat_ws(": ", x["label"], x["value"]))
+    return rows.select("event_id", F.array_join(each, "; ").alias("findings"))
+
+
+@query(f"{PREDICTIONS} SELECT event_id, {_told_sql(_KNOWN, PRECAUTIONS, DEFAULT_PRECAUTIONS, ' | ')} AS precautions FROM p")
 def precautions_lookup(spark, d):
-    known = F.broadcast(dimension(spark, "precautions", PRECAUTIONS))  # constants
-    rows = predictions(spark, d).join(known, "condition", "left").withColumn("_p", F.coalesce("precautions", F.array(F.lit("Ask a doctor"), F.lit("Keep your records"))))
-    return rows.select("event_id", F.array_join("_p", " | ").alias("precautions"), F.size("_p").alias("n"))
+    rows = predictions(spark, d).withColumn("known", F.when(F.col("event_type") != "view", F.col("condition")))
+    return rows.select("event_id", F.array_join(told(F.col("known"), PRECAUTIONS, DEFAULT_PRECAUTIONS), " | ").alias("precautions"))
+
+
+def _slot_sql(m: str, has: str, step: int) -> str:
+    """Probabilities of a model for the seven classes, from numbers of the event."""
+    w = f"list_transform(range(7), lambda i: CAST((event_id * (i + {step})) % 101 + 1 AS DOUBLE))"
+    return f"CASE WHEN {has} THEN list_transform({w}, lambda x: x / list_sum({w})) END AS {m}_p"
+
+
+_CLASS_LIST = "[" + ", ".join(map(_quoted, CLASSES)) + "]"
+_DEMO_LIST = "[" + ", ".join(f"CAST({v} AS DOUBLE)" for v in DEMO.values()) + "]"
+_RECORD = f"""WITH e AS (SELECT event_id, ts, CASE WHEN event_id % 5 = 0 THEN 'CNN' ELSE 'ResNet' END AS selected_model,
+      {_slot_sql('cnn', 'event_id % 3 <> 0', 3)}, {_slot_sql('resnet', 'event_id % 2 <> 0', 5)} FROM events),
+    k AS (SELECT *, list_transform(cnn_p, lambda x: CAST(printf('%.2f', x * 100) AS DOUBLE)) AS cnn_c, list_transform(resnet_p, lambda x: CAST(printf('%.2f', x * 100) AS DOUBLE)) AS resnet_c,
+      list_position(cnn_p, list_max(cnn_p)) AS cnn_k, list_position(resnet_p, list_max(resnet_p)) AS resnet_k FROM e),
+    s AS (SELECT event_id, ts, selected_model, coalesce(cnn_c, CASE WHEN resnet_c IS NULL THEN {_DEMO_LIST} END) AS cnn_c, coalesce(resnet_c, CASE WHEN cnn_c IS NULL THEN {_DEMO_LIST} END) AS resnet_c,
+      coalesce(cnn_k, CASE WHEN resnet_k IS NULL THEN 2 END) AS cnn_k, coalesce(resnet_k, CASE WHEN cnn_k IS NULL THEN 2 END) AS resnet_k FROM k),
+    f AS (SELECT *, CASE WHEN selected_model = 'CNN' THEN coalesce(cnn_c, resnet_c) ELSE coalesce(resnet_c, cnn_c) END AS c, CASE WHEN selected_model = 'CNN' THEN coalesce(cnn_k, resnet_k) ELSE coalesce(resnet_k, cnn_k) END AS n FROM s),
+    g AS (SELECT *, {_CLASS_LIST}[n] AS condition, c[n] AS confidence FROM f),
+    a AS (SELECT event_id, string_agg({_CLASS_LIST}[i] || ' (' || printf('%.1f', c[i]) || '%)', ', ' ORDER BY r) AS alternatives
+      FROM (SELECT event_id, c, i, row_number() OVER (PARTITION BY event_id ORDER BY c[i] DESC, i) AS r FROM g, generate_series(1, 7) t(i) WHERE i <> n) WHERE r <= 2 GROUP BY event_id),
+    r AS (SELECT event_id, ts, selected_model, {_CLASS_LIST}[cnn_k] AS cnn_primary_condition, cnn_c[cnn_k] AS cnn_confidence, {_CLASS_LIST}[resnet_k] AS resnet_primary_condition, resnet_c[resnet_k] AS resnet_confidence,
+      condition AS final_condition, confidence AS final_confidence, {_URGENCY} AS urgency_level, alternatives FROM g JOIN a USING (event_id))"""
+
+
+def records(spark: SparkSession, d: str) -> DataFrame:
+    """Events as uploads that two models have scored; some lack a model, and some both."""
+
+    def probs(has: str, step: int):
+        weights = F.array(*(((F.col("event_id") * (i + step)) % 101 + 1).cast("double") for i in range(7)))
+        total = F.aggregate(weights, F.lit(0.0), lambda s, x: s + x)
+        each = F.transform(weights, lambda x, i: F.struct(F.element_at(F.array(*map(F.lit, CLASSES)), i + 1).alias("cls"), (x / total).alias("p")))
+        return F.when(F.expr(has), each)
+
+    rows = table(spark, d, "events").select("event_id", "ts", probs("event_id % 3 <> 0", 3).alias("cnn_probs"), probs("event_id % 2 <> 0", 5).alias("resnet_probs"))
+    return predict.predictions(rows, F.when(F.col("event_id") % 5 == 0, "CNN").otherwise(predict.DEFAULT_MODEL))
+
+
+_SLOTS = ("cnn_primary_condition", "cnn_confidence", "resnet_primary_condition", "resnet_confidence", "final_condition", "final_confidence", "urgency_level")
+
+
+@query(f"""{_RECORD} SELECT event_id, selected_model, {', '.join(_SLOTS)}, alternatives, {_told_sql('final_condition', FINDINGS, DEFAULT_FINDINGS, '; ')} AS findings, {_told_sql('final_condition', PRECAUTIONS, DEFAULT_PRECAUTIONS, ' | ')} AS precautions FROM r""")
+def prediction_record(spark, d):
+    each = F.transform("key_findings", lambda x: F.concat_ws(": ", x["label"], x["value"]))
+    return records(spark, d).select("event_id", "selected_model", *_SLOTS, F.array_join("alternative_conditions", ", ").alias("alternatives"), F.array_join(each, "; ").alias("findings"), F.array_join("precautions", " | ").alias("precautions"))
+
+
+@query(f"{SCORED} SELECT id AS vec_id, abs(100 - sum(CAST(printf('%.2f', p * 100) AS DOUBLE))) < 0.1 AS about_100 FROM full_s GROUP BY id")
+def probability_sums(spark, d):
+    total = F.aggregate(triage.percents(F.col("probs")), F.lit(0.0), lambda s, x: s + x["pct"])
+    return scored(spark, d).select("vec_id", (F.abs(100 - total) < 0.1).alias("about_100"))
 
 
 # ---- evaluation -----------------------------------------------------------------------------------------------------
@@ -301,11 +363,11 @@ def accuracy(spark, d):
 
 
 def _auc_sql(name: str) -> str:
-    return f"""{name}_r AS (SELECT cls, label = cls AS pos, round(p, 10) AS p FROM {name}),
+    return f"""{name}_r AS (SELECT cls, label = cls AS pos, p FROM {name}),
     {name}_k AS (SELECT cls, pos, rank() OVER (PARTITION BY cls ORDER BY p) + (count(*) OVER (PARTITION BY cls, p) - 1) / 2.0::DOUBLE AS k FROM {name}_r),
     {name}_c AS (SELECT cls, sum(CASE WHEN pos THEN k END) AS s, count(*) FILTER (pos) AS np, count(*) FILTER (NOT pos) AS nn FROM {name}_k GROUP BY cls),
-    {name}_a AS (SELECT cls, CASE WHEN np * nn = 0 THEN 0.0::DOUBLE ELSE (s - np * (np + 1) / 2.0::DOUBLE) / (np * nn) END AS auc FROM {name}_c),
-    {name}_u AS (SELECT CASE WHEN min(auc) = 0 THEN 0.0::DOUBLE ELSE avg(auc) END AS auc FROM {name}_a)"""
+    {name}_a AS (SELECT cls, CASE WHEN np * nn > 0 THEN (s - np * (np + 1) / 2.0::DOUBLE) / (np * nn) END AS auc FROM {name}_c),
+    {name}_u AS (SELECT CASE WHEN count(auc) < count(*) THEN 0.0::DOUBLE ELSE avg(auc) END AS auc FROM {name}_a)"""
 
 
 @query(f"{SCORED}, {_auc_sql('full_s')} SELECT {_R4.format('auc')} AS auc_roc FROM full_s_u")
@@ -319,15 +381,14 @@ def auc_ovr_macro(spark, d):
 )
 def auc_binary_toxic(spark, d):
     rows = table(spark, d, "documents").select("doc_id", "n_chars").join(table(spark, d, "labels"), "doc_id")
-    score = F.col("n_chars") / (F.col("n_chars") + 1000.0)  # a rising function into 0..1
-    return evaluate.auc(rows.withColumn("_all", F.lit(1)), ["_all"], score, F.col("toxic") == 1).select(pyround(F.col("auc"), 4).alias("auc"))
+    return evaluate.auc(rows.withColumn("_all", F.lit(1)), ["_all"], F.col("n_chars"), F.col("toxic") == 1).select(pyround(F.col("auc"), 4).alias("auc"))
 
 
 def model_metrics(spark: SparkSession, d: str) -> DataFrame:
     """A row of rounded metrics for each of both scorers."""
     out = []
     for name, dims in (("ResNet", 64), ("CNN", 32)):
-        rows = scored(spark, d, dims).persist()  # both the confusion table and the AUC read it
+        rows = scored(spark, d, dims)
         means = evaluate.weighted(evaluate.per_class(evaluate.confusion(predicted(rows), "label", "predicted")))
         both = means.join(F.broadcast(evaluate.macro_auc(rows, "label")))  # one row each
         out.append(evaluate.composite(evaluate.rounded(both)).select(F.lit(name).alias("model"), *METRICS, "composite"))
@@ -384,8 +445,9 @@ def is_active_flag(spark, d):
 def flagship(spark, d):
     """Splits, fits, scores, decides and evaluates: the confusion table, with the mean probability of each decision."""
     rows = predicted(scored(spark, d)).withColumn("p", triage.top(F.col("probs"))["p"])
-    means = rows.groupBy("predicted").agg(pyround(F.avg("p"), 4).alias("mean_p"))
-    return evaluate.confusion(rows, "label", "predicted").join(means, "predicted", "left").select("actual", "predicted", "n", "mean_p")
+    table = evaluate.dense(evaluate.pairs(rows, "label", "predicted", "p"))
+    column = Window.partitionBy("predicted")  # of a table of a row for each pair of classes
+    return table.select("actual", "predicted", "n", pyround(F.try_divide(F.sum("p").over(column), F.sum("n").over(column)), 4).alias("mean_p"))
 
 
 # ---- curves ---------------------------------------------------------------------------------------------------------
@@ -410,6 +472,21 @@ def ragged_curve_zip(spark, d):
     return curves.zipped(_curve(spark, d, "view", "cnn").join(resnet), ["cnn", "resnet"], [])
 
 
+@query(f"WITH {_DAYS} SELECT event_type, string_agg(CAST(v AS VARCHAR), ', ' ORDER BY day) AS losses FROM day GROUP BY event_type")
+def history_concat(spark, d):
+    """Daily means of each kind of event, first those before a day and then the others, as of two phases of training."""
+    days = table(spark, d, "events").groupBy("event_type", F.to_date("ts").alias("day")).agg(pyround(F.avg("value"), 4).alias("v"))
+    early = F.col("day") < F.lit("2024-01-15").cast("date")
+    curve = lambda rows: rows.groupBy("event_type").agg(F.transform(F.array_sort(F.collect_list(F.struct("day", "v"))), lambda s: s["v"]).alias("losses"))
+    both = curves.concatenated(curve(days.where(early)), curve(days.where(~early)), "event_type", ["losses"])
+    return both.select("event_type", F.array_join(F.transform("losses", lambda x: x.cast("string")), ", ").alias("losses"))
+
+
+@query("SELECT p_partkey, CAST(greatest(1, least(4, p_size // 3)) AS INTEGER) AS frozen, CAST(greatest(1, p_size - greatest(1, least(4, p_size // 3))) AS INTEGER) AS tuned FROM part")
+def epoch_schedule(spark, d):
+    return table(spark, d, "part").select("p_partkey", *curves.phases(F.col("p_size")))
+
+
 @query(
     f"""WITH {_DAYS}, a AS (SELECT v, row_number() OVER (ORDER BY day) AS epoch FROM day WHERE event_type = 'click'),
     b AS (SELECT *, min(v) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low, coalesce(min(v) OVER (ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 1e308) AS prev FROM a),
@@ -446,11 +523,16 @@ def patient_search(spark, d):
     return rows.where(views.contains_any("12", *map(F.col, ("c_name", "n_name", "c_mktsegment")))).select("c_custkey", "c_name", "n_name")
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = (SELECT min(o_orderkey) FROM orders WHERE o_orderkey > 100)")
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice FROM orders WHERE o_orderkey = 101")
 def point_lookup(spark, d):
-    orders = table(spark, d, "orders")
-    key = orders.where("o_orderkey > 100").agg(F.min("o_orderkey")).first()[0]
-    return orders.where(F.col("o_orderkey") == key).select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    orders = table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    row = store.one_or_none(orders, "o_orderkey", 101)
+    return spark.createDataFrame([row] if row else [], orders.schema)
+
+
+@query("SELECT event_id, ts, event_type FROM events ORDER BY ts DESC, event_id")
+def report_list(spark, d):
+    return views.listed(table(spark, d, "events").select("event_id", "ts", "event_type"), [F.desc("ts"), F.asc("event_id")])
 
 
 @query(
@@ -462,9 +544,9 @@ def patient_timeline(spark, d):
     return views.timeline(customer, orders, lineitem, "c_custkey", "o_custkey", "o_orderkey", "l_orderkey", "o_orderdate")
 
 
-@query("SELECT event_id, user_id FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id)")
+@query("SELECT event_id, user_id FROM events WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey = user_id AND c_custkey % 10 <> 0)")
 def fk_resolution_errors(spark, d):
-    return store.missing_parents(table(spark, d, "events").select("event_id", "user_id"), "user_id", table(spark, d, "customer"), "c_custkey")
+    return store.missing_parents(table(spark, d, "events").select("event_id", "user_id"), "user_id", table(spark, d, "customer").where("c_custkey % 10 <> 0"), "c_custkey")
 
 
 @query("SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'DEFAULT' ELSE CAST(c_custkey AS VARCHAR) END AS resolved FROM events LEFT JOIN customer ON c_custkey = user_id AND event_id % 7 <> 0")
@@ -473,6 +555,15 @@ def default_patient_upsert(spark, d):
     return store.with_default(events, "user_id", table(spark, d, "customer"), "c_custkey").select("event_id", "resolved")
 
 
+@query("SELECT CAST(c_custkey AS VARCHAR) AS patient_id, c_name AS name FROM customer UNION ALL SELECT 'DEFAULT', 'Unregistered Patient'")
+def default_patient_row(spark, d):
+    """The record of uploads without a patient is made once: the second call adds none."""
+    patients = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("patient_id"), F.col("c_name").alias("name"))
+    for _ in range(2):
+        patients = patients.unionByName(store.missing_default(patients).select("patient_id", "name"))
+    return patients
+
+
 @query("SELECT resolved, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN event_id % 7 = 0 THEN 'DEFAULT' ELSE CAST(user_id AS VARCHAR) END AS resolved FROM events) WHERE resolved <> 'DEFAULT' GROUP BY 1")
 def selector_without_default(spark, d):
     events = table(spark, d, "events").select(F.when(F.col("event_id") % 7 != 0, F.col("user_id").cast("string")).otherwise(store.DEFAULT_PATIENT).alias("resolved"))
@@ -524,19 +615,22 @@ def mime_and_size_reject_codes(spark, d):
     return table(spark, d, "pages").select("page_id", store.upload_code(mime, size).alias("code"))
 
 
-@query(
-    f"""{PREDICTIONS} SELECT event_id, 'CHEST SCAN REPORT' || chr(10) || 'Prediction: ' || substr(md5(CAST(event_id AS VARCHAR)), 1, 8) || chr(10) || 'Date: ' || strftime(ts, '%Y-%m-%d %H:%M') || ' UTC' || chr(10) || 'Condition: ' || coalesce(p.condition, 'N/A') || chr(10)
-    || 'Confidence: ' || CASE WHEN confidence < 50 THEN 'N/A' ELSE printf('%.2f', confidence) END || '%' || chr(10) || 'Urgency: ' || upper(urgency) || chr(10) || 'Precautions:' || chr(10) || coalesce('- ' || replace(told, ' | ', chr(10) || '- '), '- Ask a doctor') AS content
-    FROM p LEFT JOIN {_PRECAUTIONS} ON p.condition = f.condition"""
-)
+def _report_sql() -> str:
+    values = {
+        "number": "upper(md5(CAST(event_id AS VARCHAR)))", "generated": "strftime(ts, '%Y-%m-%d %H:%M')", "system": _quoted(SYSTEM), "condition": "final_condition", "confidence": "printf('%.1f', final_confidence)",
+        "urgency": "upper(urgency_level)", "selected": "selected_model", "precautions": f"'• ' || {_told_sql('final_condition', PRECAUTIONS, DEFAULT_PRECAUTIONS, chr(10) + '• ')}",
+    }
+    for m in ("cnn", "resnet"):
+        values |= {f"{m}_condition": f"coalesce({m}_primary_condition, 'N/A')", f"{m}_confidence": f"coalesce(CAST({m}_confidence AS VARCHAR), 'N/A')"}
+    text = _quoted(TEMPLATE)
+    for k, v in values.items():
+        text = text.replace("{" + k + "}", f"' || ({v}) || '")
+    return f"{_RECORD} SELECT event_id, {text} AS content FROM r"
+
+
+@query(_report_sql())
 def report_text(spark, d):
-    """Confidences below 50 are shown as if they were missing."""
-    known = F.broadcast(dimension(spark, "precautions", PRECAUTIONS))  # constants
-    rows = predictions(spark, d).join(known, "condition", "left")
-    number = F.md5(F.col("event_id").cast("string"))
-    shown = pyfmt(F.when(F.col("confidence") >= 50, F.col("confidence")), 2)
-    text = report(number, F.col("ts"), F.col("condition"), shown, F.col("urgency"), F.coalesce("precautions", F.array(F.lit("Ask a doctor"))))
-    return rows.select("event_id", text.alias("content"))
+    return records(spark, d).select("event_id", report(F.md5(F.col("event_id").cast("string")), F.col("ts")).alias("content"))
 
 
 @query("SELECT c_custkey, upper(substr(array_to_string(list_transform(string_split(replace(c_name, '#', ' '), ' '), lambda w: substr(w, 1, 1)), ''), 1, 2)) AS initials, CASE WHEN c_mktsegment = 'BUILDING' THEN 'ResNet50' ELSE c_mktsegment END AS shown FROM customer")
@@ -554,8 +648,12 @@ def display_dates(spark, d):
     return table(spark, d, "events").select("event_id", F.date_format("ts", "MMM d, yyyy").alias("shown"))
 
 
-@query()
+@query(
+    f"""{SCORED}, t AS {_TOP.format('full_s')}, a AS (SELECT s.id, s.cls, CAST(printf('%.2f', s.p * 100) AS DOUBLE) AS pct FROM full_s s JOIN t ON s.id = t.id AND s.cls <> t.cls),
+    r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY pct DESC, cls) AS rk FROM a), b AS (SELECT id, string_agg(cls || ' (' || printf('%.1f', pct) || '%)', ', ' ORDER BY rk) AS alternatives FROM r WHERE rk <= 2 GROUP BY id)
+    SELECT id AS vec_id, CAST(cls AS VARCHAR) AS condition, CAST(printf('%.2f', p * 100) AS DOUBLE) AS confidence, 'routine' AS urgency, alternatives FROM t JOIN b USING (id)"""
+)
 def triaged_rows(spark, d):
-    """What the landing stream makes of scored rows."""
+    """What the landing stream makes of scored rows. Their classes are numbers, which are never urgent."""
     out = triaged(scored(spark, d))
-    return out.select("vec_id", F.col("condition").cast("string"), "confidence", "urgency", F.array_join("alternatives", ", ").alias("alternatives"))
+    return out.select("vec_id", "condition", "confidence", "urgency", F.array_join("alternatives", ", ").alias("alternatives"))

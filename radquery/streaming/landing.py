@@ -12,10 +12,12 @@ from radquery.operators.triage import alternatives, top, urgency
 
 
 def triaged(scored: DataFrame) -> DataFrame:
-    """Adds condition, confidence, urgency and alternatives to rows with ``probs``."""
+    """Adds condition (as text), confidence, urgency and alternatives to rows with ``probs``; without them all are null."""
+    probs = F.transform("probs", lambda x: F.struct(x["cls"].cast("string").alias("cls"), x["p"].cast("double").alias("p")))
+    out = scored.withColumn("probs", probs)
     best = top(F.col("probs"))
-    out = scored.withColumns({"condition": best["cls"], "confidence": pyround(best["p"] * 100, 2)})
-    return out.withColumns({"urgency": urgency(F.col("condition"), F.col("confidence")), "alternatives": alternatives(F.col("probs"), F.col("condition"))})
+    out = out.withColumns({"condition": best["cls"], "confidence": pyround(best["p"] * 100, 2)})
+    return out.withColumns({"urgency": F.when(F.col("condition").isNotNull(), urgency(F.col("condition"), F.col("confidence"))), "alternatives": alternatives(F.col("probs"), F.col("condition"))})
 
 
 def triage_stream(spark: SparkSession, landing: str, schema: StructType | str, target: str, checkpoint: str) -> StreamingQuery:

@@ -4,10 +4,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from radquery.functions.dims import DEMO
+from radquery.functions.dims import DEMO, FINDINGS, PRECAUTIONS
 from radquery.functions.numeric import pyfmt, pyround
 from radquery.functions.ranks import running_total
-from radquery.operators import curation, curves, evaluate, report, store, triage, views
+from radquery.operators import curation, curves, evaluate, predict, report, store, triage, views
+from radquery.streaming.landing import triaged
 
 CLASSES = ["COVID-19", "Lung Cancer", "Normal", "Pneumonia", "Tuberculosis"]
 A = [[543, 0, 0, 0, 0], [98, 2, 0, 1, 3], [0, 0, 49, 188, 0], [6, 0, 1, 634, 0], [56, 0, 0, 2, 47]]
@@ -60,7 +61,39 @@ def test_urgency_limits_are_strict(spark):
 def test_auc_with_ties(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1)], "y int, p double").withColumn("g", F.lit(1))
     assert evaluate.auc(df, ["g"], F.col("p"), F.col("y") == 1).first()["auc"] == 0.875
-    assert evaluate.auc(df.where("y = 1"), ["g"], F.col("p"), F.col("y") == 1).first()["auc"] == 0.0
+    assert evaluate.auc(df.where("y = 1"), ["g"], F.col("p"), F.col("y") == 1).first()["auc"] is None
+
+
+def test_macro_auc_of_a_class_that_is_always_wrong(spark):
+    rows = [(y, [(0, p), (1, 1 - p if same else p)]) for y, p, same in ((0, 0.1, False), (0, 0.2, False), (1, 0.8, False), (1, 0.9, False))]
+    df = spark.createDataFrame(rows, "y int, probs array<struct<cls: int, p: double>>")
+    assert evaluate.macro_auc(df, "y").first()["auc_roc"] == 0.5  # class 0 has 0.0, class 1 has 1.0
+    assert evaluate.macro_auc(df.where("y = 1"), "y").first()["auc_roc"] == 0.0  # undefined
+
+
+def test_near_certain_scores_are_no_ties(spark):
+    df = spark.createDataFrame([(1, 1 - 1e-14), (0, 1 - 2e-14), (1, 1e-14), (0, 1e-15)], "y int, p double").withColumn("g", F.lit(1))
+    assert evaluate.auc(df, ["g"], F.col("p"), F.col("y") == 1).first()["auc"] == 0.75
+
+
+def test_first_by_keeps_one_row_a_key(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 0), ("b", 1), ("b", 0), (None, 3), (None, None)], "k string, o int")
+    assert sorted(map(tuple, curation.first_by(df, F.col("k"), "o").collect()), key=str) == sorted([("a", 1), ("b", 0), (None, 3)], key=str)
+
+
+def test_rows_without_label_or_key_stay(spark):
+    df = spark.range(100).select(F.when(F.col("id") % 10 != 0, F.col("id")).alias("id"), F.when(F.col("id") % 4 != 0, "x").alias("label"))
+    parts = curation.stratified_split(df, "id", "label")
+    assert parts.count() == 100 and parts.where("label is null").count() == 25
+    assert curation.stratified_subsample(df, "id", "label", 1000).count() == 100
+    assert running_total(df, ["label"], F.lit(0), [F.col("id")], F.lit(1), "s").count() == 100
+    assert curation.quotas(spark.createDataFrame([("a", 3), (None, 3)], "label string, n long"), "label", F.lit(3)).agg(F.sum("quota")).first()[0] == 3
+
+
+def test_split_reads_its_source_few_times(spark, tmp_path):
+    spark.range(1000).selectExpr("id", "id % 3 as label").write.parquet(str(tmp_path / "t"))
+    plan = curation.stratified_split(spark.read.parquet(str(tmp_path / "t")), "id", "label")._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation") == 2  # the source once, and the bounds of its classes
 
 
 def test_running_total_is_a_window_sum(spark):
@@ -111,9 +144,58 @@ def test_curves(spark):
     assert tuple(df.select(curves.early_stop(F.col("a"))).first()[0]) == (5, 2)
 
 
-def test_report_shows_zero_as_missing(spark):
-    text = spark.range(1).select(report.report(F.lit("abcdefghij"), F.lit("2024-01-02 03:04:05").cast("timestamp"), F.lit("COPD"), F.lit(0.0), F.lit("routine"), F.array(F.lit("Rest")))).first()[0]
-    assert "Confidence: N/A%" in text and "Prediction: abcdefgh\n" in text and text.endswith("Urgency: ROUTINE\nPrecautions:\n- Rest")
+def probabilities(values):
+    return F.array(*(F.struct(F.lit(k).alias("cls"), F.lit(v).cast("double").alias("p")) for k, v in values.items())) if values else F.lit(None).cast("array<struct<cls: string, p: double>>")
+
+
+@pytest.mark.parametrize(
+    "selected, cnn, resnet, want",
+    [
+        ("CNN", {"Normal": 0.2, "COVID-19": 0.8}, {"COPD": 1.0}, ("COVID-19", 80.0, "emergency", ["Normal (20.0%)"])),
+        ("ResNet", {"COPD": 1.0}, {"Normal": 0.4, "Pneumonia": 0.6}, ("Pneumonia", 60.0, "routine", ["Normal (40.0%)"])),
+        ("ResNet", {"COPD": 1.0}, None, ("COPD", 100.0, "routine", [])),
+        ("CNN", None, {"COPD": 1.0}, ("COPD", 100.0, "routine", [])),
+        ("ResNet", None, None, ("Pneumonia", 82.4, "urgent", ["Tuberculosis (7.1%)", "Normal (4.2%)"])),
+    ],
+)
+def test_prediction_of_the_selected_model_else_another_else_the_stand_in(spark, selected, cnn, resnet, want):
+    rows = spark.range(1).select(probabilities(cnn).alias("cnn_probs"), probabilities(resnet).alias("resnet_probs"))
+    r = predict.predictions(rows, F.lit(selected)).first()
+    assert (r["final_condition"], r["final_confidence"], r["urgency_level"], r["alternative_conditions"]) == want
+    assert r["precautions"] == PRECAUTIONS[want[0]] and [tuple(x) for x in r["key_findings"]] == FINDINGS[want[0]]
+    both = cnn is None and resnet is None
+    assert (r["cnn_primary_condition"] is not None) == (cnn is not None or both) and (r["resnet_confidence"] is not None) == (resnet is not None or both)
+
+
+def test_report(spark):
+    rows = spark.range(1).select(probabilities({"Other": 0.0}).alias("cnn_probs"), probabilities(None).alias("resnet_probs"))
+    made = predict.predictions(rows)
+    text = made.select(report.report(F.lit("ab-1"), F.lit("2024-01-02 03:04:05").cast("timestamp"), "Some System")).first()[0]
+    assert text.startswith("\nLUNG DISEASE DETECTION REPORT\n") and text.endswith("before any clinical decisions are made.\n") and "{" not in text
+    assert "Report ID     : AB-1\nGenerated     : 2024-01-02 03:04 UTC\nAI System     : Some System\n" in text
+    assert "CNN    — Condition: Other, Confidence: N/A%\nResNet — Condition: N/A, Confidence: N/A%\nSelected: ResNet (" in text  # zero counts as missing
+    assert "• Consult a pulmonologist for detailed evaluation.\n• Undergo further" in text and "Confidence        : 0.0%" in text
+
+
+def test_one_row_by_key(spark):
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "k string, v int")
+    assert store.one_or_none(df, "k", "a")["v"] == store.exactly_one(df, "k", "a")["v"] == 1
+    assert store.one_or_none(df, "k", "none") is None
+    with pytest.raises(LookupError):
+        store.exactly_one(df, "k", "none")
+    with pytest.raises(ValueError):
+        store.one_or_none(df, "k", "b")
+
+
+def test_landing_takes_classes_of_any_type(spark):
+    df = spark.createDataFrame([(1, [(3, 0.7), (4, 0.3)]), (2, None)], "id int, probs array<struct<cls: int, p: float>>")
+    got = {r["id"]: (r["condition"], r["confidence"], r["urgency"], r["alternatives"]) for r in triaged(df).collect()}
+    assert got == {1: ("3", 70.0, "routine", ["4 (30.0%)"]), 2: (None, None, None, None)}
+
+
+def test_phases_of_training(spark):
+    df = spark.createDataFrame([(1,), (6,), (9,), (50,)], "e int")
+    assert [tuple(r) for r in df.select(*curves.phases(F.col("e"))).collect()] == [(1, 1), (2, 4), (3, 6), (4, 46)]
 
 
 def test_exact_subsample(spark):

@@ -30,6 +30,19 @@ def decoded(spark: SparkSession, folder: str) -> DataFrame:
     return images.select("origin", "height", "width", F.col("nChannels").alias("channels"), "data")
 
 
+#: Fixed value.
+UNREADABLE = "Could not decode image"
+#: What Spark's image source reads.
+IMAGE = "image struct<origin: string, height: int, width: int, nChannels: int, mode: int, data: binary>"
+
+
+def landed(spark: SparkSession, folder: str) -> DataFrame:
+    """Image files that land in a folder, as a stream: the columns of ``decoded``, and ``error`` for bytes that are no image."""
+    images = spark.readStream.schema(IMAGE).format("image").option("dropInvalid", False).load(folder).select("image.*")
+    error = F.when(F.col("height") < 1, UNREADABLE)
+    return images.select("origin", "height", "width", F.col("nChannels").alias("channels"), "data", error.alias("error"))
+
+
 def to_rgb(data: np.ndarray) -> np.ndarray:
     """From gray, BGR or BGRA."""
     return np.repeat(data, 3, axis=2) if data.shape[2] == 1 else data[:, :, 2::-1]
@@ -60,12 +73,33 @@ def equalize(light: np.ndarray, limit: float = CLIP_LIMIT, tiles: int = TILES) -
     return (1 - fy) * ((1 - fz) * at(lo[0], lo[1]) + fz * at(lo[0], hi[1])) + fy * ((1 - fz) * at(hi[0], lo[1]) + fz * at(hi[0], hi[1]))
 
 
+#: Linear sRGB to XYZ, by the standard's primaries and white.
+XYZ = np.array([[0.412453, 0.357580, 0.180423], [0.212671, 0.715160, 0.072169], [0.019334, 0.119193, 0.950227]])
+
+
+def to_lab(rgb: np.ndarray) -> np.ndarray:
+    """CIE L*a*b* of sRGB values from 0 to 255; L from 0 to 100."""
+    x = rgb / 255
+    linear = np.where(x > 0.04045, ((x + 0.055) / 1.055) ** 2.4, x / 12.92)
+    t = linear @ XYZ.T / XYZ.sum(1)  # relative to white
+    f = np.where(t > (6 / 29) ** 3, np.cbrt(t), t * (29 / 6) ** 2 / 3 + 4 / 29)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
+
+
+def from_lab(lab: np.ndarray) -> np.ndarray:
+    """sRGB from 0 to 255; what lies outside is cut off."""
+    y = (lab[..., 0] + 16) / 116
+    f = np.stack([y + lab[..., 1] / 500, y, y - lab[..., 2] / 200], -1)
+    t = np.where(f > 6 / 29, f**3, 3 * (6 / 29) ** 2 * (f - 4 / 29))
+    linear = np.clip((t * XYZ.sum(1)) @ np.linalg.inv(XYZ).T, 0, 1)
+    return 255 * np.where(linear > 0.0031308, 1.055 * linear ** (1 / 2.4) - 0.055, 12.92 * linear)
+
+
 def enhance(rgb: np.ndarray) -> np.ndarray:
-    """Blurred, then the lightness equalized; colours keep their ratio to it."""
-    x = blur(rgb)
-    light = x.max(2)
-    new = equalize(np.rint(light))
-    return np.clip(x * (new / np.maximum(light, 1))[:, :, None], 0, 255)
+    """Blurred, then L of L*a*b* equalized as 8 bits; a and b stay."""
+    lab = to_lab(blur(rgb))
+    lab[..., 0] = equalize(np.rint(lab[..., 0] * 2.55)) / 2.55
+    return from_lab(lab)
 
 
 def _weights(n: int, size: int, taps: int) -> tuple[np.ndarray, np.ndarray]:
@@ -85,13 +119,19 @@ def resize(image: np.ndarray, size: int = SIZE, method: str = "lanczos") -> np.n
 
 
 def rotate(image: np.ndarray, degrees: float) -> np.ndarray:
-    """About the center, by the nearest pixel, black outside."""
+    """Counter-clockwise about (width // 2, height // 2), between pixels linearly, black outside."""
     h, w = image.shape[:2]
     a, (y, x) = np.deg2rad(degrees), np.indices((h, w))
-    y, x = y - (h - 1) / 2, x - (w - 1) / 2
-    v, u = np.rint(y * np.cos(a) - x * np.sin(a) + (h - 1) / 2).astype(int), np.rint(y * np.sin(a) + x * np.cos(a) + (w - 1) / 2).astype(int)
-    inside = (v >= 0) & (v < h) & (u >= 0) & (u < w)
-    return np.where(inside[:, :, None], image[np.clip(v, 0, h - 1), np.clip(u, 0, w - 1)], 0)
+    y, x = y - h // 2, x - w // 2
+    v, u = x * np.sin(a) + y * np.cos(a) + h // 2, x * np.cos(a) - y * np.sin(a) + w // 2
+    top, left = np.floor(v).astype(int), np.floor(u).astype(int)
+    out = np.zeros(image.shape, dtype=np.float64)
+    for dy in (0, 1):
+        for dx in (0, 1):
+            yy, xx = top + dy, left + dx
+            weight = (1 - np.abs(v - yy)) * (1 - np.abs(u - xx)) * ((yy >= 0) & (yy < h) & (xx >= 0) & (xx < w))
+            out += weight[:, :, None] * image[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)]
+    return out
 
 
 VARIANT_OF = {
@@ -111,16 +151,16 @@ def tensor(data: bytes, height: int, width: int, channels: int, variant: str = "
 
 
 def features(images: DataFrame, method: str = "lanczos", size: int = SIZE) -> DataFrame:
-    """origin, variant and features (a flat tensor) of decoded images, with a column ``variant`` or without."""
+    """origin, variant and features (a flat tensor) of decoded images, with a column ``variant`` or without. Rows that
+    couldn't be decoded (of ``landed``) have no features."""
     images = images if "variant" in images.columns else images.withColumn("variant", F.lit("original"))
 
     def run(batches):
         for batch in batches:
             for at in range(0, batch.num_rows, 16):
                 part = batch.slice(at, 16)
-                each = [tensor(r["data"], r["height"], r["width"], r["channels"], r["variant"], method, size).ravel() for r in part.to_pylist()]
-                offsets = pa.array(np.arange(len(each) + 1, dtype=np.int32) * (size * size * 3))
-                lists = pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(each)))
+                each = [tensor(r["data"], r["height"], r["width"], r["channels"], r["variant"], method, size).ravel() if r["height"] > 0 else None for r in part.to_pylist()]
+                lists = pa.array(each, pa.list_(pa.float32()))
                 yield pa.record_batch([part.column(0), part.column(part.schema.get_field_index("variant")), lists], names=["origin", "variant", "features"])
 
     return images.mapInArrow(run, "origin string, variant string, features array<float>")

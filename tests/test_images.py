@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 
 from radquery.sources import images
-from radquery.streaming.landing import triage_stream
+from radquery.operators.scoring import CentroidScorer
+from radquery.streaming.landing import triage_images, triage_stream
 
 
 def write(spark, path, pixels: np.ndarray, kind: str) -> None:
@@ -57,7 +58,24 @@ def test_constant_images_stay_constant():
     flat = np.full((20, 20, 3), 90.0)
     assert np.allclose(images.blur(flat), 90)
     assert all(np.allclose(images.resize(flat, 32, m), 90) for m in ("lanczos", "linear"))
-    assert np.ptp(images.enhance(flat)) < 1e-9
+    assert np.ptp(images.enhance(flat)) < 1e-6
+
+
+def test_lab_of_known_colours():
+    known = {(255, 255, 255): (100, 0, 0), (255, 0, 0): (53.24, 80.09, 67.20), (0, 255, 0): (87.73, -86.18, 83.18), (0, 0, 255): (32.30, 79.19, -107.86), (0, 0, 0): (0, 0, 0)}
+    rgb = np.array([[*known]], dtype=float)
+    assert np.allclose(images.to_lab(rgb)[0], [*known.values()], atol=0.05)
+    x = np.random.default_rng(3).integers(0, 256, (9, 9, 3)).astype(float)
+    assert np.allclose(images.from_lab(images.to_lab(x)), x, atol=1e-6)
+
+
+def test_enhancing_keeps_the_hue():
+    x = np.zeros((32, 32, 3))
+    x[..., 0] = np.linspace(60, 120, 32)
+    x[..., 1] = x[..., 2] = 40
+    before, after = images.to_lab(images.blur(x)), images.to_lab(images.enhance(x))
+    inside = (images.enhance(x) > 1).all(-1) & (images.enhance(x) < 254).all(-1)
+    assert inside.any() and np.allclose(before[inside][:, 1:], after[inside][:, 1:], atol=0.1)
 
 
 def test_flip_rotation_and_contrast():
@@ -66,6 +84,11 @@ def test_flip_rotation_and_contrast():
     assert np.array_equal(flip(flip(x)), x)
     assert np.array_equal(images.rotate(x, 0), x)
     assert images.rotate(np.full((30, 30, 3), 255.0), 15)[0, 0].sum() == 0
+    dot = np.zeros((21, 21, 1))
+    dot[10, 18] = 100.0  # to the right of the center
+    turned = images.rotate(dot, 90)[..., 0]
+    assert np.unravel_index(turned.argmax(), turned.shape) == (2, 10) and turned.sum() == pytest.approx(100)  # it is above now
+    assert images.rotate(dot, 15)[..., 0].sum() == pytest.approx(100, rel=0.2) and (images.rotate(dot, 15) > 0).sum() > 1
     dull = np.tile(np.linspace(100, 110, 64), (64, 1))
     assert np.ptp(images.equalize(dull)) > np.ptp(dull)
 
@@ -78,3 +101,13 @@ def test_landing_stream_takes_each_file_once(spark, tmp_path):
         triage_stream(spark, landing, rows.schema, target, str(tmp_path / "state")).awaitTermination()
         assert spark.read.parquet(target).count() == n
     assert spark.read.parquet(target).first()["urgency"] == "urgent"
+
+
+def test_landing_stream_of_images(spark, folder, tmp_path):
+    known = images.features(images.decoded(spark, str(folder / "Normal")), size=16).selectExpr("features", "if(origin like '%B.JPG', 'Normal', 'Pneumonia') as label")
+    scorer = CentroidScorer("features", "label", 16 * 16 * 3).fit(known)
+    query = triage_images(spark, str(folder / "Normal"), scorer, str(tmp_path / "out"), str(tmp_path / "state"), size=16)
+    query.awaitTermination()
+    rows = {r["origin"].rsplit("/", 1)[1]: r for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert (rows["B.JPG"]["condition"], rows["a.png"]["condition"]) == ("Normal", "Pneumonia")
+    assert rows["broken.png"]["error"] == images.UNREADABLE and rows["broken.png"]["condition"] is None and rows["a.png"]["error"] is None

@@ -1,13 +1,11 @@
 """Files and tables that driver and executors share.
 
-Everything goes below ``spark.checkpoint.dir``, which the cluster names as a folder that all nodes see. Only where it is
-unset, and Spark runs in local mode, a temporary folder takes its place.
+Everything goes below the folder of ``radquery.sources.scratch``.
 """
 
 from __future__ import annotations
 
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -18,17 +16,7 @@ import pyarrow.fs as pafs
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 
-
-def shared_dir(spark: SparkSession) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
-    base = tempfile.mkdtemp(prefix="radquery-shared-")
-    spark.conf.set("spark.checkpoint.dir", base)
-    spark.sparkContext.setCheckpointDir(base)
-    return base
+from radquery.sources.scratch import shared_dir
 
 
 def new_dir(spark: SparkSession, name: str) -> str:

@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radquery.llm.shared import write_table
+from radquery.llm.shared import small, write_table
 
 #: Fixed masks: the places, among eight words, that are kept.
 MASKS = ((0, 1, 4, 6, 7), (0, 1, 3, 6, 7))
@@ -94,14 +94,14 @@ def _verified(docs: DataFrame, items: DataFrame, window: int, similarity: float,
     seeds = seeds.dropDuplicates(["item"] * per_item + ["seed", "_before", "_around", "_window"])
     seeds = write_table(seeds.select("item", "seed", "item_place"), "seeds")
     n_words = texts.agg(F.sum(F.size("item_words")).alias("n")).first()["n"] or 0
-    small = F.broadcast if seeds.count() <= BROADCAST_SEEDS and n_words <= BROADCAST_WORDS else lambda df: df
+    bounded = F.broadcast if seeds.count() <= BROADCAST_SEEDS and n_words <= BROADCAST_WORDS else lambda df: df
 
     keyed = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
     split = keyed.select("doc_id", "text_hash", word_hashes(F.col("text")).alias("words"))
     block = F.floor(F.col("item_place") / BLOCK).cast("int").alias("block")
 
     def met(places: DataFrame) -> DataFrame:
-        return places.join(small(seeds), "seed").select("doc_id", "text_hash", "item", (F.col("place") - F.col("item_place")).alias("start_word"), block)
+        return places.join(bounded(seeds), "seed").select("doc_id", "text_hash", "item", (F.col("place") - F.col("item_place")).alias("start_word"), block)
 
     hits = met(with_seeds(split))
     if lengths:
@@ -113,7 +113,7 @@ def _verified(docs: DataFrame, items: DataFrame, window: int, similarity: float,
     last = F.least(F.size("item_words"), F.size("words") - F.col("start_word"), (F.col("block") + 1) * BLOCK + SPAN + near)
     there = hits.withColumnRenamed("doc_id", "_doc").join(keyed, F.col("_doc").eqNullSafe(F.col("doc_id")) & (hits["text_hash"] == keyed["text_hash"]))
     there = there.select("doc_id", keyed["text_hash"], "item", "start_word", "block", word_hashes(F.col("text")).alias("words"))
-    there = there.join(small(write_table(texts.select("item", "item_words"), "item-words")), "item")
+    there = there.join(bounded(write_table(texts.select("item", "item_words"), "item-words")), "item")
     pair = F.zip_with(F.slice("item_words", first + 1, last - first), F.slice("words", F.col("start_word") + first + 1, last - first), lambda a, b: (a == b).cast("int"))
     there = there.select("doc_id", "text_hash", "item", "start_word", pair.alias("same"), F.least(F.lit(window), F.size("item_words")).alias("_w"))
     sums = F.transform(
@@ -143,7 +143,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     """The documents in which no item is found, with all their columns."""
     there = _verified(docs, _items(benchmark), window, similarity, False)
     leaks = write_table(there.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
-    return docs.join(leaks, docs["doc_id"].eqNullSafe(leaks["_doc"]) & (F.xxhash64(docs["text"]) == leaks["_hash"]), "left_anti")
+    return docs.join(small(leaks), docs["doc_id"].eqNullSafe(leaks["_doc"]) & (F.xxhash64(docs["text"]) == leaks["_hash"]), "left_anti")
 
 
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -289,22 +289,31 @@ class _Exact:
         return np.frombuffer(_opened(f"{self.folder}/{file}").read_at(8 * n, 8 * at), dtype=np.uint64)
 
     def linked(self, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-        """``x`` and ``y`` have columns node, file, at and n. Of pairs that hang together already, false."""
+        """``x`` and ``y`` have columns node, file, at and n; equal ``x`` stand together. Of pairs that hang together already,
+        false: of a group of copies the first is compared with each other one, and the rest is passed over at once."""
         task = TaskContext.get().taskAttemptId()
         if task != self.task or len(self.root) > KNOWN_NODES:  # another task's links aren't in this one's result
             self.root, self.task = {}, task
-        out, last, mine = np.zeros(len(x[0]), dtype=bool), None, None
-        for i, (a, b) in enumerate(zip(zip(*(c.tolist() for c in x), strict=True), zip(*(c.tolist() for c in y), strict=True), strict=True)):
-            first, second = self.find(a[0]), self.find(b[0])
-            if first == second:
-                continue
-            if last != a[0]:
-                last, mine = a[0], self.shingles(*a[1:])
-            other = self.shingles(*b[1:])
-            both = int((other[np.minimum(np.searchsorted(other, mine), len(other) - 1)] == mine).sum())
-            if 5 * both >= 4 * (len(mine) + len(other) - both):
-                self.root[max(first, second)] = min(first, second)
-                out[i] = True
+        out = np.zeros(len(x[0]), dtype=bool)
+        if not len(out):
+            return out
+        nodes, at = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
+        group = np.unique([self.find(v) for v in nodes.tolist()], return_inverse=True)[1]
+        first, second = at[: len(out)], at[len(out) :]
+        starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
+        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(out)], strict=True):
+            mine, left = None, start + np.flatnonzero(group[second[start:end]] != group[first[start]])
+            while len(left):
+                i, left = int(left[0]), left[1:]
+                mine = self.shingles(*(int(c[i]) for c in x[1:])) if mine is None else mine
+                other = self.shingles(*(int(c[i]) for c in y[1:]))
+                both = int((other[np.minimum(np.searchsorted(other, mine), len(other) - 1)] == mine).sum())
+                if 5 * both >= 4 * (len(mine) + len(other) - both):
+                    a, b = self.find(int(x[0][i])), self.find(int(y[0][i]))
+                    self.root[max(a, b)] = min(a, b)
+                    out[i] = True
+                    group[group == group[second[i]]] = group[first[i]]
+                    left = left[group[second[left]] != group[first[i]]]
         return out
 
 

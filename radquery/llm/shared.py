@@ -15,6 +15,7 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from radquery.sources.scratch import shared_dir
 
@@ -65,6 +66,15 @@ def write_table(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers each that a join may broadcast: some 16 MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(table: DataFrame) -> DataFrame:
+    """A stored table of keys, to be broadcast if a count shows that it is small; else Spark chooses how to join it."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def is_local(uri: str) -> bool:
     return urlsplit(uri).scheme in ("", "file")
 

@@ -2,11 +2,13 @@
 
 Tokens are words in lower case (A-Z) and an end at each text's end. Spark counts the n-grams of each order; none is dropped.
 A level of the model is a set of sorted arrays of 64-bit hashes, in shards by their first bits, with further arrays beside
-them. Workers map them into memory and find n-grams by binary search, so a model may be larger than any memory.
+them. Workers map them into memory and find n-grams by binary search, so a model on a mounted folder may be larger than any
+memory; from another store a worker holds MAPPED_BYTES of them at a time, or one.
 
 Level 1 has the XXH64 of each word; a word's number is its rank there. The key of a longer n-gram is a bijective mix of its
-context's rank (in the level below) and its last word's number, so above level 1 two n-grams never share a key. Tasks count
-the n-grams of a slice of text, and send each shard a packed block of sorted keys and counts, which its reducer merges.
+context's rank (in the level below) and its last word's number, of as many bits as both need, so above level 1 two n-grams
+never share a key; where more than 64 bits are needed, that is an error. Tasks count the n-grams of slices of text, and send each
+shard packed blocks of sorted keys and counts, which its reducer merges. Counts are of 64 bits.
 
 Probabilities: P(w | h) = max(0, a - D(a)) / sum + gamma(h) P(w | h'), where h' lacks the first word of h, a is the count in
 the highest order, and in lower ones the number of different words before (n-grams that begin a text: their count). D are the
@@ -20,7 +22,6 @@ training text each token is the only unknown one, and both scores are 0.
 from __future__ import annotations
 
 import math
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radquery.llm.shared import AtomicFile, filesystem, is_local, local_path, new_dir, share, write_table
-from radquery.llm.words import give_back, mix, slices, split_words, texts_of
+from radquery.llm.words import give_back, slices, split_words, texts_of
 
 #: Of the registered query.
 ORDER = 3
@@ -40,50 +41,84 @@ ORDER = 3
 END = xxhash.xxh64_intdigest(b" ")
 #: Text for each shard, about; there are 64 shards at least.
 SHARD_BYTES = 64 << 20
-#: Text that a task counts, and scores, at once.
-COUNT_BYTES, SCORE_BYTES = 8 << 20, 2 << 20
+#: Text that a task counts, and scores, at once; and n-grams that it gathers over slices before it sends them.
+COUNT_BYTES, SCORE_BYTES, HELD = 4 << 20, 2 << 20, 3 << 20
+#: Bytes of arrays that a worker holds where they can't be mapped.
+MAPPED_BYTES = 256 << 20
 #: Counts are bytes; those of OVER and more are in a file beside, as places and values.
-TYPES = {"keys": np.uint64, "suffix": np.uint32, **dict.fromkeys(("counts", "adjusted", "total", "n1", "n2", "n3"), np.uint8), "more": np.uint64}
+TYPES = {"keys": np.uint64, "suffix": np.uint64, **dict.fromkeys(("counts", "adjusted", "total", "n1", "n2", "n3"), np.uint8), "more": np.uint64}
 OVER = 255
 _U = np.uint64
 
 
-def unmix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> _U(31)) ^ (x >> _U(62))) * _U(0x319642B2D24D8EC3)
-    x = (x ^ (x >> _U(27)) ^ (x >> _U(54))) * _U(0x96DE1B173F119089)
-    return x ^ (x >> _U(30)) ^ (x >> _U(60))
+#: Odd factors of the mix.
+FACTORS = (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Compressed bytes; of sorted 64-bit values, the differences. Like bytes of all values stand together."""
-    if values.dtype == np.uint64:
-        values = np.diff(values, prepend=_U(0))
-    return zstandard.ZstdCompressor(level=1).compress(values.view(np.uint8).reshape(-1, values.itemsize).T.tobytes())
+def scramble(x: np.ndarray, bits: int) -> np.ndarray:
+    """A bijection of numbers of so many bits that spreads them over all shards."""
+    half, mask = _U((bits + 1) // 2), _U((1 << bits) - 1)
+    for f in FACTORS:
+        x = ((x ^ (x >> half)) * _U(f)) & mask
+    return x ^ (x >> half)
 
 
-def unpack(data: bytes, kind) -> np.ndarray:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), dtype=np.uint8)
-    width = np.dtype(kind).itemsize
-    values = np.ascontiguousarray(raw.reshape(width, -1).T).view(kind).ravel()
-    return np.cumsum(values, dtype=np.uint64) if kind == np.uint64 else values
+def unscramble(x: np.ndarray, bits: int) -> np.ndarray:
+    half, mask = _U((bits + 1) // 2), _U((1 << bits) - 1)
+    for f in reversed(FACTORS):
+        x = ((x ^ (x >> half)) * _U(pow(f, -1, 1 << bits))) & mask
+    return x ^ (x >> half)
 
 
-def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sorted distinct keys, the sum of the counts (or the number) of each, and a place of each in ``keys``."""
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
-    sums = np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts[order].astype(np.int64), first) if len(keys) else first
-    return keys[first], sums, order[first]
+def pack(values: np.ndarray, ascending: bool = False) -> bytes:
+    """Compressed bytes of numbers from 0 on, or of their differences. As many bytes as the greatest needs, like ones together."""
+    values = values.astype(np.uint64)
+    values = np.diff(values, prepend=_U(0)) if ascending else values
+    width = max(1, -(-int(values.max()).bit_length() // 8)) if len(values) else 1
+    planes = values.view(np.uint8).reshape(-1, 8).T[:width]
+    return bytes([width | ascending << 7]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack(data: bytes) -> np.ndarray:
+    width, ascending = data[0] & 127, data[0] >> 7
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), dtype=np.uint8).reshape(width, -1)
+    values = np.zeros((raw.shape[1], 8), dtype=np.uint8)
+    values[:, :width] = raw.T
+    values = values.view(np.uint64).ravel()
+    return np.cumsum(values, dtype=np.uint64) if ascending else values
+
+
+def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct keys, and the sum of the counts, or the number, of each."""
+    if not len(keys):
+        return keys, np.empty(0, np.int64)
+    if counts is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, counts = keys[order], counts[order].astype(np.int64)
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
+
+
+_arrays: dict[tuple[str, str], np.ndarray] = {}
 
 
-@lru_cache(4096)
 def _mapped(path: str, kind: str) -> np.ndarray:
-    if is_local(path):
-        return np.memmap(local_path(path), dtype=TYPES[kind], mode="r")
-    fs, inner = filesystem(path)
-    with fs.open_input_file(inner) as f:
-        return np.frombuffer(f.read(), dtype=TYPES[kind])
+    found = _arrays.get((path, kind))
+    if found is None:
+        if is_local(path):
+            found = np.memmap(local_path(path), dtype=TYPES[kind], mode="r")
+            if len(_arrays) >= 4096:
+                _arrays.clear()
+        else:
+            fs, inner = filesystem(path)
+            with fs.open_input_file(inner) as f:
+                found = np.frombuffer(f.read(), dtype=TYPES[kind])
+            while _arrays and sum(x.nbytes for x in _arrays.values()) + found.nbytes > MAPPED_BYTES:
+                _arrays.pop(next(iter(_arrays)))  # the one that has been there longest
+        _arrays[path, kind] = found
+    return found
 
 
 def _save(path: str, values: np.ndarray) -> None:
@@ -99,10 +134,19 @@ def _save_counts(path: str, values: np.ndarray) -> None:
 
 
 class Level(NamedTuple):
-    """Shards of one order's n-grams; rank r is in shard s if starts[s] <= r < starts[s + 1]."""
+    """Shards of one order's n-grams; rank r is in shard s if starts[s] <= r < starts[s + 1]. Keys have so many bits."""
 
     folder: str
     starts: np.ndarray
+    bits: int
+
+    @property
+    def shards(self) -> int:
+        return len(self.starts) - 1
+
+    @property
+    def size(self) -> int:
+        return int(self.starts[-1])
 
     def path(self, shard: int, kind: str) -> str:
         return f"{self.folder}/{shard:06d}.{kind}"
@@ -110,35 +154,79 @@ class Level(NamedTuple):
     def array(self, shard: int, kind: str) -> np.ndarray:
         return _mapped(self.path(shard, kind), kind) if self.starts[shard + 1] > self.starts[shard] else np.empty(0, TYPES[kind])
 
-    def counts(self, shard: int, kind: str, at: np.ndarray) -> np.ndarray:
-        out = self.array(shard, kind)[at].astype(np.int64)
-        over = np.flatnonzero(out == OVER)
-        if len(over):
-            where, values = _mapped(f"{self.path(shard, kind)}-more", "more").reshape(2, -1)
-            out[over] = values[np.searchsorted(where, at[over].astype(np.uint64))]
+    def values(self, shard: int, kind: str, at: np.ndarray) -> np.ndarray:
+        out = self.array(shard, kind)[at]
+        if TYPES[kind] == np.uint8:
+            out = out.astype(np.int64)
+            over = np.flatnonzero(out == OVER)
+            if len(over):
+                where, more = _mapped(f"{self.path(shard, kind)}-more", "more").reshape(2, -1)
+                out[over] = more[np.searchsorted(where, at[over].astype(np.uint64))]
         return out
 
-    def find(self, keys: np.ndarray) -> np.ndarray:
-        """Ranks; -1 for keys that aren't there."""
-        distinct, back = np.unique(keys, return_inverse=True)
-        shards = len(self.starts) - 1
-        bounds = np.searchsorted(distinct, np.arange(shards, dtype=np.uint64) << _U(64 - shards.bit_length() + 1))
-        bounds = np.append(bounds, len(distinct))
-        out = np.full(len(distinct), -1, dtype=np.int64)
+    def find_distinct(self, keys: np.ndarray) -> np.ndarray:
+        """Ranks of sorted keys; -1 for those that aren't there."""
+        bounds = np.searchsorted(keys, np.arange(self.shards, dtype=np.uint64) << _U(self.bits - self.shards.bit_length() + 1))
+        bounds = np.append(bounds, len(keys))
+        out = np.full(len(keys), -1, dtype=np.int64)
         for s in np.flatnonzero(np.diff(bounds)):
-            have, part = self.array(s, "keys"), distinct[bounds[s] : bounds[s + 1]]
+            have, part = self.array(s, "keys"), keys[bounds[s] : bounds[s + 1]]
             if len(have):
                 at = np.minimum(np.searchsorted(have, part), len(have) - 1)
                 out[bounds[s] : bounds[s + 1]] = np.where(have[at] == part, self.starts[s] + at, -1)
-        return out[back]
+        return out
 
-    def take(self, kind: str, ranks: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(ranks, return_inverse=True)
-        bounds = np.searchsorted(distinct, self.starts)
-        out = np.empty(len(distinct), dtype=np.int64)
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        distinct, back = np.unique(keys, return_inverse=True)
+        return self.find_distinct(distinct)[back]
+
+    def take_distinct(self, kind: str, ranks: np.ndarray) -> np.ndarray:
+        """Of sorted ranks."""
+        bounds = np.searchsorted(ranks, self.starts)
+        out = np.empty(len(ranks), dtype=np.uint64 if TYPES[kind] == np.uint64 else np.int64)
         for s in np.flatnonzero(np.diff(bounds)):
-            out[bounds[s] : bounds[s + 1]] = self.counts(s, kind, distinct[bounds[s] : bounds[s + 1]] - self.starts[s])
-        return out[back]
+            out[bounds[s] : bounds[s + 1]] = self.values(s, kind, ranks[bounds[s] : bounds[s + 1]] - self.starts[s])
+        return out
+
+    def take(self, kinds: tuple[str, ...], ranks: np.ndarray) -> list[np.ndarray]:
+        distinct, back = np.unique(ranks, return_inverse=True)
+        return [self.take_distinct(k, distinct)[back] for k in kinds]
+
+
+def _word_bits(levels: list[Level]) -> int:
+    return max(1, (levels[0].size - 1).bit_length())
+
+
+def _key_bits(levels: list[Level], k: int) -> int:
+    """Of n-grams of order k: for a rank in the level below, or the begin of a text, and a word."""
+    bits = levels[k - 2].size.bit_length() + _word_bits(levels)
+    if bits > 64:
+        raise ValueError(f"{levels[k - 2].size} contexts and {levels[0].size} words don't fit into a key of 64 bits")
+    return max(bits, levels[0].shards.bit_length() + 8)
+
+
+def _keys(levels: list[Level], k: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return scramble((context.astype(np.uint64) << _U(_word_bits(levels))) | word.astype(np.uint64), _key_bits(levels, k))
+
+
+def _parts(levels: list[Level], k: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ranks of the contexts, and the words."""
+    pair, bits = unscramble(keys, _key_bits(levels, k)), _U(_word_bits(levels))
+    return (pair >> bits).astype(np.int64), (pair & ((_U(1) << bits) - _U(1))).astype(np.int64)
+
+
+def _suffixes(levels: list[Level], k: int, keys: np.ndarray) -> np.ndarray:
+    """The rank, in the level below, of each n-gram of order k without its first word."""
+    context, word = _parts(levels, k, keys)
+    if k == 2:
+        return word
+    below = levels[k - 2]
+    distinct, back = np.unique(context, return_inverse=True)
+    if k == 3:
+        inner = _parts(levels, 2, below.take_distinct("keys", distinct))[1]
+    else:
+        inner = below.take_distinct("suffix", distinct)
+    return below.find(_keys(levels, k - 1, inner[back], word))
 
 
 class Model(NamedTuple):
@@ -157,29 +245,36 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return np.insert(codes, offsets[1:], len(distinct)), offsets + np.arange(len(offsets)), hashes
 
 
-def _grams(levels: list[Level], order: int, codes: np.ndarray, offsets: np.ndarray, hashes: np.ndarray):
-    """For each order up to the given one, (places, keys) of the n-grams that end there, and the rank of what each place's
-    n-gram of the order below has; places whose context is unknown are left out."""
+def _contexts(levels: list[Level], rank: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
+    """For each token, the rank of the k - 1 tokens before it; -1 where they are unknown, or too few."""
+    context = np.concatenate(([-1], rank[:-1]))
+    context[place == 0] = levels[0].size if k == 2 else -1  # the number of a text's begin
+    return context
+
+
+def _gram_keys(levels: list[Level], order: int, codes: np.ndarray, offsets: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """The keys of all n-grams of an order in the texts."""
     words = levels[0].find(hashes)[codes]
-    place = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
-    begin, rank = int(levels[0].starts[-1]), words
+    place, rank = _places(offsets), words
     for k in range(2, order + 1):
-        context = np.concatenate(([-1], rank[:-1]))
-        if k == 2:
-            context[place == 0] = begin  # the number of a text's begin
-        at = np.flatnonzero((place >= k - 2) & (context >= 0) & (words >= 0))
-        keys = mix((context[at].astype(np.uint64) << _U(32)) | words[at].astype(np.uint64))
-        yield k, at, keys, context, rank
-        if k <= len(levels):
+        context = _contexts(levels, rank, place, k)
+        at = np.flatnonzero((context >= 0) & (words >= 0))
+        keys = _keys(levels, k, context[at], words[at])
+        if k < order:
             rank = np.full(len(codes), -1, dtype=np.int64)
             rank[at] = levels[k - 1].find(keys)
+    return keys
+
+
+def _places(offsets: np.ndarray) -> np.ndarray:
+    return np.arange(offsets[-1]) - np.repeat(offsets[:-1], np.diff(offsets))
 
 
 def _blocks(shard: np.ndarray, columns: list[np.ndarray], kind: str = "") -> pa.RecordBatch:
-    """A row of packed columns for each shard; rows are sorted by shard."""
+    """A row of packed columns for each shard; rows are sorted by shard, and the first column ascends in each."""
     first = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.empty(0, np.int64)
     ends = np.append(first, len(shard))[1:]
-    data = [pa.array([pack(c[a:b]) if len(c) else None for a, b in zip(first, ends, strict=True)], pa.binary()) for c in columns]
+    data = [pa.array([pack(c[a:b], i == 0) for a, b in zip(first, ends, strict=True)], pa.binary()) for i, c in enumerate(columns)]
     return pa.record_batch([pa.array(shard[first].astype(np.int32)), pa.array([kind] * len(first), pa.string()), *data], names=["shard", "kind", *(f"c{i}" for i in range(len(columns)))])
 
 
@@ -215,65 +310,72 @@ def _counts_of_counts(values: np.ndarray) -> list[int]:
     return [int((values == i).sum()) for i in range(1, 5)]
 
 
-def _downward(below: Level, keys: np.ndarray, suffix: np.ndarray | None, adjusted: np.ndarray):
+def _downward(levels: list[Level], k: int, keys: np.ndarray, adjusted: np.ndarray):
     """Blocks for the level below: of each context, its sum and how many followers have 1, 2, or more; of each suffix, how
     many n-grams end in it. Sorted by shard."""
-    pair = unmix(keys)
-    context, last = pair >> _U(32), (pair & _U(0xFFFFFFFF) if suffix is None else suffix)
-    order = np.argsort(context, kind="stable")
+    below = levels[k - 2]
+    context = _parts(levels, k, keys)[0]
+    order = np.argsort(context)
     context, a = context[order], adjusted[order].astype(np.int64)
     first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
-    sums = [np.add.reduceat(x, first) for x in (a, a == 1, a == 2, a > 2)]
-    known = context[first] < below.starts[-1]  # the begin of a text has no place there
-    whole = [context[first][known], *(x[known].astype(np.uint32) for x in sums)]
+    sums = [np.add.reduceat(x, first) for x in (a, a == 1, a == 2, a > 2)] if len(a) else [a] * 4
+    known = context[first] < below.size if len(a) else first.astype(bool)  # the begin of a text has no place there
+    whole = [context[first][known], *(x[known] for x in sums)] if len(a) else [a] * 5
     yield _blocks(np.searchsorted(below.starts, whole[0], "right") - 1, whole, "context")
-    for c, *n in zip(context[first][~known], *(x[~known] for x in sums), strict=True):
-        yield _blocks(np.array([len(below.starts) - 1]), [np.array([c]), *(np.array([x], dtype=np.uint32) for x in n)], "context")
-    ends, times, _ = counted(last)
-    yield _blocks(np.searchsorted(below.starts, ends, "right") - 1, [ends, times.astype(np.uint32)], "suffix")
+    if len(a) and not known.all():
+        yield _blocks(np.array([below.shards]), [context[first][~known], *(x[~known] for x in sums)], "context")
+    ends, times = counted(_suffixes(levels, k, keys))
+    yield _blocks(np.searchsorted(below.starts, ends, "right") - 1, [ends, times], "suffix")
 
 
 def _count_level(docs: DataFrame, k: int, order: int, levels: list[Level], folder: str, shards: int) -> tuple[Level, DataFrame, list]:
     """Counts the n-grams of order k; for the highest order also the blocks for the level below."""
-    shift = _U(64 - (shards.bit_length() - 1))
+    bits = 64 if k == 1 else _key_bits(levels, k)
+    shift = _U(bits - (shards.bit_length() - 1))
 
     def count(batches):
+        held, size = [], 0
+
+        def sent(merged):
+            return _padded(_blocks((merged[0] >> shift).astype(np.int64), [*merged]))
+
         for part in (p for b in batches for p in slices(b, most=COUNT_BYTES)):
             codes, offsets, hashes = _tokens(part.column(0))
-            if k == 1:
-                keys, n, _ = counted(hashes, np.bincount(codes, minlength=len(hashes)))
-                suffix = np.empty(0, np.uint32)
-            else:
-                *_, (_, at, keys, _, rank) = _grams(levels, k, codes, offsets, hashes)
-                keys, n, where = counted(keys)
-                suffix = rank[at][where] if k > 2 else np.empty(0, np.uint32)
-            yield _padded(_blocks((keys >> shift).astype(np.int64), [keys, n.astype(np.uint32), suffix.astype(np.uint32)]))
+            held.append(counted(hashes, np.bincount(codes, minlength=len(hashes))) if k == 1 else counted(_gram_keys(levels, k, codes, offsets, hashes)))
+            size += len(held[-1][0])
+            if size > HELD:
+                merged = counted(*map(np.concatenate, zip(*held, strict=True)))
+                held, size = [merged], len(merged[0])
+                if 2 * size > HELD:
+                    yield sent(merged)
+                    held, size = [], 0
+        if held:
+            yield sent(counted(*map(np.concatenate, zip(*held, strict=True))))
+        _arrays.clear()
 
     def merge(batches):
         for shard, rows in _by_shard(batches):
-            keys, n = (np.concatenate([unpack(r[c], t) for r in rows]) for c, t in (("c0", np.uint64), ("c1", np.uint32)))
-            suffix = np.concatenate([unpack(r["c2"], np.uint32) for r in rows]).astype(np.uint64) if k > 2 else None
-            keys, n, where = counted(keys, n)
-            suffix = suffix[where] if k > 2 else None
+            keys, n = counted(*(np.concatenate([unpack(r[c]) for r in rows]) for c in ("c0", "c1")))
             _save(f"{folder}/{k}/{shard:06d}.keys", keys)
             _save_counts(f"{folder}/{k}/{shard:06d}.counts", n)
-            if 2 < k < order:  # of the highest order nothing reads it again
-                _save(f"{folder}/{k}/{shard:06d}.suffix", suffix.astype(np.uint32))
+            if 2 < k < order:
+                _save(f"{folder}/{k}/{shard:06d}.suffix", _suffixes(levels, k, keys).astype(np.uint64))
             told = pa.record_batch([pa.array([shard], pa.int32()), pa.array(["shard"])], names=["shard", "kind"])
             yield _padded(told, [len(keys), int(n.sum()), *_counts_of_counts(n)])
             if k == order > 1:
-                for blocks in _downward(levels[-1], keys, suffix, n):
+                for blocks in _downward(levels, k, keys, n):
                     yield _padded(blocks)
+        _arrays.clear()
 
     schema = ", ".join(f"{n} {t}" for n, t in MANIFEST)
     tasks = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    blocks = docs.select("text").mapInArrow(count, schema).select("shard", "kind", *(f"c{i}" for i in range(3)))
+    blocks = docs.select("text").mapInArrow(count, schema).select("shard", "kind", "c0", "c1")
     merged = write_table(blocks.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(merge, schema), f"level-{k}")
     told = merged.where("kind = 'shard'").select("shard", "n", "sum", "n1", "n2", "n3", "n4").collect()  # a row for each shard
     sizes = np.zeros(shards, dtype=np.int64)
     for r in told:
         sizes[r["shard"]] = r["n"]
-    return Level(f"{folder}/{k}", np.concatenate(([0], np.cumsum(sizes)))), merged.where("kind != 'shard'"), told
+    return Level(f"{folder}/{k}", np.concatenate(([0], np.cumsum(sizes))), bits), merged.where("kind != 'shard'"), told
 
 
 def _finish_level(blocks: DataFrame, k: int, levels: list[Level]) -> tuple[DataFrame, list, dict[int, list[int]]]:
@@ -283,27 +385,27 @@ def _finish_level(blocks: DataFrame, k: int, levels: list[Level]) -> tuple[DataF
     def finish(batches):
         for shard, rows in _by_shard(batches):
             if shard >= len(level.starts) - 1:  # begin of a text
-                n = [sum(int(unpack(r[f"c{i}"], np.uint32).sum()) for r in rows) for i in range(1, 5)]
+                n = [sum(int(unpack(r[f"c{i}"]).sum()) for r in rows) for i in range(1, 5)]
                 told = pa.record_batch([pa.array([shard], pa.int32()), pa.array(["begin"])], names=["shard", "kind"])
                 yield _padded(told, [0, 0, *n])
                 continue
             size = int(level.starts[shard + 1] - level.starts[shard])
             arrays = {t: np.zeros(size, dtype=np.int64) for t in ("adjusted", "total", "n1", "n2", "n3")}
             for r in rows:
-                at = unpack(r["c0"], np.uint64).astype(np.int64) - int(level.starts[shard])
+                at = unpack(r["c0"]).astype(np.int64) - int(level.starts[shard])
                 for i, t in enumerate(("total", "n1", "n2", "n3") if r["kind"] == "context" else ("adjusted",), 1):
-                    arrays[t][at] += unpack(r[f"c{i}"], np.uint32)
+                    arrays[t][at] += unpack(r[f"c{i}"]).astype(np.int64)
             adjusted = arrays["adjusted"]
             alone = adjusted == 0
-            adjusted[alone] = level.counts(shard, "counts", np.flatnonzero(alone))
+            adjusted[alone] = level.values(shard, "counts", np.flatnonzero(alone))
             for t, values in arrays.items():
                 _save_counts(level.path(shard, t), values)
             told = pa.record_batch([pa.array([shard], pa.int32()), pa.array(["shard"])], names=["shard", "kind"])
             yield _padded(told, [size, int(adjusted.sum()), *_counts_of_counts(adjusted)])
             if k > 1:
-                suffix = level.array(shard, "suffix").astype(np.uint64) if k > 2 else None
-                for found in _downward(levels[k - 2], np.array(level.array(shard, "keys")), suffix, adjusted):
+                for found in _downward(levels, k, np.array(level.array(shard, "keys")), adjusted):
                     yield _padded(found)
+        _arrays.clear()
 
     schema = ", ".join(f"{n} {t}" for n, t in MANIFEST)
     tasks = max(len(level.starts) - 1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
@@ -358,22 +460,23 @@ def log_probabilities(trained: Trained, codes: np.ndarray, offsets: np.ndarray,
     words = levels[0].find(hashes)
     known = np.flatnonzero(words >= 0)
     count, low = np.zeros(len(hashes), dtype=np.int64), np.full(len(hashes), even)
-    count[known] = levels[0].take("counts", words[known])
-    a = (levels[0].take("adjusted", words[known]) if order > 1 else count[known]).astype(np.int64)
+    (count[known],) = levels[0].take(("counts",), words[known])
+    a = levels[0].take(("adjusted",), words[known])[0] if order > 1 else count[known]
     low[known] += np.maximum(0, a - discounts[0][np.minimum(a, 3)]) / total
-    p = low[codes]
-    for k, at, keys, context, _ in _grams(levels, order, codes, offsets, hashes):
-        place = np.arange(len(codes)) - np.repeat(offsets[:-1], np.diff(offsets))
-        rank = levels[k - 1].find(keys)
-        c = np.zeros(len(codes), dtype=np.int64)
-        found = rank >= 0
-        c[at[found]] = levels[k - 1].take("adjusted" if k < order else "counts", rank[found])
-        some = np.flatnonzero((context >= 0) & (place >= k - 2))
-        stats = np.zeros((4, len(some)))
-        inner = context[some] < levels[k - 2].starts[-1]
-        for i, t in enumerate(("total", "n1", "n2", "n3")):
-            stats[i, inner] = levels[k - 2].take(t, context[some][inner])
-            stats[i, ~inner] = begin[i]
+    p, words = low[codes], words[codes]
+    place, rank = _places(offsets), words
+    for k in range(2, order + 1):
+        level, context = levels[k - 1], _contexts(levels, rank, place, k)
+        some = np.flatnonzero(context >= 0)
+        stats, inner = np.empty((4, len(some))), context[some] < levels[k - 2].size
+        stats[:, inner] = levels[k - 2].take(("total", "n1", "n2", "n3"), context[some][inner])
+        stats[:, ~inner] = np.array(begin, dtype=np.float64)[:, None]
+        at = np.flatnonzero((context >= 0) & (words >= 0))
+        distinct, back = np.unique(_keys(levels, k, context[at], words[at]), return_inverse=True)
+        ranks, values = level.find_distinct(distinct), np.zeros(len(distinct), dtype=np.int64)
+        values[ranks >= 0] = level.take_distinct("adjusted" if k < order else "counts", ranks[ranks >= 0])
+        c, rank = np.zeros(len(codes), dtype=np.int64), np.full(len(codes), -1, dtype=np.int64)
+        c[at], rank[at] = values[back], ranks[back]
         some, stats = some[stats[0] > 0], stats[:, stats[0] > 0]
         d = discounts[k - 1]
         p[some] = np.maximum(0, c[some] - d[np.minimum(c[some], 3)]) / stats[0] + (d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]) / stats[0] * p[some]

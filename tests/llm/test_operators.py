@@ -111,9 +111,19 @@ def test_lm_scores(spark, documents, order):
 def test_lm_counts_of_any_size(tmp_path):
     values = np.array([0, 1, 254, 255, 256, 70_000, 1 << 40, 3])
     lm._save_counts(f"{tmp_path}/000000.total", values)
-    level = lm.Level(str(tmp_path), np.array([0, len(values)]))
-    assert level.take("total", np.array([6, 0, 3, 3, 7, 5])).tolist() == [1 << 40, 0, 255, 255, 3, 70_000]
-    assert level.counts(0, "total", np.arange(8)).tolist() == values.tolist()
+    level = lm.Level(str(tmp_path), np.array([0, len(values)]), 64)
+    assert level.take(("total",), np.array([6, 0, 3, 3, 7, 5]))[0].tolist() == [1 << 40, 0, 255, 255, 3, 70_000]
+    assert level.values(0, "total", np.arange(8)).tolist() == values.tolist()
+
+
+def test_lm_keys_that_do_not_fit_are_an_error():
+    level = lambda n: lm.Level("", np.array([0, n]), 64)
+    levels = [level(1 << 24), level((1 << 40) - 1)]
+    assert lm._key_bits(levels, 3) == 64
+    context, word = lm._parts(levels, 3, lm._keys(levels, 3, np.array([(1 << 40) - 2, 5]), np.array([3, (1 << 24) - 1])))
+    assert context.tolist() == [(1 << 40) - 2, 5] and word.tolist() == [3, (1 << 24) - 1]  # ranks beyond 32 bits
+    with pytest.raises(ValueError):
+        lm._key_bits([level(1 << 24), level(1 << 40)], 3)
 
 
 def test_lm_query_uses_trigrams(spark, tmp_path):
@@ -141,8 +151,15 @@ def test_lm_probabilities_sum_to_one(spark):
 
 def test_lm_packing_is_exact():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 999).astype(np.uint64))
-    assert np.array_equal(lm.unpack(lm.pack(x), np.uint64), x) and np.array_equal(lm.unmix(lm.mix(x)), x)
-    assert np.array_equal(lm.unpack(lm.pack(x[:0]), np.uint64), x[:0])
+    for values, ascending in ((x, True), (x[::-1], False), (x[:0], True), (np.array([0, 1 << 33, 7]), False), (np.zeros(5), True)):
+        assert np.array_equal(lm.unpack(lm.pack(values, ascending)), values.astype(np.uint64))
+    n, keys = lm.counted(np.array([5, 3, 5], dtype=np.uint64), np.array([1 << 32, 1, 1 << 32])), x
+    assert n[0].tolist() == [3, 5] and n[1].tolist() == [1, 1 << 33]  # sums beyond 32 bits
+    for bits in (14, 33, 47, 64):
+        part = keys >> np.uint64(64 - bits)
+        mixed = lm.scramble(part, bits)
+        assert np.array_equal(lm.unscramble(mixed, bits), part) and int(mixed.max()).bit_length() <= bits
+    assert len(set(lm.scramble(np.arange(1 << 14, dtype=np.uint64), 14).tolist())) == 1 << 14
 
 
 def test_lm_odd_rows(spark, odd):

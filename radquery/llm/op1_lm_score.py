@@ -42,7 +42,7 @@ END = xxhash.xxh64_intdigest(b" ")
 #: Text for each shard, about; there are 64 shards at least.
 SHARD_BYTES = 64 << 20
 #: Text that a task counts, and scores, at once; and n-grams that it gathers over slices before it sends them.
-COUNT_BYTES, SCORE_BYTES, HELD = 4 << 20, 2 << 20, 3 << 20
+COUNT_BYTES, SCORE_BYTES, HELD = 6 << 20, 4 << 20, 3 << 20
 #: Bytes of arrays that a worker holds where they can't be mapped.
 MAPPED_BYTES = 256 << 20
 #: Counts are bytes; those of OVER and more are in a file beside, as places and values.
@@ -241,7 +241,7 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An index of each token into the hashes, the offsets by text, and the hashes; the end is the last of them."""
     codes, offsets, distinct = split_words(pc.ascii_lower(texts_of(texts)))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter((digest(w) for w in [*distinct.cast(pa.binary()).to_pylist(), b" "]), np.uint64, len(distinct) + 1)
+    hashes = np.fromiter(map(digest, [*distinct.cast(pa.binary()).to_pylist(), b" "]), np.uint64, len(distinct) + 1)
     return np.insert(codes, offsets[1:], len(distinct)), offsets + np.arange(len(offsets)), hashes
 
 

@@ -32,6 +32,8 @@ INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", p
 ROWS_PER_BATCH = 64
 #: Text for each shard, about.
 SHARD_BYTES = 16 << 20
+#: Text that is encoded at once.
+SLICE_BYTES = 8 << 20
 
 
 def _sequences(ids: np.ndarray, valid: int, length: int, schema: pa.Schema) -> pa.RecordBatch:
@@ -57,7 +59,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
         if first is None:
             return
         with encoding(tokenizer) as encoder, AtomicFile(f"{path}.index.arrow") as index, ipc.new_file(index, INDEX) as entries, AtomicFile(f"{path}.arrow") as out, ipc.new_file(out, schema) as writer:
-            for part in (p for b in itertools.chain([first], batches) for p in slices(b)):
+            for part in (p for b in itertools.chain([first], batches) for p in slices(b, most=SLICE_BYTES)):
                 ids, offsets = encoder.encode(part.column(1), end_id)
                 entries.write_batch(pa.record_batch([part.column(0), total + offsets[:-1], np.diff(offsets)], schema=INDEX))
                 documents, total = documents + part.num_rows, total + len(ids)

@@ -19,7 +19,7 @@ import pyarrow.compute as pc
 from radquery.llm.words import gather, give_back, split_words, texts_of
 
 #: Bytes, about, of words with their ids that an encoder keeps between the slices of a task; others are encoded again.
-KEPT_BYTES, ENTRY_BYTES = 32 << 20, 200
+KEPT_BYTES, ENTRY_BYTES = 64 << 20, 200
 #: The pattern of runs of letters, digits, and other marks, and nothing of two kinds: fixed value of the vocabulary files.
 RUNS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 

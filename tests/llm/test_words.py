@@ -4,7 +4,7 @@ import pyarrow as pa
 import pytest
 
 from radquery.llm.op5_quality import repeated_words
-from radquery.llm.token_ids import encoder
+from radquery.llm.token_ids import encoding
 from radquery.llm.words import slices, split_flat, split_words
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -33,7 +33,8 @@ def test_ids_are_those_of_whole_texts():
 
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
-    ids, offsets = encoder(path).encode(pa.array([*ODD, None]), 1)
+    with encoding(path) as encoder:
+        ids, offsets = encoder.encode(pa.array([*ODD, None]), 1)
     for i, t in enumerate([*ODD, ""]):
         assert ids[offsets[i] : offsets[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [1]
 

@@ -7,6 +7,7 @@ slice is encoded once. ``check_separable`` refuses vocabulary files for which th
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -20,6 +21,8 @@ from radquery.llm.words import gather, give_back, split_words, texts_of
 
 #: Bytes, about, of words with their ids that an encoder keeps between the slices of a task; others are encoded again.
 KEPT_BYTES, ENTRY_BYTES = 64 << 20, 200
+#: Words that the library gets at once.
+AT_ONCE = 500
 #: The pattern of runs of letters, digits, and other marks, and nothing of two kinds: fixed value of the vocabulary files.
 RUNS = r"[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
@@ -62,7 +65,12 @@ class Encoder:
 
         self.merges = check_separable(path)
         self.tokenizer, self.kept, self.room = Tokenizer.from_file(path), {}, KEPT_BYTES
-        self.largest_id = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.largest_id = max(vocabulary.values())
+        suffix = getattr(self.tokenizer.model, "end_of_word_suffix", None)
+        self.ends = np.zeros(self.largest_id + 1, dtype=bool) if suffix and self.merges else None  # tokens that end a run
+        if suffix and self.merges:
+            self.ends[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
 
     def _ids(self, words: list[str]) -> list[bytes]:
         """The ids of each word, as bytes of uint32."""
@@ -73,18 +81,36 @@ class Encoder:
                 found[i] = np.array(self.tokenizer.encode(words[i], add_special_tokens=False).ids, dtype=np.uint32).tobytes()
             elif ids is None:
                 new.append(i)
-        for k in range(0, len(new), 500):
-            part = new[k : k + 500]
-            e = self.tokenizer.encode_batch([[words[i] for i in part]], is_pretokenized=True, add_special_tokens=False)[0]
-            ids = np.array(e.ids, dtype=np.uint32).tobytes()
-            ends = (4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(part) + 1))).tolist()
-            for j, i in enumerate(part):
-                found[i] = ids[ends[j] : ends[j + 1]]
-            if self.room > 0:
-                self.kept.update((words[i], found[i]) for i in part)
-                self.room -= sum(len(words[i]) + len(found[i]) + ENTRY_BYTES for i in part)
+        plain, other = [], new
+        if self.ends is not None and new:
+            alone = pc.match_substring_regex(pa.array([words[i] for i in new], pa.string()), r"^\pL+$").to_pylist()
+            plain, other = [i for i, a in zip(new, alone, strict=True) if a], [i for i, a in zip(new, alone, strict=True) if not a]
+        for group, encode in ((plain, self._of_letters), (other, self._of_any)):
+            for k in range(0, len(group), AT_ONCE):
+                part = group[k : k + AT_ONCE]
+                texts = [words[i] for i in part]
+                ids, ends = encode(texts)
+                each = [ids[a:b] for a, b in itertools.pairwise(ends)]
+                for i, own in zip(part, each, strict=True):
+                    found[i] = own
+                if self.room > 0:
+                    self.kept.update(zip(texts, each, strict=True))
+                    self.room -= sum(map(len, texts)) + len(ids) + ENTRY_BYTES * len(texts)
         return found
 
+    def _of_any(self, words: list[str]) -> tuple[bytes, list[int]]:
+        """The ids of all words, and where each one's begin, and the last one's end, in bytes."""
+        e = self.tokenizer.encode_batch([words], is_pretokenized=True, add_special_tokens=False)[0]
+        ends = 4 * np.searchsorted(np.array(e.word_ids, dtype=np.int64), np.arange(len(words) + 1))
+        return np.array(e.ids, dtype=np.uint32).tobytes(), ends.tolist()
+
+    def _of_letters(self, words: list[str]) -> tuple[bytes, list[int]]:
+        """The same for words of letters, as one text. A run of letters has one token with the end's suffix, its last; a word
+        that the normalizer turns into more than one run is told by their number."""
+        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype=np.uint32)
+        ends = 4 * (np.flatnonzero(self.ends[ids]) + 1)
+        return (ids.tobytes(), [0, *ends.tolist()]) if len(ends) == len(words) else self._of_any(words)
+
     def forget(self) -> None:
         """What was kept goes; a worker that waits for its next task holds the vocabulary alone."""
         self.kept, self.room = {}, KEPT_BYTES

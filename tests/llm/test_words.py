@@ -1,3 +1,4 @@
+import random
 import re
 
 import pyarrow as pa
@@ -39,6 +40,21 @@ def test_ids_are_those_of_whole_texts():
         assert ids[offsets[i] : offsets[i + 1]].tolist() == plain.encode(t, add_special_tokens=False).ids + [1]
 
 
+def test_words_of_letters_are_told_apart_in_one_text():
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain, rng = Tokenizer.from_file(path), random.Random(1)
+    some = ["House", "straße", "ǅ", "한국", "текст", "ﬁne", "İstanbul", "İİ", "x1y", "don't", "a.", "qzxvkj"]  # two are more than one run in lower case
+    with encoding(path) as encoder:
+        assert encoder.ends is not None
+        for known in (some[:6], some):
+            texts = [" ".join(rng.choice(known) + "ab"[: k % 3] for _ in range(k % 9)) for k in range(1500)]
+            ids, offsets = encoder.encode(pa.array(texts), 1)
+            assert [ids[offsets[i] : offsets[i + 1]].tolist() for i in range(len(texts))] == [plain.encode(t, add_special_tokens=False).ids + [1] for t in texts]
+            encoder.forget()
+
+
 def test_repeated_words():
     def brute(w):
         seen, out = {}, set()

@@ -7,6 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from radquery.llm.op10_language import op10_language
+from radquery.llm.op11_alignment import op11_alignment
+from radquery.llm.op12_whitening import op12_whitening
+from radquery.llm.op13_sharding import op13_sharding
 from radquery.llm.op1_lm_score import op1_lm_score
 from radquery.llm.op2_decontaminate import op2_decontaminate
 from radquery.llm.op3_simhash import op3_simhash
@@ -19,7 +22,7 @@ from radquery.llm.op9_warc import OP9_SQL, op9_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_simhash, op4_packing, op5_quality, op6_chat, op7_arrow_files, op8_toxicity, op9_warc, op10_language)}
+    return {f.__name__: f for f in (op1_lm_score, op2_decontaminate, op3_simhash, op4_packing, op5_quality, op6_chat, op7_arrow_files, op8_toxicity, op9_warc, op10_language, op11_alignment, op12_whitening, op13_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:

@@ -17,8 +17,8 @@ from __future__ import annotations
 
 import hashlib
 import os
+from array import array
 from collections.abc import Iterator
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -31,12 +31,12 @@ from radquery.llm.shared import small, write_table
 from radquery.llm.words import gather, give_back, slices, texts_of
 
 #: Bytes, about, of units with their results that a task keeps between slices; others are aligned again.
-KEPT_BYTES, ENTRY_BYTES = 48 << 20, 400
+KEPT_BYTES, ENTRY_BYTES = 96 << 20, 400
 #: Transitions that are kept; beyond that the memo starts anew.
 MOST_TRANSITIONS = 1 << 20
 #: Units that the libraries get at once.
 AT_ONCE = 500
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 8 << 20
 SPACE = "▁"
 ALIGNED = "row long, doc_id long, n_a long, n_b long, n_groups long, n_links long, groups string, groups_sha256 string, pairs array<struct<pair: long, n: long>>"
 
@@ -57,7 +57,7 @@ class Transducer:
         self.forget()
 
     def forget(self) -> None:
-        self.number, self.states, self.memo, self.first = {}, [(0, b"")], [{}], {}
+        self.number, self.states, self.leads, self.memo, self.first = {}, [(0, b"")], [0], [{}], {}
         self.transitions = 0
 
     def state(self, lead: int, residual: bytes) -> int:
@@ -67,6 +67,7 @@ class Transducer:
         if key not in self.number:
             self.number[key] = len(self.states)
             self.states.append(key)
+            self.leads.append(lead)
             self.memo.append({})
         return self.number[key]
 
@@ -82,49 +83,40 @@ class Transducer:
         self.transitions += 1
         return to
 
-    def align(self, a: list[int], b: list[int]) -> tuple[list[tuple[int, int]], list[tuple[int, int]]] | None:
-        """Links (token of a, token of b), and the places in ``a`` and ``b`` where each group ends; None if the bytes differ."""
+    def align(self, a: list[int], b: list[int]) -> tuple[list[int], list[tuple[int, int]]] | None:
+        """Links (the token of a, then 32 bits for that of b), and the places in ``a`` and ``b`` where each group ends; None if
+        the bytes differ."""
         if self.transitions > MOST_TRANSITIONS:
             self.forget()
-        i = j = state = 0
-        links, ends = [], []
-        states, memo = self.states, self.memo
-        while i < len(a) or j < len(b) or state:
-            if not state:  # both sides are at the same byte: the first one leads with its next token
-                if i == len(a) or j == len(b):
+        links, ends, i, j, n, m = [], [], 0, 0, len(a), len(b)
+        leads, memo, first = self.leads, self.memo, self.first
+        while i < n and j < m:  # both sides are at the same byte: the first one leads with its next token
+            x = a[i]
+            i += 1
+            state = first.get(x) or first.setdefault(x, self.state(0, self.tokens[0][x]))
+            while state:
+                if leads[state]:
+                    if i == n:
+                        return None
+                    token = x = a[i]
+                    i += 1
+                else:
+                    if j == m:
+                        return None
+                    token = y = b[j]
+                    j += 1
+                links.append(x << 32 | y)
+                to = memo[state].get(token)
+                state = self.next(state, token) if to is None else to
+                if state < 0:
                     return None
-                state = self.first.get(a[i]) or self.first.setdefault(a[i], self.state(0, self.tokens[0][a[i]]))
-                i += 1
-                continue
-            if states[state][0]:
-                if i == len(a):
-                    return None
-                token = a[i]
-                i += 1
-            else:
-                if j == len(b):
-                    return None
-                token = b[j]
-                j += 1
-            links.append((a[i - 1], b[j - 1]))
-            to = memo[state].get(token)
-            state = self.next(state, token) if to is None else to
-            if state < 0:
-                return None
-            if not state:
-                ends.append((i, j))
-        return links, ends
-
+            ends.append((i, j))
+        return (links, ends) if i == n and j == m else None
 
-class Unit(NamedTuple):
-    n_a: int
-    n_b: int
-    n_groups: int  # -1: not aligned
-    links: bytes  # int64 for each link, in order: token of a, then 32 bits for that of b
-    groups: bytes  # of each group its text and ";"
 
-
-BROKEN = Unit(0, 0, -1, b"", b"")
+#: What is known of a unit: its tokens on either side, its groups (-1: the bytes differ), its links as int64 one after
+#: another, and the text of its groups, each with a ";" at its end.
+BROKEN = (0, 0, -1, b"", b"")
 
 
 class Pair:
@@ -149,6 +141,7 @@ class Pair:
             raise ValueError(f"{b_path}: a blank does not separate pieces here")
         self.blank = self.b.piece_to_id(SPACE)
         self.transducer = Transducer((a_bytes, b_bytes))
+        self.names = [str(i) for i in range(len(a_bytes))], [f"|{i};" for i in range(len(b_bytes))]
         self.forget()
 
     def forget(self) -> None:
@@ -164,7 +157,7 @@ class Pair:
         for k, (u, own) in enumerate(zip(units, pieces, strict=True)):
             yield ids[ends[k] : ends[k + 1]], ([self.blank] if u == " " else own if u[0] == " " else own[1:])
 
-    def align(self, units: list[str]) -> list[Unit]:
+    def align(self, units: list[str]) -> list[tuple]:
         found = [*map(self.kept.get, units)]
         new = [i for i, x in enumerate(found) if x is None]
         for at in range(0, len(new), AT_ONCE):
@@ -173,23 +166,23 @@ class Pair:
                 found[i] = self._unit(units[i], a, b)
                 if self.room > 0:
                     self.kept[units[i]] = found[i]
-                    self.room -= len(units[i]) + len(found[i].links) + len(found[i].groups) + ENTRY_BYTES
+                    self.room -= len(units[i]) + len(found[i][3]) + len(found[i][4]) + ENTRY_BYTES
         return found
 
-    def _unit(self, text: str, a: list[int], b: list[int]) -> Unit:
-        tokens = self.transducer.tokens[0]
+    def _unit(self, text: str, a: list[int], b: list[int]) -> tuple:
+        tokens, (names, more) = self.transducer.tokens[0], self.names
         aligned = self.transducer.align(a, b) if b"".join([tokens[i] for i in a]) == text.encode() else None
         if aligned is None:
             return BROKEN
         links, ends = aligned
-        if len(ends) == 1:
-            groups = f"{','.join(map(str, a))}|{','.join(map(str, b))};"
-        else:
-            groups, i, j = "", 0, 0
-            for p, q in ends:
-                groups += f"{','.join(map(str, a[i:p]))}|{','.join(map(str, b[j:q]))};"
-                i, j = p, q
-        return Unit(len(a), len(b), len(ends), np.array([x << 32 | y for x, y in links], dtype=np.int64).tobytes(), groups.encode())
+        groups, i, j = "", 0, 0
+        for p, q in ends:
+            if p - i == 1 and q - j == 1:
+                groups += names[a[i]] + more[b[j]]
+            else:
+                groups += f"{','.join([names[x] for x in a[i:p]])}|{','.join(map(str, b[j:q]))};"
+            i, j = p, q
+        return len(a), len(b), len(ends), array("q", links).tobytes(), groups.encode()
 
 
 def cut_units(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
@@ -239,14 +232,14 @@ def align_slice(pair: Pair, texts: pa.Array, with_groups: bool) -> dict[str, pa.
         codes, offsets = codes[keep], np.concatenate(([0], np.cumsum(keep)))[offsets]
     out = {"n_a": _sums(n_a, codes, offsets), "n_b": _sums(n_b, codes, offsets), "n_groups": _sums(n_groups, codes, offsets)}
     # groups: one after another, each with its ";" but the last of a text
-    written = pa.array([u.groups for u in units], pa.large_binary()).take(pa.array(codes))
+    written = pa.array([u[4] for u in units], pa.large_binary()).take(pa.array(codes))
     ends = np.frombuffer(written.buffers()[1], dtype=np.int64)[offsets] if len(codes) else offsets
     flat = memoryview(written.buffers()[2]) if len(codes) else memoryview(b"")
     spans = [(s, e) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
     out["groups"] = pa.array([bytes(flat[s : e - 1]).decode() if e > s else "" for s, e in spans] if with_groups else [None] * len(spans), pa.string())
     out["groups_sha256"] = pa.array([hashlib.sha256(flat[s : e - 1]).hexdigest() if e > s else "" for s, e in spans], pa.string())
     # links: how often a text has each pair of tokens
-    links, at, lengths = _lists([u.links for u in units], np.int64)
+    links, at, lengths = _lists([u[3] for u in units], np.int64)
     keys, links = np.unique(links, return_inverse=True)
     of_word = lengths[codes]
     bounds = np.concatenate(([0], np.cumsum(of_word)))[offsets]

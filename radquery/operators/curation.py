@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radquery.functions.ranks import hashed, nth_by_hash
+from radquery.operators.keys import numbered
 from radquery.sources.scratch import stored
 
 #: What an image file's name ends in.
@@ -40,9 +41,29 @@ def cleaning_stats(index: DataFrame, key: Column, size: str) -> DataFrame:
 
 
 def label_ids(labels: DataFrame, label: str) -> DataFrame:
-    """(label, label_idx): places of the distinct labels in alphabetical order. Labels are few, and sorted as an array."""
-    every = labels.agg(F.array_sort(F.collect_set(label)).alias("a"))
-    return every.select(F.posexplode("a").alias("label_idx", label)).select(label, F.col("label_idx").cast("long"))
+    """(label, label_idx): places of the distinct labels in alphabetical order, however many there are. Null is no label."""
+    every = labels.select(label).where(F.col(label).isNotNull()).distinct()
+    return numbered(every, [F.col(label)], "label_idx").select(label, "label_idx")
+
+
+#: Labels that a join may broadcast.
+FEW_LABELS = 1_000_000
+
+
+def encoded(df: DataFrame, label: str, dictionary: DataFrame) -> DataFrame:
+    """Adds ``label_idx`` by a dictionary of ``label_ids``, which may be stored. A label that it lacks, or none, is an error."""
+    known = dictionary.select(F.col(label).alias("_label"), F.col("label_idx").alias("_idx"))
+    known = F.broadcast(known) if known.count() <= FEW_LABELS else known
+    unseen = F.raise_error(F.concat(F.lit("y contains previously unseen labels: "), F.coalesce(F.col(label).cast("string"), F.lit("None"))))
+    return df.join(known, F.col(label) == F.col("_label"), "left").withColumn("label_idx", F.coalesce("_idx", unseen)).drop("_label", "_idx")
+
+
+def decoded_labels(df: DataFrame, label: str, dictionary: DataFrame) -> DataFrame:
+    """Adds ``label`` to rows with ``label_idx``; an index that the dictionary lacks is an error."""
+    known = dictionary.select(F.col("label_idx").alias("_idx"), F.col(label).alias("_label"))
+    known = F.broadcast(known) if known.count() <= FEW_LABELS else known
+    unseen = F.raise_error(F.concat(F.lit("y contains previously unseen labels: "), F.coalesce(F.col("label_idx").cast("string"), F.lit("None"))))
+    return df.join(known, F.col("label_idx") == F.col("_idx"), "left").withColumn(label, F.coalesce("_label", unseen)).drop("_label", "_idx")
 
 
 def quotas(counts: DataFrame, label: str, size: Column) -> DataFrame:

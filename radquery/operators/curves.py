@@ -37,3 +37,25 @@ def early_stop(losses: Column, patience: int = 3) -> Column:
         return F.when(s["stopped"] > 0, s).otherwise(moved)
 
     return F.aggregate(losses, start, step, lambda s: F.struct(F.when(s["stopped"] > 0, s["stopped"]).otherwise(s["at"]).alias("stopped"), s["best"].alias("best")))
+
+
+def learning_rates(losses: Column, start: float = 1e-4, factor: float = 0.5, patience: int = 2, floor: float = 1e-7, least_change: float = 1e-4) -> Column:
+    """The rate of each epoch: after ``patience`` epochs without a loss lower by ``least_change`` it is cut by ``factor``, not
+    below ``floor``."""
+    nothing = F.expr("cast(array() as array<double>)")
+    first = F.struct(F.lit(float("inf")).alias("least"), F.lit(0).alias("waited"), F.lit(start).alias("rate"), nothing.alias("rates"))
+
+    def step(s: Column, x: Column) -> Column:
+        loss = x.cast("double")
+        better = loss < s["least"] - F.lit(least_change)
+        waited = F.when(better, 0).otherwise(s["waited"] + 1)
+        cut = (waited >= patience) & (s["rate"] > floor)
+        rate = F.when(cut, F.greatest(s["rate"] * F.lit(factor), F.lit(floor))).otherwise(s["rate"])
+        return F.struct(F.when(better, loss).otherwise(s["least"]).alias("least"), F.when(cut, 0).otherwise(waited).alias("waited"), rate.alias("rate"), F.array_append(s["rates"], s["rate"]).alias("rates"))
+
+    return F.aggregate(losses, first, step, lambda s: s["rates"])
+
+
+def checkpoint_epoch(accuracies: Column) -> Column:
+    """The epoch, from 1, of the model that is kept: the first one with the greatest validation accuracy."""
+    return F.array_position(accuracies, F.array_max(accuracies)).cast("int")

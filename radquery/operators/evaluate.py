@@ -17,13 +17,14 @@ def pairs(rows: DataFrame, actual: str, predicted: str, *sums: str) -> DataFrame
 
 
 def dense(found: DataFrame) -> DataFrame:
-    """``pairs``, also for classes that don't occur together, with 0 there. Classes are few, so the pairs are one row on the way."""
-    cells = found.agg(F.collect_list(F.struct(*found.columns)).alias("cells"))
-    classes = F.array_sort(F.array_distinct(F.concat(F.transform("cells", lambda c: c["actual"]), F.transform("cells", lambda c: c["predicted"]))))
-    grid = cells.select("cells", classes.alias("c")).select("cells", "c", F.explode("c").alias("actual")).select("cells", "actual", F.explode("c").alias("predicted"))
-    cell = F.filter("cells", lambda c: c["actual"].eqNullSafe(F.col("actual")) & c["predicted"].eqNullSafe(F.col("predicted")))
-    each = grid.select("actual", "predicted", F.try_element_at(cell, F.lit(1)).alias("cell"))
-    return each.select("actual", "predicted", *(F.coalesce(F.col(f"cell.{c}"), F.lit(0)).alias(c) for c in found.columns[2:]))
+    """``pairs``, also for classes that don't occur together, with 0 there: the classes crossed with themselves, which is as
+    many rows as the table has, and the pairs joined to that."""
+    found = stored(found, "pairs")
+    classes = stored(found.select(F.explode(F.array("actual", "predicted")).alias("actual")).distinct(), "classes")
+    grid = classes.crossJoin(classes.select(F.col("actual").alias("predicted")))
+    cells = found.select(*(F.col(c).alias(f"_{c}") for c in found.columns))
+    joined = grid.join(cells, F.col("actual").eqNullSafe(F.col("_actual")) & F.col("predicted").eqNullSafe(F.col("_predicted")), "left")
+    return joined.select("actual", "predicted", *(F.coalesce(F.col(f"_{c}"), F.lit(0)).alias(c) for c in found.columns[2:]))
 
 
 def confusion(rows: DataFrame, actual: str, predicted: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from radquery.functions.dims import DEFAULT_FINDINGS, DEFAULT_PRECAUTIONS, DEMO, FINDINGS, PRECAUTIONS, told
+from radquery.functions.dims import DEFAULT_FINDINGS, DEFAULT_PRECAUTIONS, DEMO, DISCLAIMER, FINDINGS, PRECAUTIONS, told
 from radquery.functions.numeric import pyround
 from radquery.operators.triage import percents, ranked, top, urgency
 
@@ -38,7 +38,7 @@ def predictions(rows: DataFrame, selected: Column | None = None, cnn_accuracy: C
     """
     none, selected = F.lit(None), F.lit(DEFAULT_MODEL) if selected is None else selected
     slots = rows.select(
-        "*",
+        *(c for c in rows.columns if c != "selected_model"),
         selected.alias("selected_model"),
         slot(F.col("cnn_probs"), none if cnn_accuracy is None else cnn_accuracy).alias("_cnn"),
         slot(F.col("resnet_probs"), none if resnet_accuracy is None else resnet_accuracy).alias("_resnet"),
@@ -59,5 +59,6 @@ def predictions(rows: DataFrame, selected: Column | None = None, cnn_accuracy: C
         "alternative_conditions": ranked(best["percents"], best["condition"]),
         "key_findings": told(best["condition"], FINDINGS, DEFAULT_FINDINGS),
         "precautions": told(best["condition"], PRECAUTIONS, DEFAULT_PRECAUTIONS),
+        "disclaimer": F.lit(DISCLAIMER),
     }
     return filled.withColumns(columns).drop("_cnn", "_resnet", "_final", "cnn_probs", "resnet_probs")

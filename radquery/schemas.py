@@ -14,6 +14,7 @@ MODEL_METRICS = (
     "confusion_matrix array<array<bigint>>, class_names array<string>, training_samples int, test_samples int, epochs int, trained_at timestamp, is_active boolean"
 )
 REPORTS = "id bigint, report_id string, prediction_id bigint, report_content string, generated_by string, reviewed_by string, review_notes string, is_reviewed boolean, created_at timestamp"
+REJECTIONS = "filename string, patient_id string, code int, reason string"
 DATASET_INDEX = "image_path string, label string, filename string, length bigint"
 _RESULT = f"model_name string, {_RATES}, confusion_matrix array<array<bigint>>, class_names array<string>, training_loss array<double>, validation_loss array<double>, training_accuracy array<double>, validation_accuracy array<double>"
 METRICS_DOCUMENT = ", ".join(f"{m} struct<{', '.join(f'{a}: {b}' for a, b in (x.split(' ', 1) for x in _RESULT.split(', ')))}>" for m in ("cnn", "resnet")) + ", selected_model string, class_names array<string>"

@@ -46,6 +46,8 @@ SLICE_BYTES = 2 << 20
 BANDS, BAND_HASHES, SKETCH_BITS, SKETCH_DIFFERENCE = 24, 3, 192, 40
 #: Nodes whose links a task remembers, to compare none exactly that hang together already.
 KNOWN_NODES = 1 << 20
+#: Rows at an anchor beyond which leaders come first, and how many.
+LEADER_ROWS, LEADERS = 64, 8
 
 
 def hashes(texts: pa.Array, shingle: int) -> tuple[np.ndarray, np.ndarray]:
@@ -164,27 +166,57 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes[other], nodes[root[other]]
 
 
-def _compare(batches, at_home, near):
+def _compare(batches, at_home, near, find=None):
     """Trees of the links at each anchor, from rows (anchor, part, node, ...) sorted by anchor and part; ``at_home`` and
-    ``near`` see lists of columns from the node on."""
+    ``near`` see lists of columns from the node on.
+
+    With ``find``, which names what a node hangs together with by the links so far, rows are at home everywhere, and an anchor
+    with more than LEADER_ROWS rows begins with leaders: one row is compared with all others, then one of those that it hasn't
+    reached, and so on. After that only rows that don't hang together are compared, so a group of copies costs a few times its
+    rows and not their square."""
     held: list[np.ndarray] = []
     edges: list[tuple[np.ndarray, np.ndarray]] = []
 
+    def found(x: list[np.ndarray], y: list[np.ndarray]) -> None:
+        linked = near(x, y)
+        edges.append((x[0][linked], y[0][linked]))
+        if sum(len(e[0]) for e in edges) > PAIRS_AT_ONCE:
+            edges[:] = [local_roots(*map(np.concatenate, zip(*edges, strict=True)))]
+
+    def lead(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """An order in which rows that hang together stand together, and where in it those after each row's own begin."""
+        left = np.arange(len(columns[0]))
+        for _ in range(LEADERS):
+            if len(left) < 2:
+                break
+            found([np.repeat(c[left[:1]], len(left) - 1) for c in columns], [c[left[1:]] for c in columns])
+            root = np.array([find(v) for v in columns[0][left].tolist()])
+            left = left[root != root[0]]
+        root = np.array([find(v) for v in columns[0].tolist()])
+        order = np.argsort(root, kind="stable")
+        return order, np.searchsorted(root[order], root[order], "right")
+
     def link(key: np.ndarray, anchor: np.ndarray, columns: list[np.ndarray]) -> None:
         ends = np.searchsorted(key, key, "right") if len(key) else key
+        after = np.arange(1, len(key) + 1)  # where those that a row is compared with begin
+        if find:
+            starts = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else key
+            for start in starts[ends[starts] - starts > LEADER_ROWS].tolist():
+                end = int(ends[start])
+                order, others = lead([c[start:end] for c in columns])
+                for c in columns:
+                    c[start:end] = c[start:end][order]
+                after[start:end] = start + others
         homes = np.flatnonzero(at_home(anchor, columns))
-        others = ends[homes] - homes - 1  # the later ones at the anchor
+        others = ends[homes] - after[homes]
         homes, others = homes[others > 0], others[others > 0]
         sums = np.cumsum(others)
         at = 0
         while at < len(homes):
             to = max(at + 1, int(np.searchsorted(sums, (sums[at - 1] if at else 0) + PAIRS_AT_ONCE, "right")))
             x = np.repeat(homes[at:to], others[at:to])
-            y = gather(np.arange(len(key)), homes[at:to] + 1, others[at:to])
-            linked = near([c[x] for c in columns], [c[y] for c in columns])
-            edges.append((columns[0][x[linked]], columns[0][y[linked]]))
-            if sum(len(e[0]) for e in edges) > PAIRS_AT_ONCE:
-                edges[:] = [local_roots(*map(np.concatenate, zip(*edges, strict=True)))]
+            y = gather(np.arange(len(key)), after[homes[at:to]], others[at:to])
+            found([c[x] for c in columns], [c[y] for c in columns])
             at = to
 
     for batch in batches:
@@ -193,16 +225,16 @@ def _compare(batches, at_home, near):
             columns = [np.concatenate([x, y]) for x, y in zip(held, columns, strict=True)]
         key = (columns[0].astype(np.int64) << 32) | columns[1]
         cut = int(np.searchsorted(key, key[-1])) if len(key) else 0
-        link(key[:cut], columns[0][:cut], [c[:cut] for c in columns[2:]])
+        link(key[:cut], columns[0][:cut], [c[:cut].copy() for c in columns[2:]])
         held = [c[cut:] for c in columns]
     if held:
-        link((held[0].astype(np.int64) << 32) | held[1], held[0], held[2:])
+        link((held[0].astype(np.int64) << 32) | held[1], held[0], [c.copy() for c in held[2:]])
     if edges:
         node, root = local_roots(*map(np.concatenate, zip(*edges, strict=True)))
         yield pa.record_batch([node, root], names=["a", "b"])
 
 
-def _links_at_anchors(table: DataFrame, spread, schema: str, order: list, at_home, near, hot_rows: int) -> DataFrame:
+def _links_at_anchors(table: DataFrame, spread, schema: str, order: list, at_home, near, hot_rows: int, find=None) -> DataFrame:
     """Edges (a, b) between nodes. ``spread`` makes rows (anchor, node, ...) from batches of the table."""
     copied = table.mapInArrow(spread, schema)
     node, *more = copied.columns[1:]
@@ -218,7 +250,7 @@ def _links_at_anchors(table: DataFrame, spread, schema: str, order: list, at_hom
         rows = rows.select("anchor", F.explode(pair).alias("part"), node, *more)
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part", *order)
-    return dealt.mapInArrow(lambda batches: _compare(batches, at_home, near), "a long, b long")
+    return dealt.mapInArrow(lambda batches: _compare(batches, at_home, near, find), "a long, b long")
 
 
 def links(distinct: DataFrame, distance: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -288,32 +320,33 @@ class _Exact:
     def shingles(self, file: int, at: int, n: int) -> np.ndarray:
         return np.frombuffer(_opened(f"{self.folder}/{file}").read_at(8 * n, 8 * at), dtype=np.uint64)
 
-    def linked(self, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
-        """``x`` and ``y`` have columns node, file, at and n; equal ``x`` stand together. Of pairs that hang together already,
-        false: of a group of copies the first is compared with each other one, and the rest is passed over at once."""
+    def begin(self) -> None:
+        """Another task's links aren't in this one's result, so a task begins with none."""
         task = TaskContext.get().taskAttemptId()
-        if task != self.task or len(self.root) > KNOWN_NODES:  # another task's links aren't in this one's result
+        if task != self.task or len(self.root) > KNOWN_NODES:
             self.root, self.task = {}, task
+
+    def linked(self, x: list[np.ndarray], y: list[np.ndarray]) -> np.ndarray:
+        """``x`` and ``y`` have columns node, file, at and n; equal ``x`` stand together. True for pairs that are alike and
+        didn't hang together before; those that do are passed over."""
+        self.begin()
         out = np.zeros(len(x[0]), dtype=bool)
         if not len(out):
             return out
         nodes, at = np.unique(np.concatenate([x[0], y[0]]), return_inverse=True)
-        group = np.unique([self.find(v) for v in nodes.tolist()], return_inverse=True)[1]
-        first, second = at[: len(out)], at[len(out) :]
-        starts = np.flatnonzero(np.append(True, first[1:] != first[:-1]))
-        for start, end in zip(starts.tolist(), [*starts[1:].tolist(), len(out)], strict=True):
-            mine, left = None, start + np.flatnonzero(group[second[start:end]] != group[first[start]])
-            while len(left):
-                i, left = int(left[0]), left[1:]
-                mine = self.shingles(*(int(c[i]) for c in x[1:])) if mine is None else mine
-                other = self.shingles(*(int(c[i]) for c in y[1:]))
-                both = int((other[np.minimum(np.searchsorted(other, mine), len(other) - 1)] == mine).sum())
-                if 5 * both >= 4 * (len(mine) + len(other) - both):
-                    a, b = self.find(int(x[0][i])), self.find(int(y[0][i]))
-                    self.root[max(a, b)] = min(a, b)
-                    out[i] = True
-                    group[group == group[second[i]]] = group[first[i]]
-                    left = left[group[second[left]] != group[first[i]]]
+        group = np.array([self.find(v) for v in nodes.tolist()])[at]
+        last, mine = None, None
+        for i in np.flatnonzero(group[: len(out)] != group[len(out) :]).tolist():
+            a, b = self.find(int(x[0][i])), self.find(int(y[0][i]))
+            if a == b:
+                continue
+            if x[0][i] != last:
+                last, mine = x[0][i], self.shingles(*(int(c[i]) for c in x[1:]))
+            other = self.shingles(*(int(c[i]) for c in y[1:]))
+            both = int((other[np.minimum(np.searchsorted(other, mine), len(other) - 1)] == mine).sum())
+            if 5 * both >= 4 * (len(mine) + len(other) - both):
+                self.root[max(a, b)] = min(a, b)
+                out[i] = True
         return out
 
 
@@ -348,7 +381,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
                 yield pa.record_batch([part.column(0), part.column(2), node, np.full(len(n), file), at + np.cumsum(n) - n, n, packed], names=["doc_id", "text_hash", "node", "file", "at", "n", "bits"])
                 at += int(n.sum())
 
-    checks = [f"c{i}" for i in range(SKETCH_BITS // 64)]
+    checks, exact = [f"c{i}" for i in range(SKETCH_BITS // 64)], _Exact(folder)
 
     def spread(batches):
         for batch in batches:
@@ -360,16 +393,17 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
                     anchor = (k << 26) | (words[:, k].view(np.uint64) >> np.uint64(38)).astype(np.int64)
                     yield pa.record_batch([anchor.astype(np.int32), *place, *words[:, BANDS:].T.copy()], names=["anchor", "node", "file", "at", "n", *checks])
 
-    def near(exact):
-        def run(x, y):
-            out = sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in zip(x[4:], y[4:], strict=True)) <= SKETCH_DIFFERENCE
-            out &= 5 * np.minimum(x[3], y[3]) >= 4 * np.maximum(x[3], y[3])
-            some = np.flatnonzero(out & (x[0] != y[0]))
-            out[:] = False
-            out[some] = exact.linked([c[some] for c in x[:4]], [c[some] for c in y[:4]])
-            return out
+    def near(x, y):
+        out = sum(np.bitwise_count((a ^ b).view(np.uint64)).astype(np.int64) for a, b in zip(x[4:], y[4:], strict=True)) <= SKETCH_DIFFERENCE
+        out &= 5 * np.minimum(x[3], y[3]) >= 4 * np.maximum(x[3], y[3])
+        some = np.flatnonzero(out & (x[0] != y[0]))
+        out[:] = False
+        out[some] = exact.linked([c[some] for c in x[:4]], [c[some] for c in y[:4]])
+        return out
 
-        return run
+    def find(node):
+        exact.begin()
+        return exact.find(node)
 
     hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
     table = write_table(hashed.mapInArrow(sketch, "doc_id long, text_hash long, node long, file long, at long, n long, bits binary"), "sketches")
@@ -377,7 +411,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
     distinct = write_table(table.groupBy("node").agg(first.alias("first"), F.min(F.struct("file", "at", "n", "bits")).alias("set")), "distinct-sketches")
     schema = "anchor int, node long, file long, at long, n long, " + ", ".join(f"{c} long" for c in checks)
     compared = distinct.where("set.n > 0").select("node", "set.file", "set.at", "set.n", "set.bits")
-    roots = components(_links_at_anchors(compared, spread, schema, ["node"], lambda anchor, columns: np.ones(len(anchor), dtype=bool), near(_Exact(folder)), hot_rows))
+    roots = components(_links_at_anchors(compared, spread, schema, ["node"], lambda anchor, columns: np.ones(len(anchor), dtype=bool), near, hot_rows, find))
     rooted = write_table(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted-sketches")
     smallest = write_table(rooted.groupBy("root").agg(F.min("first").alias("smallest")), "smallest-sketches")
     component = [F.coalesce("smallest.doc_id", "root").alias("component_id"), F.col("smallest.text_hash").alias("component_hash")]

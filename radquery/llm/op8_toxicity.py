@@ -10,8 +10,8 @@ either compressor takes from the first, lift the block over zstandard's fixed co
 on are those that several documents of its class have; the toxic one leaves out those that are about as frequent in ordinary
 documents, as toxic documents consist of ordinary words mostly.
 
-Only the fit sees labels. It takes about ``most`` documents of either class, by the hash of the id, with their whole texts;
-what is counted in them is counted by Spark, and the driver gets windows for the dictionaries (as many as fit into them), counts by pair
+Only the fit sees labels. It takes about ``most`` documents of either class, by a hash of id and text, with their whole texts;
+rows alike in both are one for it, so the bound holds for any repeats. What is counted in them is counted by Spark, and the driver gets windows for the dictionaries (as many as fit into them), counts by pair
 of lengths, and counts by rounded features. Null and empty texts get the score of a text without windows. Rows with equal ids
 are scored one by one; a document whose labels differ counts for both. Other labels than 0 and 1, null ones and rows without
 id are not learned from. Without labels of both classes every score is the share of toxic ones, or 0. Of further columns
@@ -32,8 +32,8 @@ from pyspark.sql import functions as F
 from radquery.llm.shared import share, write_table
 from radquery.llm.words import slices, split_words, texts_of
 
-#: Labelled documents of each class that the fit takes, about.
-MOST = 20_000
+#: Labelled documents of each class that the fit takes, about (each with the same chance, so a few hundred more or less).
+MOST, PLACES = 20_000, 1 << 60
 DICTIONARY_BYTES = 1 << 15
 #: Of zstandard's trainer: the length of the segments that it picks, and of the strings in them that it counts.
 SEGMENT, COUNTED = 64, 6
@@ -153,13 +153,16 @@ def train_dictionary(windows: list[tuple[str, int]]) -> bytes:
 def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     """From labelled documents (doc_id, text) and (doc_id, toxic). One half makes the dictionaries, the other calibrates."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
-    n = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("_id"), F.lit(1 << 60))
-    limit = {k: int((1 << 60) * min(1.0, most / max(1, n.get(k, 0)))) for k in (0, 1)}
-    chosen = write_table(known.where(place < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])), "chosen-labels")
-    half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int")
-    rows = docs.select("doc_id", "text").join(chosen, F.col("doc_id") == F.col("_id")).select("text", "toxic", half.alias("half"))
-    rows = write_table(rows, "labelled")  # bounded by ``most`` and repeats of ids; it is read three times
+    # Documents alike in id and text are one place here, so neither a frequent id nor a repeated row makes the fit larger.
+    placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES)).alias("place"))
+    half = F.pmod(F.xxhash64("_id", F.lit("half")), F.lit(2)).cast("int").alias("half")
+    named = placed.select("doc_id", "place").join(write_table(known, "known-labels"), F.col("doc_id") == F.col("_id"))
+    places = write_table(named.select("place", "toxic", half).distinct(), "labelled-places")
+    n = {r["toxic"]: r["n"] for r in places.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    limit = {k: int(PLACES * min(1.0, most / max(1, n.get(k, 0)))) for k in (0, 1)}
+    chosen = write_table(places.where(F.col("place") < F.when(F.col("toxic") == 1, limit[1]).otherwise(limit[0])), "chosen-places")
+    rows = placed.join(F.broadcast(chosen), "place").select("text", "toxic", "half", "place").dropDuplicates(["place", "toxic"]).drop("place")
+    rows = write_table(rows, "labelled")  # about ``most`` of either class; it is read three times
 
     def counted(batches):
         for part in (p for b in batches for p in slices(b, most=SCORE_BYTES)):

@@ -351,6 +351,24 @@ def test_near_copies(spark, odd):
     assert sim.near_copies(odd.limit(0)).count() == 0
 
 
+def test_near_copies_of_large_groups(spark):
+    """Two large groups of one similarity within, of texts that share bands between them too, and what stands alone."""
+    rng, rows = random.Random(3), []
+    base = [f"w{i}" for i in range(200)]
+    for group in (0, 1):
+        middle = base[:150] + [f"g{group}_{i}" for i in range(50)]  # three quarters are alike between both
+        for i in range(1500):
+            w = list(middle)
+            for k in range(2):
+                w[rng.randrange(200)] = f"x{group}_{i}_{k}"
+            rows.append((group * 1500 + i, " ".join(w)))
+    rows += [(3000 + i, " ".join(f"alone{i}_{k}" for k in range(50))) for i in range(20)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for hot_rows in (50_000, 200):
+        got = {r["doc_id"]: r["component_id"] for r in sim.near_copies(df, hot_rows=hot_rows).collect()}
+        assert got == {i: 1500 * (i // 1500) if i < 3000 else i for i, _ in rows}
+
+
 def test_near_copies_of_block_edits(spark):
     rng = random.Random(11)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(20_000)]
@@ -564,6 +582,23 @@ def test_toxicity_held_out(spark):
     assert len(wrong) <= 4
 
 
+def test_toxicity_fit_is_bounded_by_distinct_documents(spark, monkeypatch):
+    """One id, and one row, are repeated a hundred thousand times; the fit gets each of them once, and no more than about ``most``."""
+    many = spark.range(100_000).selectExpr("1L as doc_id", "'the same ordinary words' as text")
+    texts = spark.range(3000).selectExpr("2L as doc_id", "concat('text number ', id, ' of one id') as text")
+    rest = spark.range(10, 2010).selectExpr("id as doc_id", "if(id % 2 = 0, concat('blorgix quomp ', id), concat('fine words ', id)) as text")
+    truth = spark.range(10, 2010).selectExpr("id as doc_id", "cast(id % 2 = 0 as int) as toxic").union(spark.createDataFrame([(1, 0), (2, 0)], "doc_id long, toxic int"))
+    tables = {}
+    plain = toxicity.write_table
+    monkeypatch.setattr(toxicity, "write_table", lambda df, name, *a: tables.setdefault(name, plain(df, name, *a)))
+    model = toxicity.learn(many.union(texts).union(rest), truth, most=500)
+    sizes = {r["toxic"]: r["n"] for r in tables["labelled"].groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    assert 400 < sizes[0] < 600 and 400 < sizes[1] < 600
+    assert tables["labelled"].where("text = 'the same ordinary words'").count() <= 1
+    got = {r["doc_id"]: r["score"] for r in toxicity.score(rest, model).collect()}
+    assert sum((got[i] >= 0.5) == (i % 2 == 0) for i in got) > 1900
+
+
 def test_toxicity_scores_are_those_of_compressing_word_by_word(spark, documents):
     rng = random.Random(3)
     truth = spark.read.parquet(f"{DATA}/labels.parquet")

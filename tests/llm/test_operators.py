@@ -750,3 +750,39 @@ def test_every_query_keeps_every_row(spark, documents):
     total = documents.count()
     for name in ("op1_lm_score", "op5_quality", "op8_toxicity", "op10_language", "op7_arrow_files"):
         assert registry.queries()[name](spark, DATA).count() == total
+
+
+def test_language_of_a_long_text_in_blocks(spark, monkeypatch):
+    rng = random.Random(6)
+    parts = {"aa": ["th", "er", "on", "an"], "bb": ["zu", "ix", "qo", "wk"], "cc": ["ma", "li", "no", "ta"]}
+    model = language.train(spark.createDataFrame([(prose(rng, p, 200), k) for k, p in parts.items() for _ in range(4)], "text string, lang string"))
+    text = " ".join(prose(rng, parts[k], rng.randrange(5, 60)) for k in rng.choices([*parts], k=60))
+    codes, offsets, distinct = language.split_words(pa.array([text]))
+    script = language.word_scripts(distinct.to_pylist())
+    whole = language.viterbi(language._emissions(model, distinct, script, 4.0), codes, offsets, 6.0)
+    for block in (1, 7, 100, len(codes)):
+        assert np.array_equal(language.long_path(model, codes, distinct, script, 4.0, 6.0, block), whole)
+    rows = spark.createDataFrame([(1, text), (2, "thon")], "doc_id long, text string")
+    want = sorted(map(tuple, language.identify(rows, model).collect()))
+    monkeypatch.setattr(language, "LONG", 50)
+    monkeypatch.setattr(language, "SLICE_BYTES", 1)
+    assert sorted(map(tuple, language.identify(rows, model).collect())) == want
+
+
+def test_many_languages(spark, monkeypatch):
+    """More than a task counts at once, and more than are allowed."""
+    rng = random.Random(7)
+    names = [f"l{k:03d}" for k in range(150)]
+    parts = {k: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=3)) for _ in range(4)] for k in names}
+    train = spark.createDataFrame([(prose(rng, parts[k], 60), k) for _ in range(2) for k in names], "text string, lang string").repartition(2)
+    model = language.train(train)
+    assert model.languages == names and model.weights.shape == (1 << language.BUCKET_BITS, 150)
+    assert np.allclose(np.exp(model.weights.astype(float)).sum(0), 1, atol=1e-3)
+    monkeypatch.setattr(language, "HELD_LANGUAGES", 7)
+    assert np.array_equal(language.train(train).weights, model.weights)
+    test = spark.createDataFrame([(i, prose(rng, parts[k], 40)) for i, k in enumerate(names)], "doc_id long, text string")
+    got = {r["doc_id"]: r["lang_pred"] for r in language.identify(test, model, with_spans=False).collect()}
+    assert sum(got[i] == k for i, k in enumerate(names)) > 140
+    monkeypatch.setattr(language, "MOST_LANGUAGES", 149)
+    with pytest.raises(ValueError, match="149 languages"):
+        language.train(train)

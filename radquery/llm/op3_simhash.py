@@ -166,14 +166,14 @@ def local_roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
             return nodes[other], nodes[root[other]]
 
 
-def _compare(batches, at_home, near, find=None):
+def _compare(batches, at_home, near, find=None, center=None):
     """Trees of the links at each anchor, from rows (anchor, part, node, ...) sorted by anchor and part; ``at_home`` and
     ``near`` see lists of columns from the node on.
 
     With ``find``, which names what a node hangs together with by the links so far, rows are at home everywhere, and an anchor
-    with more than LEADER_ROWS rows begins with leaders: one row is compared with all others, then one of those that it hasn't
-    reached, and so on. After that only rows that don't hang together are compared, so a group of copies costs a few times its
-    rows and not their square."""
+    with more than LEADER_ROWS rows begins with leaders: the row that ``center`` chooses is compared with all others, then one of
+    those that it hasn't reached, and so on. After that only rows that don't hang together are compared, so a group of copies
+    costs a few times its rows and not their square."""
     held: list[np.ndarray] = []
     edges: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -189,9 +189,11 @@ def _compare(batches, at_home, near, find=None):
         for _ in range(LEADERS):
             if len(left) < 2:
                 break
-            found([np.repeat(c[left[:1]], len(left) - 1) for c in columns], [c[left[1:]] for c in columns])
+            own = center([c[left] for c in columns])
+            others = np.delete(left, own)
+            found([np.repeat(c[left[own]], len(others)) for c in columns], [c[others] for c in columns])
             root = np.array([find(v) for v in columns[0][left].tolist()])
-            left = left[root != root[0]]
+            left = left[root != root[own]]
         root = np.array([find(v) for v in columns[0].tolist()])
         order = np.argsort(root, kind="stable")
         return order, np.searchsorted(root[order], root[order], "right")
@@ -234,7 +236,7 @@ def _compare(batches, at_home, near, find=None):
         yield pa.record_batch([node, root], names=["a", "b"])
 
 
-def _links_at_anchors(table: DataFrame, spread, schema: str, order: list, at_home, near, hot_rows: int, find=None) -> DataFrame:
+def _links_at_anchors(table: DataFrame, spread, schema: str, order: list, at_home, near, hot_rows: int, find=None, center=None) -> DataFrame:
     """Edges (a, b) between nodes. ``spread`` makes rows (anchor, node, ...) from batches of the table."""
     copied = table.mapInArrow(spread, schema)
     node, *more = copied.columns[1:]
@@ -250,7 +252,7 @@ def _links_at_anchors(table: DataFrame, spread, schema: str, order: list, at_hom
         rows = rows.select("anchor", F.explode(pair).alias("part"), node, *more)
     tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part", *order)
-    return dealt.mapInArrow(lambda batches: _compare(batches, at_home, near, find), "a long, b long")
+    return dealt.mapInArrow(lambda batches: _compare(batches, at_home, near, find, center), "a long, b long")
 
 
 def links(distinct: DataFrame, distance: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -401,6 +403,11 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
         out[some] = exact.linked([c[some] for c in x[:4]], [c[some] for c in y[:4]])
         return out
 
+    def center(columns):
+        """The row whose bits are nearest to what most rows have: of copies of one text, that text."""
+        bits = np.unpackbits(np.ascontiguousarray(np.stack(columns[4:], 1)).view(np.uint8), axis=1)
+        return int(np.count_nonzero(bits != (2 * bits.sum(0, dtype=np.int64) > len(bits)), axis=1).argmin())
+
     def find(node):
         exact.begin()
         return exact.find(node)
@@ -411,7 +418,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
     distinct = write_table(table.groupBy("node").agg(first.alias("first"), F.min(F.struct("file", "at", "n", "bits")).alias("set")), "distinct-sketches")
     schema = "anchor int, node long, file long, at long, n long, " + ", ".join(f"{c} long" for c in checks)
     compared = distinct.where("set.n > 0").select("node", "set.file", "set.at", "set.n", "set.bits")
-    roots = components(_links_at_anchors(compared, spread, schema, ["node"], lambda anchor, columns: np.ones(len(anchor), dtype=bool), near, hot_rows, find))
+    roots = components(_links_at_anchors(compared, spread, schema, ["node"], lambda anchor, columns: np.ones(len(anchor), dtype=bool), near, hot_rows, find, center))
     rooted = write_table(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted-sketches")
     smallest = write_table(rooted.groupBy("root").agg(F.min("first").alias("smallest")), "smallest-sketches")
     component = [F.coalesce("smallest.doc_id", "root").alias("component_id"), F.col("smallest.text_hash").alias("component_hash")]

@@ -11,7 +11,8 @@ these blocks have, if there are any. Of places with the same seed and the same w
 
 Seeds and words of the benchmark are broadcast while both are below a limit; else Spark chooses how to join the stored tables.
 
-Null texts and items under ``LEAST`` words, which are no passage, hold nothing and are found nowhere. Rows with equal ids but
+Null texts and wordless items hold nothing and are found nowhere; nor are items under ``least`` words, which are no passage as
+it is four, but every item is looked for where it is one. Rows with equal ids but
 different texts are separate documents or items; rows with equal texts are found alike. Of further columns nothing is read.
 Empty tables: no rows.
 """
@@ -27,7 +28,7 @@ from radquery.llm.shared import small, write_table
 MASKS = ((0, 1, 4, 6, 7), (0, 1, 3, 6, 7))
 PLACES = sorted({x for m in MASKS for x in m})
 SPAN, WINDOW, SIMILARITY = 8, 13, 0.8
-#: Items under MASKED words have seeds of whole blocks, and those under LEAST none.
+#: Items under MASKED words have seeds of whole blocks; those under LEAST have none, where no other bound is given.
 MASKED, LEAST = 12, 4
 #: Words of an item whose hits on one diagonal are verified together.
 BLOCK = 64
@@ -54,16 +55,16 @@ def _block_seed(words: list[Column]) -> Column:
     return F.xxhash64(F.lit(-len(words)), *words)
 
 
-def block_seeds(texts: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """(item, seed, item_place, words) of the blocks of items from LEAST to MASKED - 1 words, from columns item, item_words."""
+def block_seeds(texts: DataFrame, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
+    """(item, seed, item_place, words) of the blocks of items from ``least`` to MASKED - 1 words, from columns item, item_words."""
     out = []
-    for n in range(LEAST, MASKED):
+    for n in range(max(1, least), MASKED):
         blocks = n - _least(n, similarity) + 1
         bounds = [n * j // blocks for j in range(blocks + 1)]
         for a, b in zip(bounds, bounds[1:], strict=False):
             seed = F.struct(_block_seed([F.col("item_words")[i] for i in range(a, b)]).alias("seed"), F.lit(a).alias("item_place"), F.lit(b - a).alias("words"))
             out.append(F.when(F.size("item_words") == n, seed))
-    return texts.where(F.size("item_words").between(LEAST, MASKED - 1)).select("item", "item_words", F.explode(F.array_compact(F.array(*out))).alias("_s")).select("item", "item_words", "_s.*")
+    return texts.where(F.size("item_words").between(max(1, least), MASKED - 1)).select("item", "item_words", F.explode(F.array_compact(F.array(*out))).alias("_s")).select("item", "item_words", "_s.*")
 
 
 def _least(n: int, similarity: float) -> int:
@@ -80,12 +81,12 @@ def with_block_seeds(df: DataFrame, lengths: list[int]) -> DataFrame:
     return each.select(*keys, F.explode(F.array_compact(seeds)).alias("seed"), "place")
 
 
-def _verified(docs: DataFrame, items: DataFrame, window: int, similarity: float, per_item: bool) -> DataFrame:
+def _verified(docs: DataFrame, items: DataFrame, window: int, similarity: float, per_item: bool, least: int) -> DataFrame:
     """doc_id, text_hash, item, start_word, same (by word whether it agrees) and window_matches of hits that are an overlap."""
     texts = items.dropDuplicates(["item"])
     near = window - 1  # a window with the hit reaches so far at most
     masked = with_seeds(texts.where(F.size("item_words") >= MASKED).select("item", "item_words", F.col("item_words").alias("words"))).withColumnRenamed("place", "item_place")
-    short = write_table(block_seeds(texts, similarity), "block-seeds")
+    short = write_table(block_seeds(texts, similarity, least), "block-seeds")
     lengths = sorted(r["words"] for r in short.select("words").distinct().collect())  # MASKED at most
     seeds = masked.select("item", "item_words", "seed", "item_place").unionByName(short.drop("words"))
     before = F.least(F.col("item_place"), F.lit(near))
@@ -127,21 +128,21 @@ def _items(benchmark: DataFrame) -> DataFrame:
     return write_table(benchmark.select("item_id", F.xxhash64("text").alias("item"), word_hashes(F.col("text")).alias("item_words")), "items")
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
     """doc_id, text_hash, item_id, start_word (the document's word that the item's first lies against; negative if it begins
     before the document), and of the place with most matches: overlap_words, matched_words, and window_matches, the most in
     any window."""
     items = _items(benchmark)
-    there = _verified(docs, items, window, similarity, True)
+    there = _verified(docs, items, window, similarity, True, least)
     best = F.max(F.struct("window_matches", F.aggregate("same", F.lit(0), lambda s, x: s + x).alias("matched_words"), (-F.col("start_word")).alias("before"), F.size("same").alias("overlap_words"))).alias("b")
     found = write_table(there.groupBy("doc_id", "text_hash", "item").agg(best), "leaks-by-item")
     found = found.join(items.select("item", "item_id"), "item")
     return found.select("doc_id", "text_hash", "item_id", (-F.col("b.before")).alias("start_word"), "b.overlap_words", "b.matched_words", "b.window_matches")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, similarity: float = SIMILARITY, least: int = LEAST) -> DataFrame:
     """The documents in which no item is found, with all their columns."""
-    there = _verified(docs, _items(benchmark), window, similarity, False)
+    there = _verified(docs, _items(benchmark), window, similarity, False, least)
     leaks = write_table(there.select(F.col("doc_id").alias("_doc"), F.col("text_hash").alias("_hash")).distinct(), "leaks")
     return docs.join(small(leaks), docs["doc_id"].eqNullSafe(leaks["_doc"]) & (F.xxhash64(docs["text"]) == leaks["_hash"]), "left_anti")
 

@@ -224,6 +224,13 @@ def test_short_items_by_every_substitution_that_the_rule_allows(spark):
     assert {r["doc_id"] for r in leak.decontaminate(df, bench).collect()} == {i for i, _, _, want in docs if not want}
 
 
+def test_items_of_few_words_are_found_on_request(spark):
+    bench = spark.createDataFrame([(1, "Omega"), (2, "two words"), (3, "just three words"), (4, "one two three four"), (5, "")], "item_id long, text string")
+    df = spark.createDataFrame([(1, "alpha, omega!"), (2, "the two words"), (3, "just three words here"), (4, "one two three four"), (5, "just other words")], "doc_id long, text string")
+    found = lambda **more: sorted((r["doc_id"], r["item_id"]) for r in leak.find_leaks(df, bench, **more).collect())
+    assert found() == [(4, 4)] and found(least=1) == [(1, 1), (2, 2), (3, 3), (4, 4)] and found(least=3) == [(3, 3), (4, 4)]
+
+
 def test_leaks_odd_rows(spark, odd):
     bench = odd.select(F.col("doc_id").alias("item_id"), "text")
     assert {r["doc_id"] for r in leak.find_leaks(odd, bench).collect()} == {6, None}
@@ -369,6 +376,19 @@ def test_near_copies_of_large_groups(spark):
         assert got == {i: 1500 * (i // 1500) if i < 3000 else i for i, _ in rows}
 
 
+def test_near_copies_that_only_their_origin_links(spark):
+    """Copies that are alike to one text at 0.8, and to each other less."""
+    rng, base = random.Random(8), [f"w{i}" for i in range(104)]
+    rows = [(7777, " ".join(base))]
+    for i in range(2000):
+        w = list(base)
+        for at in rng.choice([[30], [70], [50], [20, 22], [80, 83]]):
+            w[at] = f"x{i}"
+        rows.append((i, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert {r["component_id"] for r in sim.near_copies(df).collect()} == {0}
+
+
 def test_near_copies_of_block_edits(spark):
     rng = random.Random(11)
     vocabulary = ["".join(rng.choices("abcdefghij", k=rng.randint(2, 7))) for _ in range(20_000)]

@@ -20,18 +20,16 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.ipc as ipc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from radquery.llm.shared import AtomicFile, new_dir, open_mapped
+from radquery.llm.shared import AtomicFile, files_for, new_dir, open_mapped, write_table
 from radquery.llm.token_ids import encoding
 from radquery.llm.words import slices
 
 MANIFEST = "shard long, documents long, tokens long, path string"
 INDEX = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())])
 ROWS_PER_BATCH = 64
-#: Text for each shard, about.
-SHARD_BYTES = 16 << 20
 #: Text that is encoded at once.
 SLICE_BYTES = 8 << 20
 
@@ -45,7 +43,7 @@ def write_shards(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 1,
     """Writes the files and returns a manifest row for each shard; an action on it does the work, once. Without ``shards`` their
     number follows the bytes of text."""
     size = docs.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0 if shards is None else 0
-    shards = shards or max(1, -(-size // SHARD_BYTES))
+    shards = shards or files_for(size)
     with encoding(tokenizer) as encoder:
         narrow = max(encoder.largest_id, end_id) < 1 << 16
     types = {"input_ids": pa.uint16() if narrow else pa.uint32(), "mask": pa.bool_()}
@@ -109,15 +107,13 @@ class Shard:
             start, n = start + len(part), n - len(part)
 
 
-def read_shards(spark: SparkSession, manifest: list) -> DataFrame:
+def read_shards(manifest: DataFrame) -> DataFrame:
     """One row per document from the files: doc_id, start (ids of all documents before it), n_tokens, ids_crc32.
 
-    ``manifest``: the rows of ``write_shards``, as many as there are shards.
+    ``manifest``: the rows of ``write_shards``, stored; what comes before a shard is a running total over them.
     """
-    rows, base = [], 0
-    for shard in sorted(manifest, key=lambda r: r["shard"]):
-        rows.append((base, shard["path"]))
-        base += shard["tokens"]
+    before = F.sum("tokens").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1))  # a row for each file
+    rows = manifest.select(F.coalesce(before, F.lit(0)).alias("base"), "path")
 
     def read(batches):
         for base, path in ((b, p) for batch in batches for b, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
@@ -131,8 +127,7 @@ def read_shards(spark: SparkSession, manifest: list) -> DataFrame:
                         crc[i] = zlib.crc32(ids.astype(np.uint32), crc[i])
                 yield pa.record_batch([part.column(0), base + starts, counts, crc], names=["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    files = spark.createDataFrame(rows, "base long, path string").repartition(max(1, len(rows)))
-    return files.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return rows.repartition(max(1, manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op7_arrow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -141,4 +136,4 @@ def op7_arrow_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     manifest = write_shards(docs, new_dir(spark, "token-files"), public_tokenizers.path("word_bpe_49k.json"))
-    return read_shards(spark, manifest.collect())
+    return read_shards(write_table(manifest, "manifest"))

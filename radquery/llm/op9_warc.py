@@ -21,9 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from radquery.llm.shared import AtomicFile, filesystem, new_dir, write_table
+from radquery.llm.shared import AtomicFile, filesystem, files_for, new_dir, write_table
 
 CHUNK_BYTES = 1 << 18
+#: What a record has besides its payload, about.
+HEADER_BYTES = 400
 CHUNKS = "record long, page_id long, url string, chunk int, data binary, payload_bytes long, payload_digest string, last boolean"
 #: A fixed date keeps a file the same when its task runs again.
 DATE = "2000-01-01T00:00:00Z"
@@ -84,7 +86,9 @@ def _header(kind: str, lines: list[str], http: bytes, payload: int) -> bytes:
 
 def write_archives(chunks: DataFrame, records: DataFrame, folder: str, files: int | None = None) -> DataFrame:
     """Writes gzip archives, a member for each record, and returns a row (path, records) for each; an action does the work."""
-    files = files or int(chunks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if files is None:  # by the bytes of the payloads that are written
+        size = records.agg(F.sum(F.when(F.col("refers_to").isNull(), F.col("payload_bytes"))).alias("n"), F.count("*").alias("records")).first()
+        files = files_for((size["n"] or 0) + HEADER_BYTES * size["records"])
     heads = records.select("record", F.lit(-1).alias("chunk"), "page_id", "url", "payload_bytes", "payload_digest", "refers_to", "refers_record", F.lit(None).cast("binary").alias("data"))
     bodies = chunks.select("record", "chunk", *(F.lit(None).cast(t).alias(n) for n, t in (("page_id", "long"), ("url", "string"), ("payload_bytes", "long"), ("payload_digest", "string"), ("refers_to", "long"), ("refers_record", "long"))), "data")
     rows = heads.union(bodies).repartition(files, "record").sortWithinPartitions("record", "chunk")
@@ -151,8 +155,8 @@ def _fields(head: bytes) -> dict[str, str]:
     return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in head.decode().split("\r\n")[1:])}
 
 
-def read_archives(spark: SparkSession, paths: list[str], with_data: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """The chunk rows of all records: page_id, url, record_type, refers_to, chunk, data, payload_bytes and payload_digest so
+def read_archives(archives: DataFrame, with_data: bool = True, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """From archives' paths, stored, the chunk rows of all records: page_id, url, record_type, refers_to, chunk, data, payload_bytes and payload_digest so
     far, last. A revisit has one row without data, whose length and digest are those that its headers state."""
 
     def read(batches):
@@ -195,14 +199,13 @@ def read_archives(spark: SparkSession, paths: list[str], with_data: bool = True,
                 if rows:
                     yield batch(rows)
 
-    files = spark.createDataFrame([(p,) for p in paths], "path string").repartition(max(1, len(paths)))
-    return files.mapInArrow(read, "page_id long, url string, record_type string, refers_to long, chunk int, data binary, payload_bytes long, payload_digest string, last boolean")
+    return archives.select("path").repartition(max(1, archives.count())).mapInArrow(read, "page_id long, url string, record_type string, refers_to long, chunk int, data binary, payload_bytes long, payload_digest string, last boolean")
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = write_table(chunk_records(spark.read.parquet(f"{sf_dir}/pages.parquet")), "chunks")
     archives = write_archives(chunks, find_revisits(chunks), new_dir(spark, "archives"))
-    read = read_archives(spark, [r["path"] for r in archives.collect()], with_data=False)
+    read = read_archives(write_table(archives, "archives"), with_data=False)
     return read.where("last").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 

@@ -75,6 +75,11 @@ def small(table: DataFrame) -> DataFrame:
     return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
 
 
+def files_for(size: int, least: int = 16 << 20, most: int = 1 << 30, many: int = 4096) -> int:
+    """The number of files for so many bytes. A file has ``least`` bytes, about; beyond ``many`` files it has more, up to ``most``."""
+    return max(1, -(-size // min(most, max(least, size // many))))
+
+
 def is_local(uri: str) -> bool:
     return urlsplit(uri).scheme in ("", "file")
 

@@ -28,7 +28,7 @@ from radquery.llm import op9_warc as warc
 from radquery.llm import op10_language as language
 from radquery.llm import registry
 from radquery.llm.components import components
-from radquery.llm.shared import new_dir
+from radquery.llm.shared import files_for, new_dir
 from tests.conftest import DATA, same_rows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -497,7 +497,7 @@ def test_packed_sequences_keep_equal_and_missing_ids(spark):
 def test_token_files(spark, odd):
     folder = new_dir(spark, "test")
     manifest = files.write_shards(odd, folder, TOKENIZER, length=64, shards=3).collect()
-    rows = files.read_shards(spark, manifest).collect()
+    rows = files.read_shards(spark.createDataFrame(manifest, files.MANIFEST)).collect()
     want = collections.Counter((i, len(x), zlib.crc32(x.tobytes())) for i, x in ((i, token_ids(t)) for i, t in ODD))
     assert collections.Counter((r["doc_id"], r["n_tokens"], r["ids_crc32"]) for r in rows) == want
     at = 0
@@ -510,7 +510,7 @@ def test_token_files(spark, odd):
         data = ipc.open_file(pa.memory_map(f"{shard['path']}.arrow"))
         masks = np.concatenate([np.array(data.get_batch(k).column(1).flatten()) for k in range(data.num_record_batches)])
         assert masks.sum() == shard["tokens"] and all(len(x) == 64 for k in range(data.num_record_batches) for x in data.get_batch(k).column(0))
-    assert files.read_shards(spark, files.write_shards(odd.limit(0), new_dir(spark, "test"), TOKENIZER).collect()).count() == 0
+    assert files.read_shards(files.write_shards(odd.limit(0), new_dir(spark, "test"), TOKENIZER)).count() == 0
 
 
 def test_sequences_are_views_of_the_mapped_file(spark, documents):
@@ -741,7 +741,7 @@ def test_warc_round_trip(spark):
     chunks = write_table(chunks, "chunks")
     made = warc.write_archives(chunks, warc.find_revisits(chunks), new_dir(spark, "archives"), 3).collect()
     assert sum(r["records"] for r in made) == len(rows)
-    read = warc.read_archives(spark, [r["path"] for r in made], chunk_bytes=700)
+    read = warc.read_archives(spark.createDataFrame(made), chunk_bytes=700)
     got = collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in read.where("last").collect())
     first = {}
     for p, _, h in rows:
@@ -761,6 +761,11 @@ def test_warc_round_trip(spark):
 def test_warc_empty_table(spark):
     pages = spark.createDataFrame([], "page_id long, url string, html string")
     assert warc.chunk_records(pages).count() == 0
+    chunks = warc.chunk_records(pages)
+    archives = warc.write_table(warc.write_archives(chunks, warc.find_revisits(chunks), new_dir(spark, "archives")), "archives")
+    assert archives.count() <= 1 and warc.read_archives(archives).count() == 0
+    nothing = archives.where("false")
+    assert warc.read_archives(nothing).count() == 0
 
 
 # ---- all ------------------------------------------------------------------------------------------------------------
@@ -806,3 +811,10 @@ def test_many_languages(spark, monkeypatch):
     monkeypatch.setattr(language, "MOST_LANGUAGES", 149)
     with pytest.raises(ValueError, match="149 languages"):
         language.train(train)
+
+
+def test_files_follow_bytes():
+    sizes = [0, 1, 1 << 24, 1 << 30, 100 << 30, 1 << 40, 100 << 40]
+    numbers = [files_for(n) for n in sizes]
+    assert numbers == sorted(numbers) and numbers[:4] == [1, 1, 1, 64] and numbers[5] <= 4097 and numbers[6] == 100 << 10
+    assert all(n / k <= 1 << 30 for n, k in zip(sizes, numbers, strict=True))

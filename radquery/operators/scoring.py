@@ -6,6 +6,7 @@ from typing import Protocol
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,10 +20,15 @@ class Scorer(Protocol):
         """Adds ``probs``: array<struct<cls, p>> in class order."""
 
 
+def _means(train: DataFrame, features: str, label: str) -> DataFrame:
+    """(label, mean): a vector for each class, added up as vectors, whatever their length. Rows without features don't count."""
+    vector = array_to_vector(F.col(features).cast("array<double>"))
+    return train.where(F.col(features).isNotNull()).groupBy(label).agg(vector_to_array(Summarizer.mean(vector)).alias("mean"))
+
+
 def centroids(train: DataFrame, features: str, label: str) -> DataFrame:
     """(label, dim, mean): as many rows as classes times dimensions."""
-    each = train.select(label, F.posexplode(features).alias("dim", "value"))
-    return each.groupBy(label, "dim").agg(F.avg(F.col("value").cast("double")).alias("mean"))
+    return _means(train, features, label).select(label, F.posexplode("mean").alias("dim", "mean"))
 
 
 class CentroidScorer:
@@ -32,8 +38,7 @@ class CentroidScorer:
         self.features, self.label, self.dims = features, label, dims
 
     def fit(self, train: DataFrame) -> CentroidScorer:
-        means = centroids(train, self.features, self.label).where(F.col("dim") < self.dims)
-        each = means.groupBy(self.label).agg(F.transform(F.array_sort(F.collect_list(F.struct("dim", "mean"))), lambda s: s["mean"]).alias("center"))
+        each = _means(train, self.features, self.label).select(self.label, F.slice("mean", 1, self.dims).alias("center"))
         self.model = each.agg(F.array_sort(F.collect_list(F.struct(F.col(self.label).alias("cls"), "center"))).alias("_model"))  # one row
         return self
 

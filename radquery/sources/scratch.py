@@ -6,7 +6,9 @@ unset, and Spark runs in local mode, a temporary folder takes its place.
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 from urllib.parse import urlsplit
@@ -22,6 +24,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all nodes share")
     base = tempfile.mkdtemp(prefix="radquery-shared-")
+    atexit.register(shutil.rmtree, base, ignore_errors=True)  # results read it until the process ends
     spark.conf.set("spark.checkpoint.dir", base)
     spark.sparkContext.setCheckpointDir(base)
     return base

@@ -58,6 +58,15 @@ def test_urgency_limits_are_strict(spark):
     assert df.where(triage.urgency(F.col("c"), F.col("p")) != F.col("want")).count() == 0
 
 
+@pytest.mark.parametrize("places", [1, 2, 4, 6])
+def test_rounding_is_that_of_python(spark, places):
+    rng = np.random.default_rng(places)
+    ties = [k / 2 * 10.0**-places for k in range(-41, 42)] + [2.675, 0.125, 1.005, 82.45, 0.25, 1e15 + 0.3, 123456789012.345, -0.0]
+    values = [*map(float, rng.uniform(-1000, 1000, 3000)), *map(float, rng.uniform(0, 1, 3000)), *ties, *(float(np.nextafter(t, s)) for t in ties for s in (-1e9, 1e9))]
+    rows = spark.createDataFrame([(v,) for v in values], "x double").select("x", pyround(F.col("x"), places).alias("r")).collect()
+    assert {abs(r["x"]) for r in rows if r["r"] != round(r["x"], places)} <= {5e-05}  # where the JVM's text is another
+
+
 def test_auc_with_ties(spark):
     df = spark.createDataFrame([(1, 0.9), (1, 0.5), (0, 0.5), (0, 0.1)], "y int, p double").withColumn("g", F.lit(1))
     assert evaluate.auc(df, ["g"], F.col("p"), F.col("y") == 1).first()["auc"] == 0.875

@@ -33,17 +33,17 @@ def read_marks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MARKS).option("recursiveFileLookup", True).parquet(f"{folder}/marks")
 
 
-def reserve(spark: SparkSession, folder: str, batch: str, name: str, rows: int) -> int:
-    """The first id for the rows of a batch, from 1 on. It is kept as the high-water mark of ``name``, so a batch that runs
-    again gets the same ids, and the next one those that follow. One writer at a time."""
-    marks = read_marks(spark, folder).where(F.col("name") == name)
-    own = marks.where(F.col("batch") == batch).select("first").first()
-    if own:
-        return own["first"]
-    first = marks.agg(F.max(F.col("first") + F.col("rows")).alias("next")).first()["next"] or 1
-    mark = spark.createDataFrame([(batch, name, first, rows)], MARKS).coalesce(1)
-    mark.write.mode("overwrite").parquet(f"{folder}/marks/{name}/batch={batch}")
-    return first
+def reserve(spark: SparkSession, folder: str, batch: str, names: list[str], rows: int) -> list[int]:
+    """The first ids for the rows that a batch adds to each of the tables, from 1 on. They are kept as the tables' high-water
+    marks, so a batch that runs again gets the same ids, and the next one those that follow. One writer at a time."""
+    marks = read_marks(spark, folder).where(F.col("name").isin(names)).groupBy("name")
+    own = F.max(F.when(F.col("batch") == batch, F.col("first"))).alias("own")
+    known = {r["name"]: r for r in marks.agg(own, F.max(F.col("first") + F.col("rows")).alias("next")).collect()}  # a row a name
+    first = {n: (known[n]["own"] or known[n]["next"]) if n in known else 1 for n in names}
+    new = [(batch, n, first[n], rows) for n in names if n not in known or known[n]["own"] is None]
+    if new:
+        spark.createDataFrame(new, MARKS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/{'-'.join(n for _, n, _, _ in new)}/batch={batch}")
+    return [first[n] for n in names]
 
 
 def write_batch(df: DataFrame, folder: str, name: str, batch: str, schema: str) -> None:
@@ -60,7 +60,7 @@ def append_numbered(df: DataFrame, folder: str, name: str, batch: str, schema: s
     rows = stored(numbered(df, order, "_id"), name)
     n = rows.count()
     if n:
-        first = reserve(df.sparkSession, folder, batch, name, n)
+        (first,) = reserve(df.sparkSession, folder, batch, [name], n)
         rows = rows.withColumn("id", F.col("_id") + first)
         write_batch(rows.coalesce(1) if one_file else rows, folder, name, batch, schema)
     return n

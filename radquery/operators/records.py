@@ -46,7 +46,7 @@ def write_records(made: DataFrame, folder: str, batch: str, order: list[Column],
     n = rows.count()
     if not n:
         return rows.withColumn("image_path", F.lit(None).cast("string"))
-    scan, prediction, number = (F.col("_id") + keys.reserve(spark, folder, batch, t, n) for t in ("lung_scans", "predictions", "reports"))
+    scan, prediction, number = (F.col("_id") + first for first in keys.reserve(spark, folder, batch, ["lung_scans", "predictions", "reports"], n))
     scan_id, prediction_id, report_id = uuid_of("scan", scan), uuid_of("prediction", prediction), uuid_of("report", number)
     name = F.coalesce(F.nullif("filename", F.lit("")), F.lit("upload.jpg"))
     path = F.concat(F.lit(f"{folder}/uploads/batch={batch}/"), scan_id, F.lit("_"), F.element_at(F.split(name, "/"), -1))

@@ -8,7 +8,9 @@ memory; from another store a worker holds MAPPED_BYTES of them at a time, or one
 Level 1 has the XXH64 of each word; a word's number is its rank there. The key of a longer n-gram is a bijective mix of its
 context's rank (in the level below) and its last word's number, of as many bits as both need, so above level 1 two n-grams
 never share a key; where more than 64 bits are needed, that is an error. Tasks count the n-grams of slices of text, and send each
-shard packed blocks of sorted keys and counts, which its reducer merges. Counts are of 64 bits.
+shard packed blocks of sorted keys and counts, which its reducer merges. Beyond FAN_OUT shards, blocks are of ranges of shards
+first; tasks gather those of a range, add up what is equal and cut them by shard, so blocks stay large however many shards there
+are. Counts are of 64 bits.
 
 Probabilities: P(w | h) = max(0, a - D(a)) / sum + gamma(h) P(w | h'), where h' lacks the first word of h, a is the count in
 the highest order, and in lower ones the number of different words before (n-grams that begin a text: their count). D are the
@@ -43,6 +45,8 @@ END = xxhash.xxh64_intdigest(b" ")
 SHARD_BYTES = 64 << 20
 #: Text that a task counts, and scores, at once; and n-grams that it gathers over slices before it sends them.
 COUNT_BYTES, SCORE_BYTES, HELD = 6 << 20, 4 << 20, 3 << 20
+#: Shards, or ranges of shards, that a task sends blocks to; and partitions of an exchange, each of which may have several shards.
+FAN_OUT, PARTITIONS = 1024, 20_000
 #: Bytes of arrays that a worker holds where they can't be mapped.
 MAPPED_BYTES = 256 << 20
 #: Counts are bytes; those of OVER and more are in a file beside, as places and values.
@@ -148,6 +152,10 @@ class Level(NamedTuple):
     def size(self) -> int:
         return int(self.starts[-1])
 
+    def shard_of(self, ranks: np.ndarray) -> np.ndarray:
+        """The number of shards for the rank after the last."""
+        return np.searchsorted(self.starts, ranks.astype(np.int64), "right") - 1
+
     def path(self, shard: int, kind: str) -> str:
         return f"{self.folder}/{shard:06d}.{kind}"
 
@@ -278,7 +286,6 @@ def _blocks(shard: np.ndarray, columns: list[np.ndarray], kind: str = "") -> pa.
     return pa.record_batch([pa.array(shard[first].astype(np.int32)), pa.array([kind] * len(first), pa.string()), *data], names=["shard", "kind", *(f"c{i}" for i in range(len(columns)))])
 
 
-BLOCKS = "shard int, kind string, c0 binary, c1 binary, c2 binary, c3 binary, c4 binary"
 MANIFEST = [("shard", "int"), ("kind", "string"), *((f"c{i}", "binary") for i in range(5)), ("n", "long"), ("sum", "long"), *((f"n{i}", "long") for i in range(1, 5))]
 
 
@@ -291,6 +298,54 @@ def _padded(batch: pa.RecordBatch, told: list[int] | None = None) -> pa.RecordBa
     return pa.record_batch([columns[n] for n, _ in MANIFEST], names=[n for n, _ in MANIFEST])
 
 
+def _width(shards: int) -> int:
+    """Shards in a range that blocks are sent to."""
+    return -(-shards // FAN_OUT)
+
+
+def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Columns of blocks as one block: keys sorted and distinct, the others added up."""
+    keys, *others = map(np.concatenate, zip(*held, strict=True))
+    order = np.argsort(keys)
+    keys = keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return [keys[first], *(np.add.reduceat(c[order], first) for c in others)]
+
+
+def _dealt(blocks: DataFrame, shards: int, shard_of) -> DataFrame:
+    """Blocks sorted by shard, those of a shard in one partition. Blocks of ranges meet by range first, where a range may be dealt
+    to several tasks by its blocks' contents, and are cut by ``shard_of`` their keys."""
+    partitions = max(min(shards, PARTITIONS), int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    names, most, width = blocks.columns[2:], HELD, _width(shards)
+
+    def cut(batches):
+        held, size, now = [], 0, None
+
+        def out():
+            columns = _merged(held)
+            found = _blocks(shard_of(columns[0]), columns, now[1])
+            missing = [pa.nulls(found.num_rows, pa.binary())] * (len(names) - len(columns))
+            return pa.record_batch([*found.columns, *missing], names=["shard", "kind", *names])
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if held and (now != (row["shard"], row["kind"]) or size > most):
+                    yield out()
+                    held, size = [], 0
+                    give_back()
+                now = row["shard"], row["kind"]
+                held.append([unpack(row[c]) for c in names if row[c] is not None])
+                size += len(held[-1][0])
+        if held:
+            yield out()
+
+    if width > 1:
+        part = F.pmod(F.xxhash64("c0"), F.lit(-(-partitions // FAN_OUT)))
+        ranges = blocks.repartition(partitions, "shard", part).sortWithinPartitions("shard", "kind")
+        blocks = ranges.mapInArrow(cut, blocks.schema)
+    return blocks.repartition(partitions, "shard").sortWithinPartitions("shard")
+
+
 def _by_shard(batches):
     """(shard, [rows of that shard]) of blocks that are sorted by shard."""
     now, rows = None, []
@@ -306,13 +361,18 @@ def _by_shard(batches):
         yield now, rows
 
 
+def _told(rows: DataFrame) -> dict[str, int]:
+    """What shards tell, added up."""
+    return rows.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("n", "sum", "n1", "n2", "n3", "n4"))).first().asDict()
+
+
 def _counts_of_counts(values: np.ndarray) -> list[int]:
     return [int((values == i).sum()) for i in range(1, 5)]
 
 
-def _downward(levels: list[Level], k: int, keys: np.ndarray, adjusted: np.ndarray):
+def _downward(levels: list[Level], k: int, keys: np.ndarray, adjusted: np.ndarray, width: int):
     """Blocks for the level below: of each context, its sum and how many followers have 1, 2, or more; of each suffix, how
-    many n-grams end in it. Sorted by shard."""
+    many n-grams end in it. Sorted by range of so many shards."""
     below = levels[k - 2]
     context = _parts(levels, k, keys)[0]
     order = np.argsort(context)
@@ -321,23 +381,26 @@ def _downward(levels: list[Level], k: int, keys: np.ndarray, adjusted: np.ndarra
     sums = [np.add.reduceat(x, first) for x in (a, a == 1, a == 2, a > 2)] if len(a) else [a] * 4
     known = context[first] < below.size if len(a) else first.astype(bool)  # the begin of a text has no place there
     whole = [context[first][known], *(x[known] for x in sums)] if len(a) else [a] * 5
-    yield _blocks(np.searchsorted(below.starts, whole[0], "right") - 1, whole, "context")
+    yield _blocks(below.shard_of(whole[0]) // width, whole, "context")
     if len(a) and not known.all():
-        yield _blocks(np.array([below.shards]), [context[first][~known], *(x[~known] for x in sums)], "context")
+        yield _blocks(np.array([below.shards // width]), [context[first][~known], *(x[~known] for x in sums)], "context")
     ends, times = counted(_suffixes(levels, k, keys))
-    yield _blocks(np.searchsorted(below.starts, ends, "right") - 1, [ends, times], "suffix")
+    yield _blocks(below.shard_of(ends) // width, [ends, times], "suffix")
 
 
-def _count_level(docs: DataFrame, k: int, order: int, levels: list[Level], folder: str, shards: int) -> tuple[Level, DataFrame, list]:
+def _count_level(docs: DataFrame, k: int, order: int, levels: list[Level], folder: str, shards: int) -> tuple[Level, DataFrame, dict[str, int]]:
     """Counts the n-grams of order k; for the highest order also the blocks for the level below."""
     bits = 64 if k == 1 else _key_bits(levels, k)
-    shift = _U(bits - (shards.bit_length() - 1))
+    shift, width = _U(bits - (shards.bit_length() - 1)), _width(shards)
+
+    def shard_of(keys):
+        return (keys >> shift).astype(np.int64)
 
     def count(batches):
         held, size = [], 0
 
         def sent(merged):
-            return _padded(_blocks((merged[0] >> shift).astype(np.int64), [*merged]))
+            return _padded(_blocks(shard_of(merged[0]) // width, [*merged]))
 
         for part in (p for b in batches for p in slices(b, most=COUNT_BYTES)):
             codes, offsets, hashes = _tokens(part.column(0))
@@ -363,24 +426,23 @@ def _count_level(docs: DataFrame, k: int, order: int, levels: list[Level], folde
             told = pa.record_batch([pa.array([shard], pa.int32()), pa.array(["shard"])], names=["shard", "kind"])
             yield _padded(told, [len(keys), int(n.sum()), *_counts_of_counts(n)])
             if k == order > 1:
-                for blocks in _downward(levels, k, keys, n):
+                for blocks in _downward(levels, k, keys, n, width):
                     yield _padded(blocks)
         _arrays.clear()
 
     schema = ", ".join(f"{n} {t}" for n, t in MANIFEST)
-    tasks = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     blocks = docs.select("text").mapInArrow(count, schema).select("shard", "kind", "c0", "c1")
-    merged = write_table(blocks.repartition(tasks, "shard").sortWithinPartitions("shard").mapInArrow(merge, schema), f"level-{k}")
-    told = merged.where("kind = 'shard'").select("shard", "n", "sum", "n1", "n2", "n3", "n4").collect()  # a row for each shard
-    sizes = np.zeros(shards, dtype=np.int64)
-    for r in told:
-        sizes[r["shard"]] = r["n"]
-    return Level(f"{folder}/{k}", np.concatenate(([0], np.cumsum(sizes))), bits), merged.where("kind != 'shard'"), told
+    merged = write_table(_dealt(blocks, shards, shard_of).mapInArrow(merge, schema), f"level-{k}")
+    told = merged.where("kind = 'shard'")
+    found, sizes = told.select("shard", "n").toArrow(), np.zeros(shards, dtype=np.int64)  # two numbers a shard
+    sizes[found["shard"].to_numpy()] = found["n"].to_numpy()
+    return Level(f"{folder}/{k}", np.concatenate(([0], np.cumsum(sizes))), bits), merged.where("kind != 'shard'"), _told(told)
 
 
-def _finish_level(blocks: DataFrame, k: int, levels: list[Level]) -> tuple[DataFrame, list, dict[int, list[int]]]:
+def _finish_level(blocks: DataFrame, k: int, levels: list[Level]) -> tuple[DataFrame, dict[str, int], list[int]]:
     """Writes a level's adjusted counts and what followers its n-grams have, and passes blocks to the level below."""
     level = levels[k - 1]
+    width = _width(level.shards)
 
     def finish(batches):
         for shard, rows in _by_shard(batches):
@@ -403,21 +465,19 @@ def _finish_level(blocks: DataFrame, k: int, levels: list[Level]) -> tuple[DataF
             told = pa.record_batch([pa.array([shard], pa.int32()), pa.array(["shard"])], names=["shard", "kind"])
             yield _padded(told, [size, int(adjusted.sum()), *_counts_of_counts(adjusted)])
             if k > 1:
-                for found in _downward(levels, k, np.array(level.array(shard, "keys")), adjusted):
+                for found in _downward(levels, k, np.array(level.array(shard, "keys")), adjusted, width):
                     yield _padded(found)
         _arrays.clear()
 
     schema = ", ".join(f"{n} {t}" for n, t in MANIFEST)
-    tasks = max(len(level.starts) - 1, int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    dealt = blocks.select("shard", "kind", *(f"c{i}" for i in range(5))).repartition(tasks, "shard").sortWithinPartitions("shard")
+    dealt = _dealt(blocks.select("shard", "kind", *(f"c{i}" for i in range(5))), level.shards, level.shard_of)
     done = write_table(dealt.mapInArrow(finish, schema), f"finished-{k}")
-    told = done.where("kind in ('shard', 'begin')").select("kind", "shard", "n", "sum", "n1", "n2", "n3", "n4").collect()
-    begin = {k: [sum(r[c] for r in told if r["kind"] == "begin") for c in ("n1", "n2", "n3", "n4")]}
-    return done.where("kind in ('context', 'suffix')"), [r for r in told if r["kind"] == "shard"], begin
+    begin = _told(done.where("kind = 'begin'"))
+    return done.where("kind in ('context', 'suffix')"), _told(done.where("kind = 'shard'")), [begin[f"n{i}"] for i in range(1, 5)]
 
 
-def _discounts(told: list) -> np.ndarray:
-    n = [0, *(sum(r[f"n{i}"] for r in told) for i in range(1, 5))]
+def _discounts(told: dict[str, int]) -> np.ndarray:
+    n = [0, *(told[f"n{i}"] for i in range(1, 5))]
     if min(n[1:]) == 0:
         return np.array([0, 0.5, 0.75, 0.9])
     y = n[1] / (n[1] + 2 * n[2])
@@ -430,7 +490,7 @@ class Trained(NamedTuple):
 
 
 def train(docs: DataFrame, order: int = 2, folder: str | None = None) -> Trained | None:
-    """From the column text. What comes to the driver is a few numbers for each shard."""
+    """From the column text. What comes to the driver is two numbers for each shard."""
     spark = docs.sparkSession
     folder = folder or new_dir(spark, "language-model")
     size = docs.agg(F.sum(F.coalesce(F.length("text"), F.lit(0))).alias("size"), F.count("*").alias("n")).first()
@@ -441,14 +501,14 @@ def train(docs: DataFrame, order: int = 2, folder: str | None = None) -> Trained
     for k in range(1, order + 1):
         level, blocks, told = _count_level(docs, k, order, levels, folder, shards)
         levels.append(level)
-        told_of[k], tokens = told, tokens or sum(r["sum"] for r in told)
+        told_of[k], tokens = told, tokens or told["sum"]
     begin = (0, 0, 0, 0)
     for k in range(order - 1, 0, -1):
         blocks, told_of[k], found = _finish_level(blocks, k, levels)
-        begin = tuple(found[k]) if k == 1 else begin
+        begin = tuple(found) if k == 1 else begin
     discounts = [_discounts(told_of[k]) for k in range(1, order + 1)]
-    n = [sum(r[f"n{i}"] for r in told_of[1]) for i in (1, 2)]
-    known, total = int(levels[0].starts[-1]), sum(r["sum"] for r in told_of[1])
+    n = [told_of[1][f"n{i}"] for i in (1, 2)]
+    known, total = int(levels[0].starts[-1]), told_of[1]["sum"]
     left = discounts[0][1] * n[0] + discounts[0][2] * n[1] + discounts[0][3] * (known - sum(n))
     return Trained(Model(levels, tokens, discounts, total, left / total / (known + 1)), begin)
 

@@ -108,6 +108,47 @@ def test_lm_scores(spark, documents, order):
         assert r.base_score == pytest.approx(want[3]) and r.score == pytest.approx(want[4])
 
 
+def test_lm_blocks_by_ranges_of_shards(spark, documents, monkeypatch):
+    """With more shards than a task sends blocks to, and than an exchange has partitions: the same model."""
+    rows = documents.select("doc_id", "text").where("length(text) < 2000").toPandas()
+    df = spark.createDataFrame(rows)
+    train = df.where("doc_id % 3 = 0")
+    direct = lm.train(train, 3)
+    for name, value in (("FAN_OUT", 5), ("PARTITIONS", 7), ("HELD", 3000)):
+        monkeypatch.setattr(lm, name, value)
+    ranged = lm.train(train, 3)
+    assert lm._width(64) == 13 and ranged.begin == direct.begin
+    for a, b in zip(direct.model.levels, ranged.model.levels, strict=True):
+        assert a.starts.tolist() == b.starts.tolist()
+        for kind in ("keys", "counts"):
+            assert all(np.array_equal(a.array(s, kind), b.array(s, kind)) for s in range(64))
+    got = lm.score(df, ranged).toPandas().set_index("doc_id").score
+    for i, want in zip(rows.doc_id, kneser_ney(rows.text[rows.doc_id % 3 == 0], rows.text, 3), strict=True):
+        assert got[i] == pytest.approx(want[4])
+
+
+def test_lm_blocks_of_a_range_are_added_up_and_cut(spark, monkeypatch):
+    """40 tasks send each of 4 ranges a block; what leaves has each rank once a piece, and no block of few n-grams."""
+    starts, rng = np.arange(0, 4001, 10), np.random.default_rng(0)
+    level, rows, want = lm.Level("", starts, 64), [], collections.Counter()
+    monkeypatch.setattr(lm, "FAN_OUT", 4)
+    monkeypatch.setattr(lm, "PARTITIONS", 8)  # so a range meets in two tasks
+    for _ in range(40):
+        ranks, counts = lm.counted(rng.integers(0, 4001, 3000).astype(np.uint64))  # 4000 stands for the begin of texts
+        want.update(dict(zip(ranks.tolist(), counts.tolist(), strict=True)))
+        for b in lm._blocks(level.shard_of(ranks) // lm._width(401), [ranks, counts], "suffix").to_pylist():
+            rows.append((b["shard"], "suffix", b["c0"], b["c1"], None))
+    blocks = spark.createDataFrame(rows, "shard int, kind string, c0 binary, c1 binary, c2 binary")
+    got, pieces = collections.Counter(), 0
+    for b in lm._dealt(blocks, 401, level.shard_of).collect():
+        ranks, counts = lm.unpack(b["c0"]), lm.unpack(b["c1"])
+        assert (level.shard_of(ranks) == b["shard"]).all() and len(set(ranks.tolist())) == len(ranks) and b["c2"] is None
+        got.update(dict(zip(ranks.tolist(), counts.tolist(), strict=True)))
+        pieces += 1
+    direct = 40 * 401  # blocks, had each task sent one to each shard
+    assert got == want and pieces < direct / 4
+
+
 def test_lm_counts_of_any_size(tmp_path):
     values = np.array([0, 1, 254, 255, 256, 70_000, 1 << 40, 3])
     lm._save_counts(f"{tmp_path}/000000.total", values)

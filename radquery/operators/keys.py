@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from radquery.sources.scratch import stored
 #: Bits of the places within a partition that Spark numbers.
 _BITS = 33
 MARKS = "batch string, name string, first long, rows long"
+#: Files of marks that a batch reads at most, about; more are put into one.
+MARK_FILES = 64
 
 
 def numbered(df: DataFrame, order: list[Column] | None = None, name: str = "id") -> DataFrame:
@@ -33,16 +37,32 @@ def read_marks(spark: SparkSession, folder: str) -> DataFrame:
     return spark.read.schema(MARKS).option("recursiveFileLookup", True).parquet(f"{folder}/marks")
 
 
+def _compact(marks: DataFrame, folder: str) -> None:
+    """Puts marks into one file, then deletes the folders of those read. One that is there twice, as after a failure in
+    between, does no harm, as marks are read by their greatest numbers."""
+    spark, old = marks.sparkSession, marks.inputFiles()  # MARK_FILES names and a few
+    marks.coalesce(1).write.parquet(f"{folder}/marks/all/{uuid.uuid4().hex}")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    top = hadoop(f"{folder}/marks").getName()
+    for file in old:
+        parent = hadoop(spark._jvm.java.net.URI.create(file)).getParent()
+        if parent.getName() != top:
+            parent.getFileSystem(spark._jsc.hadoopConfiguration()).delete(parent, True)
+
+
 def reserve(spark: SparkSession, folder: str, batch: str, names: list[str], rows: int) -> list[int]:
     """The first ids for the rows that a batch adds to each of the tables, from 1 on. They are kept as the tables' high-water
     marks, so a batch that runs again gets the same ids, and the next one those that follow. One writer at a time."""
-    marks = read_marks(spark, folder).where(F.col("name").isin(names)).groupBy("name")
+    every = read_marks(spark, folder)
+    marks = every.where(F.col("name").isin(names)).groupBy("name")
     own = F.max(F.when(F.col("batch") == batch, F.col("first"))).alias("own")
     known = {r["name"]: r for r in marks.agg(own, F.max(F.col("first") + F.col("rows")).alias("next")).collect()}  # a row a name
     first = {n: (known[n]["own"] or known[n]["next"]) if n in known else 1 for n in names}
     new = [(batch, n, first[n], rows) for n in names if n not in known or known[n]["own"] is None]
     if new:
         spark.createDataFrame(new, MARKS).coalesce(1).write.mode("overwrite").parquet(f"{folder}/marks/{'-'.join(n for _, n, _, _ in new)}/batch={batch}")
+        if len(every.inputFiles()) > MARK_FILES:
+            _compact(every, folder)
     return [first[n] for n in names]
 
 

@@ -226,14 +226,15 @@ class NetworkScorer:
 def record_training(results: DataFrame, folder: str, batch: str, best: Column) -> DataFrame:
     """Appends a training's rows of metrics (model_name, the figures, curves), as one file, which makes them visible at once.
 
-    ``best`` orders the models; the greatest is active, and the rows of trainings before no longer are (``active_metrics``).
+    ``best`` orders the models, null first and ties by their names, which differ; the greatest alone is active, and the rows of
+    trainings before no longer are (``active_metrics``).
     Versions are numbered by trainings. A batch that runs again replaces its rows."""
     spark = results.sparkSession
     others = read_table(spark, folder, "model_metrics").withColumn("_file", F.input_file_name()).where(~F.contains("_file", F.lit(f"/batch={batch}/")))
     before = others.agg(F.countDistinct("version").alias("n")).first()["n"]
-    rows = stored(results.withColumn("_best", best), "results")
+    rows = stored(results.withColumn("_best", F.struct(best.alias("best"), "model_name")), "results")
     top = rows.agg(F.max("_best").alias("_top"))  # one row
-    chosen = rows.join(F.broadcast(top)).withColumns({"is_active": F.col("_best") == F.col("_top"), "version": F.lit(f"1.0.{before}"), "trained_at": F.current_timestamp()})
+    chosen = rows.join(F.broadcast(top)).withColumns({"is_active": F.col("_best").eqNullSafe(F.col("_top")), "version": F.lit(f"1.0.{before}"), "trained_at": F.current_timestamp()})
     append_numbered(chosen.drop("_best", "_top"), folder, "model_metrics", batch, schemas.MODEL_METRICS, [F.col("model_name")], one_file=True)
     return active_metrics(spark, folder)
 

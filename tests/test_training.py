@@ -95,6 +95,15 @@ def test_learning_rates(spark):
     assert df.select(curves.checkpoint_epoch(F.col("a"))).first()[0] == 1
 
 
+def test_one_model_is_active_where_scores_are_equal_or_missing(spark, tmp_path):
+    tables.create_tables(spark, str(tmp_path))
+    for batch, scores, want in (("a", (0.9, 0.9), "RESNET"), ("b", (0.9, None), "CNN"), ("c", (None, None), "RESNET")):
+        rows = spark.createDataFrame([("CNN", scores[0]), ("RESNET", scores[1])], "model_name string, accuracy double")
+        got = training.record_training(rows, str(tmp_path), batch, F.col("accuracy"))
+        assert [r["model_name"] for r in got.where("is_active").collect()] == [want]
+        assert got.where("is_active is null").isEmpty()
+
+
 def test_one_model_is_active_after_each_training(spark, tmp_path):
     tables.create_tables(spark, str(tmp_path))
     figures = "model_name string, accuracy double, f1_score double, training_loss array<double>"

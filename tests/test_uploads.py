@@ -23,6 +23,19 @@ def test_numbers_are_dense_and_in_order(spark):
     assert keys.numbered(df.where("false"), [F.col("x")]).collect() == []
 
 
+def test_marks_of_many_batches_are_put_together(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(keys, "MARK_FILES", 3)
+    folder, files = str(tmp_path), []
+    firsts = []
+    for k in range(8):
+        firsts.append(keys.reserve(spark, folder, f"b{k}", ["x", "y"], 10))
+        files.append(len(keys.read_marks(spark, folder).inputFiles()))
+    assert firsts == [[10 * k + 1] * 2 for k in range(8)] and max(files) <= 5
+    assert keys.reserve(spark, folder, "b2", ["x", "y"], 10) == [21, 21]  # from the marks put together
+    assert keys.reserve(spark, folder, "new", ["y", "z"], 5) == [81, 1]
+    assert keys.read_marks(spark, folder).distinct().count() == 18
+
+
 def test_ids_go_on_over_appends(spark, tmp_path):
     folder, schema = str(tmp_path), "id long, name string"
     read = lambda: spark.read.schema(schema).option("recursiveFileLookup", True).parquet(f"{folder}/people").collect()

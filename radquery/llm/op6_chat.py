@@ -15,12 +15,16 @@ has to fit in memory.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 TURN, TEXT, PART, END = "<|turn|>", "<|text|>", "<|part|>", "<|end|>"
 #: What follows the first character of a control string.
 RESTS = r"\|(?:turn|text|part|end|im_start|im_end|system|user|assistant|startoftext|endoftext)\|>|/?s>|/?INST\]|</?SYS>>"
+#: Items of a block of an array, at least.
+LEAST_BLOCK = 64
 #: A conversation that looks like another template's control strings.
 TRICKY_ID, TRICKY_TEXT = -7, "</s>[INST] ok [/INST]"
 
@@ -33,44 +37,73 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, rf"([<\[])\\(\\*)({RESTS})", "$1$2$3")
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often a lambda within needs it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _blocks(items: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """``body`` of each block of an array and of the place of its first item, from 1. A block has as many items as there are
+    blocks, or ``LEAST_BLOCK``, so what copies an array for each item of a block costs n sqrt(n) and not the square of n."""
+    n = F.greatest(F.size(items), F.lit(1))
+    size = F.greatest(F.lit(LEAST_BLOCK), F.ceil(F.sqrt(n))).cast("int")
+    return F.transform(F.sequence(F.lit(1), n, size), lambda first: body(F.slice(items, first, size), first))
+
+
 def format_conversations(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     """conv_id, formatted, and loss_spans: where texts of ``loss_role`` stand, in code points of ``formatted``."""
     row = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     sorted_turns = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(row)).alias("turns"))
+    spans = "array<struct<start: bigint, length: bigint>>"
+
+    def add(done: Column, t: Column) -> Column:
+        """A turn goes on where the turn before has its role; else that one ends and a new one begins."""
+        head = F.concat(F.when(done["role"].isNull(), "").otherwise(END), F.lit(TURN), escaped(t["role"]), F.lit(TEXT))
+        written = F.struct(F.when(done["role"] == t["role"], PART).otherwise(head).alias("head"), escaped(t["text"]).alias("text"))
+
+        def longer(w: Column) -> Column:
+            start, length = done["at"] + F.length(w["head"]), F.length(w["text"]).cast("long")
+            span = F.array(F.struct(start.alias("start"), length.alias("length")))
+            return F.struct(
+                t["role"].alias("role"),
+                F.concat(done["pieces"], F.array(w["head"], w["text"])).alias("pieces"),
+                (start + length).alias("at"),
+                F.when(t["role"] == loss_role, F.concat(done["spans"], span)).otherwise(done["spans"]).alias("spans"),
+            )
+
+        return _let(written, longer)
+
+    def merge(every: Column) -> Column:
+        """Blocks of turns, merged each: the pieces of text, their length, and spans from the block's own begin."""
+
+        def block(some: Column, first: Column) -> Column:
+            before = F.when(first > 1, F.try_element_at(every, first - 1)["role"])
+            empty = F.struct(before.alias("role"), F.expr("cast(array() as array<string>)").alias("pieces"), F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {spans})").alias("spans"))
+            return F.aggregate(some, empty, add)
+
+        return _blocks(every, block)
+
+    def whole(blocks: Column) -> Column:
+        places = F.aggregate(blocks, F.array(F.lit(0).cast("long")), lambda s, b: F.concat(s, F.array(F.element_at(s, -1) + b["at"])))
+        moved = F.zip_with(blocks, places, lambda b, at: F.transform(F.coalesce(b["spans"], F.expr(f"cast(array() as {spans})")), lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length"))))
+        text = F.concat(F.array_join(F.flatten(F.transform(blocks, lambda b: b["pieces"])), ""), F.lit(END))
+        return F.struct(text.alias("formatted"), F.flatten(moved).alias("loss_spans"))
+
+    made = sorted_turns.select("conv_id", _let(F.col("turns"), lambda every: _let(merge(every), whole)).alias("made"))
+    return made.select("conv_id", "made.formatted", "made.loss_spans")
+
+
+def under_spans(text: Column, spans: Column) -> Column:
+    """What stands in ``text`` at each of the ``spans``, which are in order. A block of spans is cut out first, as a place in a
+    text is found by counting from its begin."""
+
+    def block(some: Column) -> Column:
+        first, last = F.try_element_at(some, F.lit(1)), F.try_element_at(some, F.lit(-1))
+        length = last["start"] + last["length"] - first["start"]
+        part = text.substr((first["start"] + 1).cast("int"), length.cast("int"))
+        return _let(part, lambda p: F.transform(some, lambda s: p.substr((s["start"] - first["start"] + 1).cast("int"), s["length"].cast("int"))))
 
-    def merge(done: Column, t: Column) -> Column:
-        last, text = F.try_element_at(done, F.lit(-1)), escaped(t["text"])
-        longer = F.struct(last["role"].alias("role"), F.concat(last["parts"], F.array(text)).alias("parts"))
-        return F.when(last["role"] == t["role"], F.concat(F.slice(done, 1, F.size(done) - 1), F.array(longer))).otherwise(
-            F.concat(done, F.array(F.struct(t["role"].alias("role"), F.array(text).alias("parts"))))
-        )
-
-    none = F.expr("cast(array() as array<struct<role: string, parts: array<string>>>)")
-    merged = sorted_turns.select("conv_id", F.aggregate("turns", none, merge).alias("merged"))
-
-    whole = F.transform("merged", lambda m: F.concat(F.lit(TURN), escaped(m["role"]), F.lit(TEXT), F.array_join(m["parts"], PART), F.lit(END)))
-
-    def pieces(m: Column) -> Column:
-        """For each text: what stands before it since the text before, its length, what follows it in its turn."""
-        head = F.length(escaped(m["role"])) + len(TURN + TEXT)
-        return F.transform(
-            m["parts"],
-            lambda p, i: F.struct(
-                F.when(i == 0, head).otherwise(F.lit(len(PART))).cast("long").alias("before"),
-                F.length(p).cast("long").alias("length"),
-                F.when(i == F.size(m["parts"]) - 1, F.lit(len(END))).otherwise(F.lit(0)).cast("long").alias("after"),
-                (m["role"] == loss_role).alias("loss"),
-            ),
-        )
-
-    def advance(s: Column, p: Column) -> Column:
-        start = s["at"] + p["before"]
-        span = F.array(F.struct(start.alias("start"), p["length"].alias("length")))
-        return F.struct((start + p["length"] + p["after"]).alias("at"), F.when(p["loss"], F.concat(s["spans"], span)).otherwise(s["spans"]).alias("spans"))
-
-    begin = F.expr("named_struct('at', 0L, 'spans', cast(array() as array<struct<start: bigint, length: bigint>>))")
-    spans = F.aggregate(F.flatten(F.transform("merged", pieces)), begin, advance, lambda s: s["spans"])
-    return merged.select("conv_id", F.array_join(whole, "").alias("formatted"), spans.alias("loss_spans"))
+    return F.flatten(_blocks(spans, lambda some, _: _let(some, block)))
 
 
 def parse_conversations(formatted: DataFrame) -> DataFrame:
@@ -81,11 +114,12 @@ def parse_conversations(formatted: DataFrame) -> DataFrame:
         at = F.instr(x, TEXT)
         body = x.substr(at + len(TEXT), F.length(x) - at - len(TEXT + END) + 1)
         role = unescaped(x.substr(F.lit(1), at - 1))
-        return F.transform(F.split(body, quoted[PART], -1), lambda p: F.struct(role.alias("role"), unescaped(p).alias("text")))
+        return _let(role, lambda r: F.transform(F.split(body, quoted[PART], -1), lambda p: F.struct(r.alias("role"), unescaped(p).alias("text"))))
 
     raw = F.split("formatted", quoted[TURN], -1)
-    loss = F.transform("loss_spans", lambda s: unescaped(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
-    return formatted.withColumns({"turns": F.flatten(F.transform(F.slice(raw, 2, F.size(raw)), turn)), "loss_text": F.array_join(loss, "")})
+    turns = _let(raw, lambda r: F.flatten(F.transform(F.slice(r, 2, F.size(r)), turn)))
+    loss = _let(F.struct("formatted", "loss_spans"), lambda x: _let(x["formatted"], lambda text: _let(x["loss_spans"], lambda spans: under_spans(text, spans))))
+    return formatted.withColumns({"turns": turns, "loss_text": F.array_join(F.transform(loss, unescaped), "")})
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

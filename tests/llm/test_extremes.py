@@ -83,6 +83,25 @@ def test_many_turns_and_long_turns(spark):
     assert hashlib.sha256(made[3]["loss_text"].encode()).hexdigest() == want and made[3]["turns"][0]["text"] == "x" * 3_000_000
 
 
+@pytest.mark.parametrize("n", [1, 63, 64, 65, 128, 129, 20_000])
+def test_blocks_of_turns(spark, n):
+    """Conversations of more than a block of turns: runs of a role that cross blocks, empty texts, letters of several bytes."""
+    rng = random.Random(n)
+    roles = ["user"] * n
+    for t in range(1, n):
+        roles[t] = roles[t - 1] if rng.random() < 0.9 else rng.choice(["user", "assistant", "system"])
+    texts = [rng.choice(["", "é", "日本 <|end|>", "[INST]", f"text {t}"]) for t in range(n)]
+    rows = [(1, t, roles[t], texts[t]) for t in range(n)] + [(2, t, "assistant", texts[t]) for t in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(4)
+    made = {r["conv_id"]: r for r in chat.parse_conversations(chat.format_conversations(df)).collect()}
+    assert [tuple(t) for t in made[1]["turns"]] == list(zip(roles, texts, strict=True))
+    assert made[1]["loss_text"] == "".join(x for r, x in zip(roles, texts, strict=True) if r == "assistant") and made[2]["loss_text"] == "".join(texts)
+    merged = 1 + sum(a != b for a, b in zip(roles, roles[1:], strict=False))
+    assert made[1]["formatted"].count("<|turn|>") == merged == made[1]["formatted"].count("<|end|>") and made[1]["formatted"].count("<|part|>") == n - merged
+    spans = [made[1]["formatted"][s["start"] : s["start"] + s["length"]].replace("[\\INST]", "[INST]").replace("<\\|end|>", "<|end|>") for s in made[1]["loss_spans"]]
+    assert spans == [x for r, x in zip(roles, texts, strict=True) if r == "assistant"]
+
+
 @pytest.mark.parametrize("name,stage", corpus_pipeline.STAGES)
 def test_stages_on_odd_tables(spark, name, stage):
     """Without rows; with a column of maps, clashing names, nulls in all columns, repeated rows, and a long text."""

@@ -39,8 +39,9 @@ DICTIONARY_BYTES = 1 << 15
 SEGMENT, COUNTED = 64, 6
 #: Windows for a dictionary: in so many documents at least, and for the toxic one with such log-odds at least.
 LEAST_DOCUMENTS, LEAST_ODDS = 2, 2.5
-#: A window is repeated for the trainer as often as documents have it, but no oftener than this.
-MOST_COPIES = 50
+#: Of a dictionary's fit: windows that the trainer gets, the most frequent ones, and how often it gets each at most (as often as
+#: documents have it up to there).
+MOST_WINDOWS, MOST_COPIES = DICTIONARY_BYTES // 8, 50
 #: Lengths above these count as these.
 MOST_BYTES, MOST_LENGTH = 24, 48
 CELLS = MOST_BYTES * MOST_LENGTH**2
@@ -139,9 +140,9 @@ def _logistic(x: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) -
     return w
 
 
-def train_dictionary(windows: list[tuple[str, int]]) -> bytes:
+def train_dictionary(windows: list[tuple[str, int]], most_copies: int = MOST_COPIES) -> bytes:
     """By zstandard's trainer, from words and how many documents have each; the words as they are where they are too few for it."""
-    samples = [window(w) for w, n in sorted(windows) for _ in range(min(n, MOST_COPIES))]
+    samples = [window(w) for w, n in sorted(windows) for _ in range(min(n, most_copies))]
     order = np.random.default_rng(42).permutation(len(samples))
     try:
         data = zstandard.train_dictionary(DICTIONARY_BYTES, [samples[i] for i in order], k=SEGMENT, d=COUNTED).as_bytes()
@@ -150,8 +151,9 @@ def train_dictionary(windows: list[tuple[str, int]]) -> bytes:
     return data or b" "
 
 
-def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
-    """From labelled documents (doc_id, text) and (doc_id, toxic). One half makes the dictionaries, the other calibrates."""
+def learn(docs: DataFrame, labels: DataFrame, most: int = MOST, most_windows: int = MOST_WINDOWS, most_copies: int = MOST_COPIES) -> Model:
+    """From labelled documents (doc_id, text) and (doc_id, toxic). One half makes the dictionaries, the other calibrates. The
+    bounds are on documents of a class, and on what the trainer of a dictionary gets."""
     known = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("_id"), F.col("toxic").cast("int").alias("toxic")).distinct()
     # Documents alike in id and text are one place here, so neither a frequent id nor a repeated row makes the fit larger.
     placed = docs.select("doc_id", "text", F.pmod(F.xxhash64("doc_id", "text"), F.lit(PLACES)).alias("place"))
@@ -182,8 +184,8 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = MOST) -> Model:
     words = write_table(words.groupBy("word").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1")), "window-counts")
     odds = F.log((F.col("n1") + 0.5) / (size[0][1] + 1)) - F.log((F.col("n0") + 0.5) / (size[0][0] + 1))
     # A dictionary has room for so many words only: the most frequent ones, by a bounded top.
-    top = lambda c, where: [(r["word"], r[c]) for r in words.where(where).orderBy(F.desc(c), "word").limit(DICTIONARY_BYTES // 8).collect()]
-    dictionaries = [train_dictionary(top("n0", F.col("n0") >= LEAST_DOCUMENTS)), train_dictionary(top("n1", (F.col("n1") >= LEAST_DOCUMENTS) & (odds > LEAST_ODDS)))]
+    top = lambda c, where: [(r["word"], r[c]) for r in words.where(where).orderBy(F.desc(c), "word").limit(most_windows).collect()]
+    dictionaries = [train_dictionary(top("n0", F.col("n0") >= LEAST_DOCUMENTS), most_copies), train_dictionary(top("n1", (F.col("n1") >= LEAST_DOCUMENTS) & (odds > LEAST_ODDS)), most_copies)]
 
     def in_cells(batches):
         compressors = Compressors(*dictionaries)

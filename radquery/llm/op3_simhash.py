@@ -32,11 +32,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from radquery.llm.components import components
-from radquery.llm.shared import AtomicFile, new_dir, open_mapped, write_table
+from radquery.llm.shared import AtomicFile, new_dir, open_mapped, tasks_for, write_table
 from radquery.llm.words import gather, mix, slices, split_flat, texts_of
 
 #: Generator polynomial of the Golay code of length 23.
 GOLAY, LENGTH, CHECK_BITS, RADIUS = 0xC75, 23, 11, 3
+#: Anchors of a fingerprint on average, at two bits.
+COPIES = 61
 #: Rows at an anchor beyond which they are split.
 HOT_ROWS = 50_000
 PAIRS_AT_ONCE = 1 << 20
@@ -236,8 +238,9 @@ def _compare(batches, at_home, near, find=None, center=None):
         yield pa.record_batch([node, root], names=["a", "b"])
 
 
-def _links_at_anchors(table: DataFrame, spread, schema: str, order: list, at_home, near, hot_rows: int, find=None, center=None) -> DataFrame:
-    """Edges (a, b) between nodes. ``spread`` makes rows (anchor, node, ...) from batches of the table."""
+def _links_at_anchors(table: DataFrame, spread, copies: int, schema: str, order: list, at_home, near, hot_rows: int, find=None, center=None) -> DataFrame:
+    """Edges (a, b) between nodes. ``spread`` makes rows (anchor, node, ...) from batches of a stored table, ``copies`` of each
+    row, about."""
     copied = table.mapInArrow(spread, schema)
     node, *more = copied.columns[1:]
     # Sizes from a sixteenth of the rows; they only decide which anchors are split.
@@ -250,7 +253,7 @@ def _links_at_anchors(table: DataFrame, spread, schema: str, order: list, at_hom
         own = F.pmod(F.xxhash64(node), F.col("parts")).cast("int")
         pair = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda k: F.least(k, own) * F.col("parts") + F.greatest(k, own))
         rows = rows.select("anchor", F.explode(pair).alias("part"), node, *more)
-    tasks = int(table.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = tasks_for(table.sparkSession, table.count() * copies)
     dealt = rows.repartition(tasks, "anchor", "part").sortWithinPartitions("anchor", "part", *order)
     return dealt.mapInArrow(lambda batches: _compare(batches, at_home, near, find, center), "a long, b long")
 
@@ -272,7 +275,7 @@ def links(distinct: DataFrame, distance: int = 2, hot_rows: int = HOT_ROWS) -> D
         return np.bitwise_count((x[0] ^ y[0]).view(np.uint64)) <= distance
 
     # Each home has the greater ones at its anchor to compare with; for the smaller ones, their homes see to it.
-    return _links_at_anchors(distinct.select("fp"), spread, "anchor int, fp long", ["fp"], at_home, near, hot_rows)
+    return _links_at_anchors(distinct.select("fp"), spread, COPIES, "anchor int, fp long", ["fp"], at_home, near, hot_rows)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 3, distance: int = 2, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -418,7 +421,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
     distinct = write_table(table.groupBy("node").agg(first.alias("first"), F.min(F.struct("file", "at", "n", "bits")).alias("set")), "distinct-sketches")
     schema = "anchor int, node long, file long, at long, n long, " + ", ".join(f"{c} long" for c in checks)
     compared = distinct.where("set.n > 0").select("node", "set.file", "set.at", "set.n", "set.bits")
-    roots = components(_links_at_anchors(compared, spread, schema, ["node"], lambda anchor, columns: np.ones(len(anchor), dtype=bool), near, hot_rows, find, center))
+    roots = components(_links_at_anchors(compared, spread, BANDS, schema, ["node"], lambda anchor, columns: np.ones(len(anchor), dtype=bool), near, hot_rows, find, center))
     rooted = write_table(distinct.join(roots, "node", "left").select("node", "first", F.coalesce("root", "node").alias("root")), "rooted-sketches")
     smallest = write_table(rooted.groupBy("root").agg(F.min("first").alias("smallest")), "smallest-sketches")
     component = [F.coalesce("smallest.doc_id", "root").alias("component_id"), F.col("smallest.text_hash").alias("component_hash")]

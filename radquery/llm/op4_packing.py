@@ -22,13 +22,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from radquery.llm.shared import share, write_table
+from radquery.llm.shared import share, tasks_for, write_table
 from radquery.llm.token_ids import encoding
 from radquery.llm.words import slices
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 NAMES = [c.split()[0] for c in PIECES.split(", ")]
 SLICE_BYTES = 4 << 20
+#: Pieces of a part within which ranks are counted, about.
+BUCKET_PIECES = 1_000_000
 
 
 def cut_pieces(docs: DataFrame, tokenizer: str, end_id: int = 1, capacity: int = 4096, with_ids: bool = False) -> DataFrame:
@@ -119,7 +121,7 @@ def pack(pieces: DataFrame, capacity: int = 4096) -> DataFrame:
 
     # Ranks within a length: within small parts of it, and after all pieces of the parts before. Parts go by the key, which no
     # two pieces share, so equal pieces are spread as well.
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    buckets = tasks_for(spark, sum(counts.values()), BUCKET_PIECES)
     bucket = F.pmod(F.xxhash64("piece_key"), F.lit(buckets)).cast("int")
     keyed = pieces.select(*NAMES, "piece_key", bucket.alias("_bucket"))
     sizes = keyed.groupBy("length", "_bucket").agg(F.count("*").alias("n"))

@@ -80,6 +80,15 @@ def files_for(size: int, least: int = 16 << 20, most: int = 1 << 30, many: int =
     return max(1, -(-size // min(most, max(least, size // many))))
 
 
+#: Rows of some ten numbers that a task of an exchange gets, about, and tasks that an exchange has at most.
+TASK_ROWS, MOST_TASKS = 4_000_000, 20_000
+
+
+def tasks_for(spark: SparkSession, rows: int, each: int = TASK_ROWS) -> int:
+    """Tasks of an exchange of so many rows: as many as the session names, or more where they would get more than ``each``."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), min(MOST_TASKS, -(-rows // each)))
+
+
 def is_local(uri: str) -> bool:
     return urlsplit(uri).scheme in ("", "file")
 

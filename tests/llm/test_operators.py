@@ -28,7 +28,7 @@ from radquery.llm import op9_warc as warc
 from radquery.llm import op10_language as language
 from radquery.llm import registry
 from radquery.llm.components import components
-from radquery.llm.shared import files_for, new_dir
+from radquery.llm.shared import MOST_TASKS, files_for, new_dir, tasks_for
 from tests.conftest import DATA, same_rows
 
 public_tokenizers = pytest.importorskip("public_tokenizers")
@@ -368,11 +368,14 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
-def test_near_duplicates_of_documents(spark, documents, odd):
+def test_near_duplicates_of_documents(spark, documents, odd, monkeypatch):
     got = {r["doc_id"]: r["component_id"] for r in registry.queries()["op3_simhash"](spark, DATA).collect()}
     rows = sorted((r["doc_id"], simhash(r["text"])) for r in documents.collect())
     want = reach([f for _, f in rows], 2)
     assert got == {i: rows[k][0] for (i, _), k in zip(rows, want, strict=True)}
+    monkeypatch.setattr(sim, "tasks_for", lambda _, n: 3 + n // 5000)  # more tasks than the session has partitions
+    again = {r["doc_id"]: r["component_id"] for r in registry.queries()["op3_simhash"](spark, DATA).collect()}
+    assert again == got
     odds = sim.near_duplicates(odd).collect()
     assert len(odds) == len(ODD) and {r["component_id"] for r in odds if r["fp"] == 0} == {1}
     assert sim.near_duplicates(odd.limit(0)).count() == 0
@@ -457,8 +460,10 @@ def token_ids(t):
     return np.array(Tokenizer.from_file(TOKENIZER).encode(t or "", add_special_tokens=False).ids + [1], dtype="<u4")
 
 
-@pytest.mark.parametrize("capacity", [16, 100, 4096])
-def test_packing(spark, odd, capacity):
+@pytest.mark.parametrize("capacity,bucket", [(16, None), (100, None), (4096, None), (16, 2)])
+def test_packing(spark, odd, capacity, bucket, monkeypatch):
+    if bucket:  # more parts than the session has partitions
+        monkeypatch.setattr(packing, "BUCKET_PIECES", bucket)
     rows = packing.pack_documents(odd, TOKENIZER, capacity=capacity).collect()
     ids = [(i or 0, token_ids(t)) for i, t in ODD]
     want = collections.Counter((i, k, len(x[k * capacity : (k + 1) * capacity]), zlib.crc32(x[k * capacity : (k + 1) * capacity].tobytes())) for i, x in ids for k in range(-(-len(x) // capacity)))
@@ -859,3 +864,7 @@ def test_files_follow_bytes():
     numbers = [files_for(n) for n in sizes]
     assert numbers == sorted(numbers) and numbers[:4] == [1, 1, 1, 64] and numbers[5] <= 4097 and numbers[6] == 100 << 10
     assert all(n / k <= 1 << 30 for n, k in zip(sizes, numbers, strict=True))
+
+
+def test_tasks_follow_the_rows(spark):
+    assert [tasks_for(spark, n, 10) for n in (0, 40, 41, 1000)] == [4, 4, 5, 100] and tasks_for(spark, 10**15) == MOST_TASKS

@@ -11,7 +11,8 @@ Equal fingerprints are one before all that. At an anchor only links between diff
 on a tree for each set of them that hangs together, not all pairs. An anchor with very many copies is split into pairs of
 parts, which changes where rows are compared, not which.
 
-``near_duplicates`` is this, on shingles of three words; ``near_copies`` finds texts of a similarity of 0.8 or more.
+``near_duplicates`` is this, on shingles of three words; ``near_copies`` finds texts of a similarity of 0.8 or more;
+``near_groups`` has the groups that the links of both make.
 
 Null, empty and wordless texts have fingerprint zero, and are linked like any other. Repeated rows all stay. Rows without id
 count where a component has no other. Of further columns nothing is read. No document: no rows.
@@ -429,6 +430,22 @@ def near_copies(docs: DataFrame, shingle: int = 5, hot_rows: int = HOT_ROWS) ->
     return table.join(named, "node").select("doc_id", "text_hash", "component_id", "component_hash")
 
 
+def near_groups(docs: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """The columns of ``near_copies``, of documents that hang together by links of ``near_duplicates``, of ``near_copies``, or of
+    both in turn. No doc_id is null."""
+    key = F.xxhash64("doc_id", "text_hash")
+    hashed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("text_hash"))
+    rows = write_table(near_copies(docs, hot_rows=hot_rows).withColumn("key", key), "copies-of-rows")
+    alike = near_duplicates(hashed.select(key.alias("doc_id"), "text"), hot_rows=hot_rows).select(F.col("doc_id").alias("a"), F.col("component_id").alias("b"))
+    # Both name a group by one of its rows, so each row is linked with at most two others.
+    copied = rows.select(F.col("key").alias("a"), F.xxhash64("component_id", "component_hash").alias("b"))
+    roots = components(alike.union(copied))
+    rooted = write_table(rows.join(roots, F.col("key") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "key").alias("root")), "rooted-rows")
+    first = write_table(rooted.groupBy("root").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")), "first-rows")
+    component = [F.col("first.doc_id").alias("component_id"), F.col("first.text_hash").alias("component_hash")]
+    return rooted.join(first, "root").select("doc_id", "text_hash", *component)
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

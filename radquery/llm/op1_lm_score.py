@@ -92,6 +92,31 @@ def unpack(data: bytes) -> np.ndarray:
     return np.cumsum(values, dtype=np.uint64) if ascending else values
 
 
+def order_of(values: np.ndarray) -> np.ndarray:
+    """The places of numbers from 0 on in ascending order, of equal ones in any. Where a number and its place fit into 64 bits,
+    both are sorted as one, which is faster than an argsort."""
+    places = max(1, (len(values) - 1).bit_length())
+    if not len(values) or int(values.max()).bit_length() + places > 64:
+        return np.argsort(values)
+    both = values.astype(np.uint64) << _U(places)
+    both |= np.arange(len(values), dtype=np.uint64)
+    both.sort()
+    both &= _U((1 << places) - 1)
+    return both.view(np.int64)
+
+
+def distinct_of(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted distinct numbers, and where in them each one is."""
+    order = order_of(values)
+    ascending = values[order]
+    new = np.empty(len(values), dtype=bool)
+    new[:1] = True
+    np.not_equal(ascending[1:], ascending[:-1], out=new[1:])
+    back = np.empty(len(values), dtype=np.int64)
+    back[order] = np.cumsum(new) - 1
+    return ascending[new], back
+
+
 def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Sorted distinct keys, and the sum of the counts, or the number, of each."""
     if not len(keys):
@@ -99,7 +124,7 @@ def counted(keys: np.ndarray, counts: np.ndarray | None = None) -> tuple[np.ndar
     if counts is None:
         keys = np.sort(keys)
     else:
-        order = np.argsort(keys)
+        order = order_of(keys)
         keys, counts = keys[order], counts[order].astype(np.int64)
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return keys[first], np.diff(np.append(first, len(keys))) if counts is None else np.add.reduceat(counts, first)
@@ -185,7 +210,7 @@ class Level(NamedTuple):
         return out
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        distinct, back = np.unique(keys, return_inverse=True)
+        distinct, back = distinct_of(keys)
         return self.find_distinct(distinct)[back]
 
     def take_distinct(self, kind: str, ranks: np.ndarray) -> np.ndarray:
@@ -197,7 +222,7 @@ class Level(NamedTuple):
         return out
 
     def take(self, kinds: tuple[str, ...], ranks: np.ndarray) -> list[np.ndarray]:
-        distinct, back = np.unique(ranks, return_inverse=True)
+        distinct, back = distinct_of(ranks)
         return [self.take_distinct(k, distinct)[back] for k in kinds]
 
 
@@ -229,7 +254,7 @@ def _suffixes(levels: list[Level], k: int, keys: np.ndarray) -> np.ndarray:
     if k == 2:
         return word
     below = levels[k - 2]
-    distinct, back = np.unique(context, return_inverse=True)
+    distinct, back = distinct_of(context)
     if k == 3:
         inner = _parts(levels, 2, below.take_distinct("keys", distinct))[1]
     else:
@@ -249,8 +274,12 @@ def _tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """An index of each token into the hashes, the offsets by text, and the hashes; the end is the last of them."""
     codes, offsets, distinct = split_words(pc.ascii_lower(texts_of(texts)))
     digest = xxhash.xxh64_intdigest
-    hashes = np.fromiter(map(digest, [*distinct.cast(pa.binary()).to_pylist(), b" "]), np.uint64, len(distinct) + 1)
-    return np.insert(codes, offsets[1:], len(distinct)), offsets + np.arange(len(offsets)), hashes
+    hashes = np.append(np.fromiter(map(digest, distinct.cast(pa.binary()).to_numpy(zero_copy_only=False)), np.uint64, len(distinct)), _U(END))
+    offsets = offsets + np.arange(len(offsets))
+    out, word = np.full(offsets[-1], len(distinct), dtype=np.int32), np.ones(offsets[-1], dtype=bool)
+    word[offsets[1:] - 1] = False
+    out[word] = codes
+    return out, offsets, hashes
 
 
 def _contexts(levels: list[Level], rank: np.ndarray, place: np.ndarray, k: int) -> np.ndarray:
@@ -306,7 +335,7 @@ def _width(shards: int) -> int:
 def _merged(held: list[list[np.ndarray]]) -> list[np.ndarray]:
     """Columns of blocks as one block: keys sorted and distinct, the others added up."""
     keys, *others = map(np.concatenate, zip(*held, strict=True))
-    order = np.argsort(keys)
+    order = order_of(keys)
     keys = keys[order]
     first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
     return [keys[first], *(np.add.reduceat(c[order], first) for c in others)]
@@ -375,7 +404,7 @@ def _downward(levels: list[Level], k: int, keys: np.ndarray, adjusted: np.ndarra
     many n-grams end in it. Sorted by range of so many shards."""
     below = levels[k - 2]
     context = _parts(levels, k, keys)[0]
-    order = np.argsort(context)
+    order = order_of(context)
     context, a = context[order], adjusted[order].astype(np.int64)
     first = np.flatnonzero(np.append(True, context[1:] != context[:-1]))
     sums = [np.add.reduceat(x, first) for x in (a, a == 1, a == 2, a > 2)] if len(a) else [a] * 4
@@ -523,23 +552,37 @@ def log_probabilities(trained: Trained, codes: np.ndarray, offsets: np.ndarray,
     (count[known],) = levels[0].take(("counts",), words[known])
     a = levels[0].take(("adjusted",), words[known])[0] if order > 1 else count[known]
     low[known] += np.maximum(0, a - discounts[0][np.minimum(a, 3)]) / total
-    p, words = low[codes], words[codes]
-    place, rank = _places(offsets), words
+    p, word, first = low[codes], words[codes], offsets[:-1][np.diff(offsets) > 0]
+    # The n-grams of order k - 1 that are in the model, each once: their ranks, and which of them ends at each token.
+    ranks, gram = words[known], np.full(len(hashes), -1, dtype=np.int32)
+    gram[known] = np.arange(len(known))
+    gram = gram[codes]
     for k in range(2, order + 1):
-        level, context = levels[k - 1], _contexts(levels, rank, place, k)
-        some = np.flatnonzero(context >= 0)
-        stats, inner = np.empty((4, len(some))), context[some] < levels[k - 2].size
-        stats[:, inner] = levels[k - 2].take(("total", "n1", "n2", "n3"), context[some][inner])
-        stats[:, ~inner] = np.array(begin, dtype=np.float64)[:, None]
-        at = np.flatnonzero((context >= 0) & (words >= 0))
-        distinct, back = np.unique(_keys(levels, k, context[at], words[at]), return_inverse=True)
-        ranks, values = level.find_distinct(distinct), np.zeros(len(distinct), dtype=np.int64)
-        values[ranks >= 0] = level.take_distinct("adjusted" if k < order else "counts", ranks[ranks >= 0])
-        c, rank = np.zeros(len(codes), dtype=np.int64), np.full(len(codes), -1, dtype=np.int64)
-        c[at], rank[at] = values[back], ranks[back]
-        some, stats = some[stats[0] > 0], stats[:, stats[0] > 0]
-        d = discounts[k - 1]
-        p[some] = np.maximum(0, c[some] - d[np.minimum(c[some], 3)]) / stats[0] + (d[1] * stats[1] + d[2] * stats[2] + d[3] * stats[3]) / stats[0] * p[some]
+        level, d = levels[k - 1], discounts[k - 1]
+        total, *n = levels[k - 2].take(("total", "n1", "n2", "n3"), ranks)
+        ranks = np.append(ranks, levels[k - 2].size)  # the last place is that of a text's begin
+        total, n = np.append(total, begin[0]), [np.append(x, y) for x, y in zip(n, begin[1:], strict=True)]
+        some = np.maximum(total, 1)
+        gamma = (d[1] * n[0] + d[2] * n[1] + d[3] * n[2]) / some
+        context = np.empty_like(gram)
+        context[1:] = gram[:-1]
+        context[first] = len(ranks) - 1 if k == 2 else -1
+        after = np.flatnonzero((context >= 0) & (word >= 0))
+        distinct, back = distinct_of(_keys(levels, k, ranks[context[after]], word[after]))
+        found = level.find_distinct(distinct)
+        there = np.flatnonzero(found >= 0)
+        values = np.zeros(len(distinct), dtype=np.int64)
+        values[there] = level.take_distinct("adjusted" if k < order else "counts", found[there])
+        more = np.zeros(len(codes))
+        more[after] = np.maximum(0, values - d[np.minimum(values, 3)])[back]
+        at = np.flatnonzero((context >= 0) & (total > 0)[context])
+        context = context[at]
+        p[at] = more[at] / some[context] + gamma[context] * p[at]
+        if k < order:
+            place = np.full(len(distinct), -1, dtype=np.int32)
+            place[there] = np.arange(len(there))
+            ranks, gram = found[there], np.full(len(codes), -1, dtype=np.int32)
+            gram[after] = place[back]
     return np.log10(p), count[codes]
 
 

@@ -190,6 +190,26 @@ def test_lm_probabilities_sum_to_one(spark):
     assert total + 10 ** lm.log_probabilities(model, codes, offsets, hashes)[0][0] == pytest.approx(1)
 
 
+def test_lm_scoring_looks_each_context_up_once(spark, monkeypatch):
+    """However often a slice repeats it."""
+    df = spark.createDataFrame([(1, "a b c a b d"), (2, "b c a e"), (3, "a b c d")], "doc_id long, text string")
+    trained, asked, take = lm.train(df, 3), [], lm.Level.take
+    monkeypatch.setattr(lm.Level, "take", lambda self, kinds, ranks: asked.append((kinds, ranks)) or take(self, kinds, ranks))
+    texts = pa.array(["a b c a b x", "b c a b c"] * 50)
+    logs, count = lm.log_probabilities(trained, *lm._tokens(texts))
+    contexts = [r for kinds, r in asked if "total" in kinds]
+    assert len(contexts) == 2 and all(len(np.unique(r)) == len(r) for r in contexts)
+    assert len(logs) == len(count) == 50 * 13 and np.array_equal(logs[:13], logs[-13:])
+
+
+def test_lm_places_in_order():
+    rng = np.random.default_rng(3)
+    for values in (rng.integers(0, 9, 1000), rng.integers(0, 1 << 40, 1000), rng.integers(0, 1 << 63, 1000, dtype=np.uint64) * np.uint64(2), np.array([7]), np.array([0, 0]), np.empty(0, np.uint64)):
+        assert np.array_equal(values[lm.order_of(values)], np.sort(values))
+        distinct, back = lm.distinct_of(values)
+        assert np.array_equal(distinct, np.unique(values)) and np.array_equal(distinct[back], values) and distinct.dtype == values.dtype
+
+
 def test_lm_packing_is_exact():
     x = np.sort(np.random.default_rng(0).integers(0, 1 << 63, 999).astype(np.uint64))
     for values, ascending in ((x, True), (x[::-1], False), (x[:0], True), (np.array([0, 1 << 33, 7]), False), (np.zeros(5), True)):

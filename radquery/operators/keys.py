@@ -71,7 +71,11 @@ def write_batch(df: DataFrame, folder: str, name: str, batch: str, schema: str)
     the rows lack are null."""
     wanted = df.sparkSession.createDataFrame([], schema).schema
     columns = [(F.col(f.name) if f.name in df.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in wanted]
-    df.select(*columns).write.mode("overwrite").parquet(f"{folder}/{name}/batch={batch}")
+    df.select(*columns).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/{name}/batch={batch}")
+
+
+def read_batch(spark: SparkSession, folder: str, name: str, batch: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).parquet(f"{folder}/{name}/batch={batch}")
 
 
 def append_numbered(df: DataFrame, folder: str, name: str, batch: str, schema: str, order: list[Column] | None = None, one_file: bool = False) -> int:

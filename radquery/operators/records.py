@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from radquery import schemas
-from radquery.operators import keys, store
+from radquery.operators import keys, predict, store
 from radquery.operators.report import SYSTEM, report
-from radquery.sources.scratch import stored
 from radquery.sources.tables import read_table
 
 #: Fixed values.
@@ -34,19 +35,21 @@ def with_patients(rows: DataFrame, folder: str, batch: str) -> DataFrame:
     return joined.withColumn("patient", F.when(named.isNull(), F.lit(default["_patient"] if default else None)).otherwise(F.col("_patient"))).drop("_named", "_patient")
 
 
-def write_records(made: DataFrame, folder: str, batch: str, order: list[Column], system: str = SYSTEM) -> DataFrame:
-    """Writes the three records of each row of ``predict.predictions`` that also has patient, filename, size_bytes, scan_type,
-    notes and at (a time). Returns the rows with ``image_path``, where a scan's file belongs.
+def write_records(rows: DataFrame, folder: str, batch: str, order: list[Column], system: str = SYSTEM, made: Callable[[DataFrame], DataFrame] = predict.predictions) -> DataFrame:
+    """Writes the three records of each row, which has patient, filename, size_bytes, scan_type, notes, at (a time), and what
+    ``made`` adds a prediction's columns from. Returns the rows with ``image_path``, where a scan's file belongs.
 
-    Scans come first and reports last, and a batch that runs again writes the same rows in the same place, so after any
+    Rows are numbered before predictions are made, so the wide columns of these go to their table alone, and reports are made
+    from there. Scans come first and reports last, and a batch that runs again writes the same rows in the same place, so after any
     failure no record lacks the one that it refers to.
     """
-    spark = made.sparkSession
-    rows = stored(keys.numbered(made, order, "_id"), "records")
+    spark = rows.sparkSession
+    rows = keys.numbered(rows, order, "_id")
     n = rows.count()
     if not n:
         return rows.withColumn("image_path", F.lit(None).cast("string"))
-    scan, prediction, number = (F.col("_id") + first for first in keys.reserve(spark, folder, batch, ["lung_scans", "predictions", "reports"], n))
+    first = keys.reserve(spark, folder, batch, ["lung_scans", "predictions", "reports"], n)
+    scan, prediction, number = F.col("_id") + first[0], F.col("_id") + first[1], F.col("id") + (first[2] - first[1])
     scan_id, prediction_id, report_id = uuid_of("scan", scan), uuid_of("prediction", prediction), uuid_of("report", number)
     name = F.coalesce(F.nullif("filename", F.lit("")), F.lit("upload.jpg"))
     path = F.concat(F.lit(f"{folder}/uploads/batch={batch}/"), scan_id, F.lit("_"), F.element_at(F.split(name, "/"), -1))
@@ -55,9 +58,10 @@ def write_records(made: DataFrame, folder: str, batch: str, order: list[Column],
         F.col("size_bytes").alias("image_size_bytes"), F.coalesce(F.nullif("scan_type", F.lit("")), F.lit(SCAN_TYPE)).alias("scan_type"), F.col("at").alias("scan_date"), F.lit(True).alias("preprocessed"), "notes",
     )
     keys.write_batch(scans, folder, "lung_scans", batch, schemas.LUNG_SCANS)
-    predictions = rows.withColumns({"id": prediction, "prediction_id": prediction_id, "scan_id": scan, "created_at": F.col("at")})
+    predictions = made(rows).withColumns({"id": prediction, "prediction_id": prediction_id, "scan_id": scan, "created_at": F.col("at")})
     keys.write_batch(predictions, folder, "predictions", batch, schemas.PREDICTIONS)
-    reports = rows.select(number.alias("id"), report_id.alias("report_id"), prediction.alias("prediction_id"), report(report_id, F.col("at"), system).alias("report_content"), F.lit(GENERATED_BY).alias("generated_by"), F.lit(False).alias("is_reviewed"), F.col("at").alias("created_at"))
+    written = keys.read_batch(spark, folder, "predictions", batch, schemas.PREDICTIONS)
+    reports = written.select(number.alias("id"), report_id.alias("report_id"), F.col("id").alias("prediction_id"), report(report_id, F.col("created_at"), system).alias("report_content"), F.lit(GENERATED_BY).alias("generated_by"), F.lit(False).alias("is_reviewed"), "created_at")
     keys.write_batch(reports, folder, "reports", batch, schemas.REPORTS)
     return rows.withColumn("image_path", path)
 

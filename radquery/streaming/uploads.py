@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from radquery.operators import predict, records, store
+from radquery.operators import records, store
 from radquery.operators.keys import read_marks
 from radquery.operators.scoring import Scorer
 from radquery.sources.files import decoded_contents, save_files, sha
@@ -33,8 +33,8 @@ def take(uploads: DataFrame, folder: str, batch: str, cnn: Scorer | None = None,
     fine = stored(fine.withColumn("code", F.when(F.col("patient").isNull(), 404).otherwise(200)), "resolved")
     refused = found.where("code != 200").select("filename", "patient_id", "mime", "code").unionByName(fine.where("code = 404").select("filename", "patient_id", "mime", "code"))
     records.write_rejections(refused.withColumn("reason", records.reason(F.col("code"), F.col("patient_id"), F.col("mime"))), folder, batch)
-    made = predict.predictions(fine.where("code = 200").drop("content").withColumn("at", F.coalesce("at", F.current_timestamp())))
-    written = records.write_records(made, folder, batch, [F.col(c) for c in ("at", "filename", "key", "patient_id", "notes")])
+    accepted = fine.where("code = 200").drop("content").withColumn("at", F.coalesce("at", F.current_timestamp()))
+    written = records.write_records(accepted, folder, batch, [F.col(c) for c in ("at", "filename", "key", "patient_id", "notes")])
     files = written.select("key", "image_path").join(stored(contents.dropDuplicates(["key"]), "contents"), "key")
     save_files(files.select(F.col("image_path").alias("path"), "content"))
     return written.count()

@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 from radquery import schemas
 from radquery.operators import curation, evaluate, keys, records
 from radquery.operators.scoring import CentroidScorer
+from radquery.plans import catalogue
 from radquery.sources import files, images, tables
 from radquery.streaming import uploads
+from tests.conftest import DATA
 from tests.test_images import write
 
 
@@ -178,3 +180,12 @@ def test_models_are_found_in_the_first_folder_that_has_them(spark, tmp_path):
     (tmp_path / "two" / "resnet").mkdir(parents=True)
     assert tables.find_model(spark, [str(tmp_path / "one"), str(tmp_path / "two")], "resnet") == str(tmp_path / "two" / "resnet")
     assert tables.find_model(spark, [str(tmp_path / "one")], "resnet") is None
+
+
+def test_upload_records_number_narrow_rows(spark, monkeypatch):
+    """Predictions are wide, and are written to their table alone."""
+    seen, before = [], keys.stored
+    monkeypatch.setattr(keys, "stored", lambda df, name: seen.append((name, set(df.columns))) or before(df, name))
+    monkeypatch.setattr(catalogue, "stored", lambda df, name: seen.append((name, set(df.columns))) or before(df, name))
+    assert catalogue.QUERIES["upload_records"](spark, DATA).count() == spark.read.parquet(f"{DATA}/events.parquet").count()
+    assert len(seen) >= 6 and not any(c & {"key_findings", "precautions", "final_condition", "cnn_probs"} for _, c in seen)
